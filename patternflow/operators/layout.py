@@ -1,0 +1,18 @@
+"""Physical layout helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a table arrives in fewer splits than half of them.
+
+    A table at scale has far more splits than cores and passes through
+    untouched; only a small file or one with a single huge row group is dealt
+    out again. For order-insensitive work such as counting.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores)
