@@ -1,6 +1,6 @@
 """The queries behind ``__spark_entry__`` and the SQL they are checked against."""
 
-from checks import rules  # noqa: F401
+from checks import prompts, rules, tables  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -275,3 +275,14 @@ def inspect_row(
             )
         )
     )
+
+
+def page_counts(df: DataFrame, page_size: int = DEFAULT_PAGE_SIZE, flag: str = FLAG) -> DataFrame:
+    """Totals with the number of pages of the full and of the selected-only view."""
+
+    def pages(rows: str):
+        return F.greatest(F.lit(1), F.ceil(F.col(rows) / page_size)).cast("long")
+
+    return result_totals(df, flag).select(
+        "*", pages("total_rows").alias("num_pages"), pages("matched_rows").alias("matched_pages")
+    )
