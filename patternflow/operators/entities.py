@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patternflow.functions.columns import as_text, null_as_empty, ref
-from patternflow.functions.entities import BY_NAME, CATALOGUE
+from patternflow.functions.entities import BY_NAME, CATALOGUE, Entity
 from patternflow.functions.matching import text_matches
 from patternflow.model import Predicate, Rule
 from patternflow.operators.layout import spread
@@ -29,8 +29,17 @@ def entity_scan(
     texts = source.select(
         *(null_as_empty(as_text(c)).alias(f"t{i}") for i, c in enumerate(columns))
     )
+    # Many entities need a digit, which a cell is searched for once.
+    texts = texts.select(
+        "*", *(F.col(f"t{i}").rlike(r"\d").alias(f"d{i}") for i in range(len(columns)))
+    )
+
+    def test(i: int, e: Entity) -> Column:
+        found = text_matches(F.col(f"t{i}"), e.pattern)
+        return F.col(f"d{i}") & found if e.digits else found
+
     counters = [
-        F.count_if(text_matches(F.col(f"t{i}"), e.pattern)).alias(f"n{i}_{j}")
+        F.count_if(test(i, e)).alias(f"n{i}_{j}")
         for i in range(len(columns))
         for j, e in enumerate(chosen)
     ]

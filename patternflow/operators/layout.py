@@ -12,7 +12,9 @@ def spread(df: DataFrame) -> DataFrame:
     untouched; only a small file or one with a single huge row group is dealt
     out again. For order-insensitive work such as counting.
     """
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() * 2 > cores:
+    if df.rdd.getNumPartitions() * 2 > cores:
         return df
     return df.repartition(cores)

@@ -20,6 +20,8 @@ FILE = "__file"
 # One broadcast carries at most this many file offsets (some 50 MB); a table of
 # more files is numbered in several branches, each reading only its own files.
 FILES_PER_BROADCAST = 200_000
+# Offsets of this many files (about 2 MB) are simply fetched, to be worked out once.
+FILES_FETCHED = 10_000
 
 _TASK_DIGITS = 18
 _PIECE_DIGITS = 9
@@ -117,7 +119,11 @@ def with_row_numbers(
     """
     table = spark.read.parquet(path)
     spans = file_spans(spark, path) if spans is None else spans
-    n_files = spans.count()
+    few = spans.limit(FILES_FETCHED + 1).collect()
+    if few and len(few) <= FILES_FETCHED:
+        spans, n_files = spark.createDataFrame(few, spans.schema), len(few)
+    else:
+        n_files = spans.count()
     rows = table.select(
         "*",
         F.col("_metadata.file_path").alias(FILE),

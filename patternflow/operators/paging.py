@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternflow.functions.columns import ref
@@ -99,14 +99,29 @@ def _rows_of(spark: SparkSession, path: str, spans: list, low: int, high: int) -
     )
 
 
+def _between(low: int, high: int) -> Column:
+    """Files holding rows numbered ``low``..``high``: at most one per row."""
+    return (F.col("rows_before") < high) & (F.col("rows_before") + F.col("n_rows") >= low)
+
+
 def _rows_between(
     spark: SparkSession, path: str, spans: DataFrame, low: int, high: int
 ) -> DataFrame:
-    # At most one non-empty file per requested row comes back.
-    found = spans.filter(
-        (F.col("rows_before") < high) & (F.col("rows_before") + F.col("n_rows") >= low)
-    ).collect()
-    return _rows_of(spark, path, found, low, high)
+    return _rows_of(spark, path, spans.filter(_between(low, high)).collect(), low, high)
+
+
+def _locate(spans: DataFrame, wanted: Column) -> tuple[list, int, int]:
+    """The wanted files in order, and the totals over all files, from one pass.
+
+    What is collected is a page's worth of file entries at most.
+    """
+    entry = F.struct("file_key", *(c for c in spans.columns if c != "file_key"))
+    row = spans.agg(
+        F.array_sort(F.collect_list(F.when(wanted, entry))).alias("found"),
+        F.sum("n_rows").alias("rows"),
+        F.sum("n_matched").alias("matched"),
+    ).first()
+    return row["found"], int(row["rows"] or 0), int(row["matched"] or 0)
 
 
 def _shape(df: DataFrame, flag: str) -> DataFrame:
@@ -144,15 +159,22 @@ def read_page(
     filtered = matched_only and has_flag
     spans = _spans(spark, path, index_path, flag)
 
-    if total_all is None or matched_total is None:
-        sums = spans.agg(F.sum("n_rows"), F.sum("n_matched")).first()
-        total_all = int(sums[0] or 0) if total_all is None else total_all
-        matched_total = int(sums[1] or 0) if matched_total is None else matched_total
+    if filtered:
+        wanted = (
+            (F.col("n_matched") > 0)
+            & (F.col("matched_before") < offset + page_size)
+            & (F.col("matched_before") + F.col("n_matched") > offset)
+        )
+    else:
+        wanted = _between(offset + 1, offset + page_size)
+    found, all_rows, all_matched = _locate(spans, wanted)
+    total_all = all_rows if total_all is None else total_all
+    matched_total = all_matched if matched_total is None else matched_total
 
     if filtered:
-        rows = _matched_rows(spark, path, spans, offset, page_size, flag)
+        rows = _matched_rows(spark, path, found, offset, page_size, flag)
     else:
-        rows = _rows_between(spark, path, spans, offset + 1, offset + page_size)
+        rows = _rows_of(spark, path, found, offset + 1, offset + page_size)
     total = matched_total if filtered else total_all
     return Page(
         rows=_shape(rows, flag),
@@ -169,18 +191,9 @@ def read_page(
 
 
 def _matched_rows(
-    spark: SparkSession, path: str, spans: DataFrame, offset: int, size: int, flag: str
+    spark: SparkSession, path: str, found: list, offset: int, size: int, flag: str
 ) -> DataFrame:
     """Selected rows ``offset``..``offset + size`` with their numbers in the full table."""
-    found = (
-        spans.filter(
-            (F.col("n_matched") > 0)
-            & (F.col("matched_before") < offset + size)
-            & (F.col("matched_before") + F.col("n_matched") > offset)
-        )
-        .orderBy("file_key")
-        .collect()
-    )
     if not found:
         return _rows_of(spark, path, [], 0, 0)
     low = found[0]["rows_before"] + 1

@@ -8,6 +8,7 @@ per task before anything is shuffled.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,14 +52,19 @@ def _first_k(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def _early_then_rest(columns: list[str], k: int, early: DataFrame, whole) -> DataFrame:
-    """``early`` for the columns it fills up to k values, ``whole(columns)`` for the others."""
-    counts = {r["column"]: r["n"] for r in early.groupBy("column").agg(F.count("*").alias("n")).collect()}
-    rest = [c for c in columns if counts.get(c, 0) < k]
-    if not rest:
-        return early
-    if len(rest) == len(columns):
+    """``early`` for the columns it fills up to k values, ``whole(columns)`` for the others.
+
+    The early answer is k small rows per column, so it is fetched and not worked
+    out a second time.
+    """
+    found = early.collect()
+    counts = Counter(r["column"] for r in found)
+    rest = [c for c in columns if counts[c] < k]
+    kept = [r for r in found if counts[r["column"]] >= k]
+    if not kept:
         return whole(rest)
-    return early.filter(~F.col("column").isin(rest)).unionByName(whole(rest))
+    done = early.sparkSession.createDataFrame(kept, early.schema)
+    return done.unionByName(whole(rest)) if rest else done
 
 
 def _require(df: DataFrame, columns: list[str]) -> None:
@@ -126,16 +132,17 @@ def column_kinds(
     columns = [c for c in df.columns if c != row_number] if columns is None else list(columns)
     _require(df, columns)
 
+    shapes = {"email": EMAIL_SHAPE, "url": URL_SHAPE, "date": DATE_SHAPE, "number": NUMBER_SHAPE}
+
     def head(source: DataFrame, names: list[str]) -> DataFrame:
         cells = _cells(source, names, F.col(row_number), None)
-        return _first_k(cells, KIND_SAMPLE).select("column", "pos", "value")
+        return _first_k(cells, KIND_SAMPLE).select(
+            "column", "pos", *(F.col("value").rlike(p).alias(n) for n, p in shapes.items())
+        )
 
     early = head(df.filter(F.col(row_number) <= EARLY_ROWS), columns)
     values = _early_then_rest(columns, KIND_SAMPLE, early, lambda names: head(df, names))
-    shapes = {"email": EMAIL_SHAPE, "url": URL_SHAPE, "date": DATE_SHAPE, "number": NUMBER_SHAPE}
-    shaped = values.groupBy("column").agg(
-        *(F.every(F.col("value").rlike(p)).alias(n) for n, p in shapes.items())
-    )
+    shaped = values.groupBy("column").agg(*(F.every(n).alias(n) for n in shapes))
     # One row per column even if it holds no value; both sides have one row per column.
     names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
     found = names.join(shaped, "column", "left")

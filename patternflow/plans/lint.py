@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patternflow.functions.columns import ref, strip
+from patternflow.functions.columns import is_blank, ref
 from patternflow.model import COMBINATORS
 
 MAX_LENGTH = 2000
@@ -134,9 +134,9 @@ def _check_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def static_reason(pattern: Column) -> Column:
     """The checks that need no regex engine; null when they pass."""
     return (
-        F.when(pattern.isNull() | (strip(pattern) == ""), EMPTY)
+        F.when(pattern.isNull() | is_blank(pattern), EMPTY)
         .when(F.length(pattern) > MAX_LENGTH, TOO_LONG)
-        .when(pattern.rlike(NESTED_QUANTIFIER), NESTED)
+        .when(pattern.contains(")") & pattern.rlike(NESTED_QUANTIFIER), NESTED)
     )
 
 

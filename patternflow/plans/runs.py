@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from patternflow.functions.columns import ref
 from patternflow.model import Rule, RuleError
+from patternflow.operators.paging import write_page_index
 from patternflow.operators.rules import apply_rule
 from patternflow.plans.lint import check_pattern
 from patternflow.sources.readers import read_table
@@ -85,6 +86,7 @@ def run_rule(
     *,
     run_id: str | None = None,
     runs_path: str | None = None,
+    index_path: str | None = None,
     dataset: str | None = None,
     request: str = "",
     **read_options,
@@ -94,7 +96,8 @@ def run_rule(
     The counts are observed while the one map-only job writes. Its tasks are
     result tasks, whose metrics Spark takes in once per partition whatever gets
     retried, so the counts are exact even when executors are lost. With
-    ``runs_path`` a record is appended, for failed runs too.
+    ``runs_path`` a record is appended, for failed runs too; with ``index_path``
+    the result's page index is written for quick paging.
     """
     run_id = run_id or uuid.uuid4().hex
     dataset = dataset or (source if isinstance(source, str) else "")
@@ -122,6 +125,8 @@ def run_rule(
         sc.setJobGroup(run_id, f"{rule.action} rule", interruptOnCancel=True)
         try:
             write_result(result, dest)
+            if index_path:
+                write_page_index(spark, dest, index_path)
         finally:
             sc.setLocalProperty("spark.jobGroup.id", None)
             sc.setLocalProperty("spark.job.description", None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from patternflow.functions.cells import MAX_COLUMNS, MAX_ROWS, excel_safe
 from patternflow.model import FLAG
@@ -34,17 +35,17 @@ def export_csv(df: DataFrame, path: str, matched_only: bool = False, flag: str =
 def check_fits_excel(df: DataFrame, max_rows: int = MAX_ROWS, max_columns: int = MAX_COLUMNS) -> int:
     """The row count, or an error if a worksheet cannot hold the table.
 
-    Columns are checked before any row is read, and no more rows are counted
-    than needed to know.
+    Columns are checked before any row is read. The count is a parallel one,
+    answered by file footers unless rows are filtered.
     """
     if len(df.columns) > max_columns:
         raise TooLargeForExcel(
             f"{len(df.columns):,} columns do not fit a worksheet ({max_columns:,}); export CSV instead"
         )
-    rows = df.limit(max_rows).count()
+    rows = df.count()
     if rows > max_rows - 1:
         raise TooLargeForExcel(
-            f"More rows than a worksheet holds ({max_rows - 1:,}); export CSV instead"
+            f"{rows:,} rows do not fit a worksheet ({max_rows - 1:,}); export CSV instead"
         )
     return rows
 
@@ -53,12 +54,15 @@ def export_excel(df: DataFrame, path: str, matched_only: bool = False, flag: str
     """One workbook at ``path``, a place all executors can write; returns its row count.
 
     A workbook is a single file by nature. The size check comes first, so the
-    one task that writes it never sees more than a worksheet's worth of rows.
+    one task that writes it never sees more than a worksheet's worth of rows;
+    scanning and filtering the table stay parallel.
     """
     out = exported(df, matched_only, flag)
     rows = check_fits_excel(out)
     df.sparkSession.dataSource.register(WorkbookSink)
-    excel_safe(out).coalesce(1).write.format(WorkbookSink.name()).mode("overwrite").save(path)
+    placed = excel_safe(out).withColumn("__place", F.monotonically_increasing_id())
+    sheet = placed.repartition(1).sortWithinPartitions("__place").drop("__place")
+    sheet.write.format(WorkbookSink.name()).mode("overwrite").save(path)
     return rows
 
 
