@@ -71,6 +71,13 @@ def main() -> None:
         export_csv(docs.select("doc_id", "text", "lang"), path)
         compute(read_csv(spark, path))
 
+    lines = scratch_path(spark, "bench-lines")
+    export_csv(t["lineitem"].select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"), lines)
+
+    def csv_run():
+        rule = Rule.on("l_shipdate", r"^1996-0[1-6]", "replace", "H1")
+        run_rule(spark, lines, rule, scratch_path(spark, "bench-run"))
+
     def one_run():
         run_rule(spark, docs, entity_rule("email", ["text"], "mask"), scratch_path(spark, "bench-run"))
 
@@ -84,6 +91,7 @@ def main() -> None:
         "entity_scan_documents": lambda: entity_scan(docs, ["text"]).collect(),
         "rule_counts_documents": lambda: rule_counts(docs, many).collect(),
         "run_rule_documents": one_run,
+        "run_rule_csv_lineitem": csv_run,
         "page_matched": lambda: read_page(spark, result, 3, 50, True, index_path=index).rows.collect(),
         "row_numbers": lambda: compute(with_row_numbers(spark, result)),
         "sample_values_documents": lambda: sample_values(

@@ -39,7 +39,7 @@ def entity_scan(
         return F.col(f"d{i}") & found if e.digits else found
 
     counters = [
-        F.count_if(test(i, e)).alias(f"n{i}_{j}")
+        F.count(F.when(test(i, e), 1)).alias(f"n{i}_{j}")
         for i in range(len(columns))
         for j, e in enumerate(chosen)
     ]

@@ -20,6 +20,7 @@ from patternflow.operators.numbering import FILE, file_spans
 MAX_PAGE_SIZE = 500
 DEFAULT_PAGE_SIZE = 50
 JUMP_PAGE_SIZE = 100
+WINDOW_SIZE = 100
 
 
 @dataclass(frozen=True)
@@ -235,7 +236,7 @@ def read_window(
     spark: SparkSession,
     path: str,
     cursor: int | None = None,
-    limit: int = DEFAULT_PAGE_SIZE,
+    limit: int = WINDOW_SIZE,
     *,
     index_path: str | None = None,
 ) -> RowWindow:

@@ -143,7 +143,7 @@ def rule_counts(df: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     used = list(dict.fromkeys(p.column for r in rules.values() for p in r.predicates))
     source = spread(df.select(*(ref(c) for c in used)))
     aggs = [F.count(F.lit(1)).alias("total")] + [
-        F.count_if(match_condition(r.predicates, r.combinator)).alias(f"m{i}")
+        F.count(F.when(match_condition(r.predicates, r.combinator), 1)).alias(f"m{i}")
         for i, r in enumerate(rules.values())
     ]
     return source.agg(*aggs).select(

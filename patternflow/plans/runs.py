@@ -16,6 +16,7 @@ from patternflow.model import Rule, RuleError
 from patternflow.operators.paging import write_page_index
 from patternflow.operators.rules import apply_rule
 from patternflow.plans.lint import check_pattern
+from patternflow.plans.prompts import rule_from_prompt
 from patternflow.sources.readers import read_table
 from patternflow.sources.writers import write_result
 
@@ -141,6 +142,22 @@ def run_rule(
     return stats
 
 
+def run_request(
+    spark: SparkSession,
+    source: str,
+    request: str,
+    columns: list[str],
+    dest: str,
+    *,
+    action: str = "auto",
+    value: str = "",
+    **options,
+) -> RunStats:
+    """A run from a plain-English request: resolve it for ``columns``, then :func:`run_rule`."""
+    rule = rule_from_prompt(spark, request, columns, action, value)
+    return run_rule(spark, source, rule, dest, request=request, **options)
+
+
 def run_rules(
     spark: SparkSession, source: str, rules: dict[str, Rule], dest: str, **options
 ) -> dict[str, RunStats]:

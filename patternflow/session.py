@@ -25,6 +25,8 @@ def build_session(app: str = "patternflow", master: str | None = None, **conf: s
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Call sites are recorded for every Column built otherwise, which doubles planning time.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)

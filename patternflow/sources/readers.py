@@ -50,10 +50,13 @@ def read_csv(
     per file. By default that is found out first, in one parallel pass over the
     lines; pass ``multi_line`` when you know. Header names lose surrounding
     spaces; other renamings are Spark's (duplicate or blank names get a suffix).
+    Files of a folder must agree on the header, or reading them fails.
     """
     if multi_line is None:
         multi_line = has_multi_line_cells(spark, path)
-    reader = spark.read.options(header=True, multiLine=multi_line, escape='"')
+    reader = spark.read.options(
+        header=True, multiLine=multi_line, escape='"', enforceSchema=not has_many_files(spark, path)
+    )
     df = (reader.schema(schema) if schema else reader).csv(path)
     return _trim_header(_require_header(df, path))
 
@@ -69,6 +72,11 @@ def has_multi_line_cells(spark: SparkSession, path: str) -> bool:
     return bool(odd.select(F.lit(1)).take(1))
 
 
+def has_many_files(spark: SparkSession, path: str) -> bool:
+    # File names only; no content is read.
+    return spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1
+
+
 def _require_header(df: DataFrame, path: str) -> DataFrame:
     if not df.columns:
         raise EmptyTableError(f"No columns found in {path}")

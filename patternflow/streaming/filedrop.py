@@ -29,10 +29,13 @@ def read_drops(
     """CSV files dropped into ``folder``, all cells strings.
 
     Quoted line breaks are allowed for by default: arriving files cannot be
-    checked ahead, and files of a drop are read in parallel anyway.
+    checked ahead, and files of a drop are read in parallel anyway. A file whose
+    header differs from ``columns`` stops the query rather than shifting cells.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.readStream.schema(schema).options(header=True, multiLine=multi_line, escape='"')
+    reader = spark.readStream.schema(schema).options(
+        header=True, multiLine=multi_line, escape='"', enforceSchema=False
+    )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.csv(folder)

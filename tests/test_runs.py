@@ -179,3 +179,24 @@ def test_hot_keys_take_the_broadcast_side(spark):
     want = left.join(right, "key", "left")
     assert got.count() == 6001
     assert got.select("id", "v").exceptAll(want.select("id", "v")).count() == 0
+
+
+def test_request_to_result(spark, people_csv):
+    from patternflow import run_request
+
+    dest = scratch_path(spark, "out")
+    stats = run_request(spark, people_csv, "redact the email addresses", ["Email"], dest)
+    assert (stats.matched_rows, stats.output_rows) == (6, 10)
+    assert {r["Email"] for r in spark.read.parquet(dest).collect()} == {None, "••••"}
+
+
+def test_dataset_catalogue(spark, people_csv):
+    from patternflow import register_dataset
+    from patternflow.plans.datasets import dataset
+
+    catalog = scratch_path(spark, "datasets")
+    first = register_dataset(spark, people_csv, catalog, kind="csv")
+    register_dataset(spark, people_csv, catalog, kind="csv")
+    record = dataset(spark, catalog, first).first()
+    assert record["columns"] == ["ID", "Name", "Email"] and record["size_bytes"] > 100
+    assert spark.read.parquet(catalog).count() == 2

@@ -189,3 +189,12 @@ def test_contacts_are_stable(spark):
     odd = a.filter(~F.col("Phone").rlike(r"^\([2-9]\d\d\) [2-9]\d\d-[1-9]\d{3}$"))
     assert odd.count() == 0
     assert contacts(spark, 500, seed=2).exceptAll(a).count() > 400
+
+
+def test_files_of_a_folder_must_agree(spark, tmp_path):
+    write(tmp_path, "id,name\n1,x\n", "a.csv")
+    write(tmp_path, "id,name\n2,y\n", "b.csv")
+    assert sorted(rows(read_csv(spark, str(tmp_path)))) == [("1", "x"), ("2", "y")]
+    write(tmp_path, "name,id\nz,3\n", "c.csv")
+    with pytest.raises(Exception):
+        read_csv(spark, str(tmp_path)).collect()
