@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from patternflow.functions.columns import is_blank, ref
 from patternflow.model import COMBINATORS
+from patternflow.session import ensure_on_executors
 
 MAX_LENGTH = 2000
 TRIAL_SECONDS = 1.0
@@ -143,6 +144,7 @@ def static_reason(pattern: Column) -> Column:
 def lint_rules(rules: DataFrame, pattern: str = "pattern", *, trial: bool = True) -> DataFrame:
     """Add ``ok`` and ``reason`` to a table of patterns; ``trial=False`` keeps to the static checks."""
     p = ref(pattern)
+    ensure_on_executors(rules.sparkSession)
     reason = _check_all(F.array(p))[0] if trial else static_reason(p)
     return rules.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 
@@ -161,6 +163,7 @@ def validate_rules(
     and every pattern has to pass the checks; the first fault in list order counts.
     """
     preds = ref(predicates)
+    ensure_on_executors(rules.sparkSession)
     patterns = F.transform(preds, lambda p: p["pattern"])
     reasons = _check_all(patterns) if trial else F.transform(patterns, static_reason)
     faults = F.zip_with(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,3 +46,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError("Set spark.checkpoint.dir to a folder shared by the cluster")
         root = os.path.join(tempfile.gettempdir(), "patternflow-scratch")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def ensure_on_executors(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for the few Python tasks.
+
+    Local workers share the driver's files. On a cluster that has the package
+    installed this only repeats it.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or getattr(sc, "_patternflow_sent", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(), "patternflow")
+    sc.addPyFile(shutil.make_archive(archive, "zip", root, "patternflow"))
+    sc._patternflow_sent = True

@@ -64,11 +64,13 @@ def read_csv(
 def has_multi_line_cells(spark: SparkSession, path: str) -> bool:
     """Whether some quoted cell might hold a line break.
 
-    If every line has an even number of quotes, no line ends inside a quoted
-    cell, and splitting at lines is exact. One odd line settles it the other way.
+    A line is plain if its quotes, doubled ones aside, come in pairs that enclose
+    whole cells: then no cell is left open at its end. If all lines are plain,
+    splitting at lines is exact; one other line settles it the other way.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = spark.read.text(path).filter(quotes % 2 == 1)
+    single = F.replace("value", F.lit('""'), F.lit(""))
+    left_over = F.regexp_replace(single, r'(^|,)"[^"]*"(?=,|$)', "$1")
+    odd = spark.read.text(path).filter(F.col("value").contains('"') & left_over.contains('"'))
     return bool(odd.select(F.lit(1)).take(1))
 
 

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from patternflow.session import ensure_on_executors
+
 _BATCH_ROWS = 5000
 
 # Built-in number formats that show a date or a time. Fixed values of the format.
@@ -173,6 +175,7 @@ def _header(cells: list[str | None]) -> list[str]:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
+    ensure_on_executors(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 

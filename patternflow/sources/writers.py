@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patternflow.functions.cells import MAX_COLUMNS, MAX_ROWS, excel_safe
+from patternflow.functions.columns import ref
 from patternflow.model import FLAG
 from patternflow.operators.paging import display, matched_view
+from patternflow.session import ensure_on_executors
 from patternflow.sources.workbook_sink import WorkbookSink
 
 
@@ -26,9 +29,17 @@ def exported(df: DataFrame, matched_only: bool = False, flag: str = FLAG) -> Dat
 
 
 def export_csv(df: DataFrame, path: str, matched_only: bool = False, flag: str = FLAG) -> None:
-    """A folder of CSV parts, each with the header, in the table's row order."""
-    exported(df, matched_only, flag).write.mode("overwrite").options(
-        header=True, escape='"', emptyValue=""
+    """A folder of CSV parts, each with the header, in the table's row order.
+
+    Cells keep their spaces; an empty text is written as ``""``, a null as nothing.
+    """
+    out = exported(df, matched_only, flag)
+    if len(out.columns) == 1:
+        # A lone null would make an empty line, which CSV writers and readers skip.
+        cell = ref(out.columns[0]).cast("string")
+        out = out.select(F.coalesce(cell, F.lit("")).alias(out.columns[0]))
+    out.write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
 
 
@@ -60,12 +71,23 @@ def export_excel(df: DataFrame, path: str, matched_only: bool = False, flag: str
     out = exported(df, matched_only, flag)
     rows = check_fits_excel(out)
     df.sparkSession.dataSource.register(WorkbookSink)
-    placed = excel_safe(out).withColumn("__place", F.monotonically_increasing_id())
+    ensure_on_executors(df.sparkSession)
+    placed = excel_safe(_wall_clock(out)).withColumn("__place", F.monotonically_increasing_id())
     sheet = placed.repartition(1).sortWithinPartitions("__place").drop("__place")
     sheet.write.format(WorkbookSink.name()).mode("overwrite").save(path)
     return rows
 
 
+def _wall_clock(df: DataFrame) -> DataFrame:
+    """Timestamps as the session shows them, whatever the executors' own time zone."""
+    shown = {
+        f.name: ref(f.name).cast("timestamp_ntz")
+        for f in df.schema.fields
+        if isinstance(f.dataType, T.TimestampType)
+    }
+    return df.select(*(shown.get(c, ref(c)).alias(c) for c in df.columns))
+
+
 def export(df: DataFrame, path: str, fmt: str = "csv", matched_only: bool = False) -> None:
     if fmt == "csv":
         export_csv(df, path, matched_only)

@@ -55,6 +55,23 @@ def test_quoted_line_breaks_are_noticed(spark, tmp_path):
     assert rows(read_csv(spark, broken)) == [("1", "line one\nline two"), ("2", "ok")]
 
 
+@pytest.mark.parametrize(
+    "line, plain",
+    [
+        ('1,"a","b,c",', True),
+        ('"",""""," "" "', True),
+        ('"a""b","""x","x"""', True),
+        ('say ""hi"",2', True),
+        ('1,"open', False),
+        ('a"b,"c', False),
+        ('"a"b",c"', False),
+        ('5" pipe,2', False),
+    ],
+)
+def test_lines_that_leave_no_cell_open(spark, tmp_path, line, plain):
+    assert has_multi_line_cells(spark, write(tmp_path, f"a,b\n{line}\n")) is not plain
+
+
 def test_clean_csv_is_split(spark, tmp_path):
     body = "".join(f"{i},{'x' * 50}\n" for i in range(20_000))
     path = write(tmp_path, "id,t\n" + body)
@@ -198,3 +215,35 @@ def test_files_of_a_folder_must_agree(spark, tmp_path):
     write(tmp_path, "name,id\nz,3\n", "c.csv")
     with pytest.raises(Exception):
         read_csv(spark, str(tmp_path)).collect()
+
+
+def test_csv_export_keeps_every_cell(spark):
+    data = [(" lead trail ", 'q"q', "a\r\nb\rc"), ("back\\slash", '\\"', ","), (None, "  ", None)]
+    df = spark.createDataFrame(data, "a string, b string, c string")
+    path = scratch_path(spark, "csv")
+    export(df, path)
+    assert sorted(rows(read_csv(spark, path)), key=str) == sorted(data, key=str)
+
+
+def test_csv_export_of_one_column_keeps_empty_rows(spark):
+    path = scratch_path(spark, "csv")
+    export(spark.createDataFrame([("a",), (None,), ("",), ("b",)], "c string").coalesce(1), path)
+    assert rows(read_csv(spark, path)) == [("a",), (None,), (None,), ("b",)]
+
+
+def test_excel_export_of_wall_clock_time(spark):
+    path = scratch_path(spark, "book") + ".xlsx"
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        export_excel(spark.sql("SELECT timestamp'2024-07-01 10:00:00' AS t"), path)
+        assert rows(read_table(spark, path)) == [("2024-07-01 10:00:00",)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_excel_export_keeps_row_order(spark):
+    path = scratch_path(spark, "book") + ".xlsx"
+    df = spark.range(0, 20_000, 1, 8).withColumn(FLAG, F.col("id") % 3 == 0)
+    assert export_excel(df, path, matched_only=True) == 6667
+    assert [int(r["id"]) for r in read_table(spark, path).collect()] == list(range(0, 20_000, 3))
