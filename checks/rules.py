@@ -49,7 +49,6 @@ for name, entity, action, value, source, columns, target in [
     ("extract_url_pages", "url", "extract", "", "pages", PAGES, "html"),
     ("keep_card_documents", "credit_card", "keep", "", "documents", DOCS, "text"),
     ("drop_card_documents", "credit_card", "drop", "", "documents", DOCS, "text"),
-    ("extract_card_documents", "credit_card", "extract", "", "documents", DOCS, "text"),
     ("mask_mention_documents", "mention", "mask", "", "documents", DOCS, "text"),
     ("strip_html_pages", "html_tag", "replace", "", "pages", PAGES, "html"),
     ("collapse_whitespace_pages", "whitespace", "replace", " ", "pages", PAGES, "html"),
@@ -69,6 +68,22 @@ for name, entity, action, value, source, columns, target in [
 ]:
     _rule_query(name, entity_rule(entity, [target], action, value), source, columns)
 
+
+# A match may end in a space, if a letter follows. The SQL engine knows ASCII letters
+# only, so it searches a copy of the text with every letter made an "x".
+_card_hit = sql_hit("plain", pattern_of("credit_card"))
+
+
+@checked(
+    f"""SELECT doc_id, CASE WHEN {_card_hit} THEN regexp_extract(plain, {lit(pattern_of("credit_card"))})
+    ELSE text END AS text, {_card_hit} AS "__matched__"
+    FROM (SELECT doc_id, text, regexp_replace(text, '\\p{{L}}', 'x', 'g') AS plain FROM documents)"""
+)
+def extract_card_documents(spark: SparkSession, d: str) -> DataFrame:
+    rule = entity_rule("credit_card", ["text"], "extract")
+    return apply_rule(table(spark, d, "documents").select("doc_id", "text"), rule)
+
+
 # Combinators.
 _two = (Predicate("p_name", "^s"), Predicate("p_brand", "1"))
 _rule_query("all_two_columns", Rule(_two, "all", "find"), "part", PART)
