@@ -25,7 +25,9 @@ def text_matches(text: Column, pattern: str) -> Column:
     entity = BY_PATTERN.get(pattern)
     if entity is not None:
         gate = entity.gate(text)
-        return test if gate is None else gate & test
+        if gate is None or entity.exact:
+            return test if gate is None else gate
+        return gate & test
     prefix = _PREFIX.match(pattern)
     if prefix:
         starts = text.startswith(prefix.group(1))

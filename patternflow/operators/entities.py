@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +31,25 @@ def entity_scan(
     texts = source.select(
         *(null_as_empty(as_text(c)).alias(f"t{i}") for i, c in enumerate(columns))
     )
-    # Many entities need a digit, which a cell is searched for once.
+    # Tests that others build on run once per cell: most entities need a digit, and
+    # some match just when one of two or three simpler ones does.
+    shared = {n for e in chosen for n in (e.either or (("number",) if e.digits else ()))}
     texts = texts.select(
-        "*", *(F.col(f"t{i}").rlike(r"\d").alias(f"d{i}") for i in range(len(columns)))
+        "*",
+        *(
+            text_matches(F.col(f"t{i}"), BY_NAME[n].pattern).alias(f"{n}{i}")
+            for i in range(len(columns))
+            for n in sorted(shared)
+        ),
     )
 
     def test(i: int, e: Entity) -> Column:
+        if e.name in shared:
+            return F.col(f"{e.name}{i}")
+        if e.either:
+            return reduce(or_, (F.col(f"{n}{i}") for n in e.either))
         found = text_matches(F.col(f"t{i}"), e.pattern)
-        return F.col(f"d{i}") & found if e.digits else found
+        return F.col(f"number{i}") & found if e.digits else found
 
     counters = [
         F.count(F.when(test(i, e), 1)).alias(f"n{i}_{j}")

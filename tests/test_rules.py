@@ -14,6 +14,7 @@ from patternflow import (
     Rule,
     RuleError,
     apply_rule,
+    entity_scan,
     match_condition,
     rule_counts,
 )
@@ -205,7 +206,7 @@ def test_gates_never_change_the_outcome(spark):
 
     rng = random.Random(3)
     bits = ["1", "23", "456", "7890", "-", ".", ":", "/", "@", "#", "%", "$", "€", "<", ">", " ", "ab", "F",
-            "com", "www.", "http", "://", "(", ")", "+", "deadbeef", "cafe", "00:1b", "2024-01-02", ",", "é"]
+            "com", "www.", "http", "://", "(", ")", "+", "\t", "\v", "\u00a0", "deadbeef", "cafe", "00:1b", "2024-01-02", ",", "é"]
     texts = [("".join(rng.choices(bits, k=rng.randint(0, 14))),) for _ in range(20_000)]
     df = spark.createDataFrame(texts, "t string")
     wrong = df.agg(
@@ -213,6 +214,10 @@ def test_gates_never_change_the_outcome(spark):
         *(F.count_if(F.col("t").rlike(e.pattern)).alias(e.name + "_hits") for e in CATALOGUE),
     ).first().asDict()
     assert {e.name: wrong[e.name] for e in CATALOGUE if wrong[e.name]} == {}
+    scanned = {r["entity"]: r["matched_rows"] for r in entity_scan(df, ["t"]).collect()}
+    assert scanned == {e.name: wrong[e.name + "_hits"] for e in CATALOGUE}
+    few = {r["entity"]: r["matched_rows"] for r in entity_scan(df, ["t"], ["letter", "date"]).collect()}
+    assert few == {n: scanned[n] for n in ("letter", "date")}
     assert sum(wrong[e.name + "_hits"] > 0 for e in CATALOGUE) >= 20
 
 
@@ -232,8 +237,6 @@ def test_gates_never_change_the_outcome(spark):
     ],
 )
 def test_entities_without_hits_in_the_tables(spark, entity, yes, no):
-    from patternflow import entity_scan
-
     df = spark.createDataFrame([(yes,), (no,), (None,)], "c string")
     assert rows(entity_scan(df, ["c"], [entity])) == [("c", entity, 3, 1)]
 
