@@ -78,7 +78,8 @@ def _running_totals(per_file: DataFrame) -> DataFrame:
     """Exclusive prefix sums in ``file_key`` order, in two levels.
 
     Totals of file groups (about a thousandth of the files) go through one
-    ordered window; within a group each task sums its own files.
+    ordered window; within a group each task sums its own files. All of this is
+    one short row per FILE, never a row of the table.
     """
     sums = {"file_no": F.lit(1), "rows_before": F.col("n_rows"), "matched_before": F.col("n_matched")}
 

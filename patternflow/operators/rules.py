@@ -26,7 +26,13 @@ from patternflow.functions.matching import (
 from patternflow.model import CELL_ACTIONS, FLAG, ROW_ACTIONS, Rule, RuleError
 from patternflow.operators.layout import spread
 
-_HIT = "__hit_{}__"
+
+def _free_names(df: DataFrame, count: int) -> list[str]:
+    """Names for helper columns that no column of the table has."""
+    stem = "__hit"
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem = "_" + stem
+    return [f"{stem}_{i}" for i in range(count)]
 
 
 def _check(df: DataFrame, rule: Rule, flag: str) -> None:
@@ -61,7 +67,7 @@ def apply_rule(
     keep_hits = rule.action in CELL_ACTIONS and rule.combinator == "any"
     keep_hits = keep_hits and len(rule.predicates) > 1
     if keep_hits:
-        hits = [_HIT.format(i) for i in range(len(rule.predicates))]
+        hits = _free_names(df, len(rule.predicates))
         flagged = df.select("*", *(hit(p).alias(h) for p, h in zip(rule.predicates, hits)))
         flagged = flagged.select("*", combine([ref(h) for h in hits], "any").alias(flag))
     else:

@@ -98,6 +98,13 @@ def test_odd_column_names(spark):
     assert rows(out) == [("xz", "z", True)]
 
 
+def test_helper_names_stay_out_of_the_way(spark):
+    df = spark.createDataFrame([("a", "b")], "`__hit_0` string, x string")
+    rule = Rule((Predicate("__hit_0", "z"), Predicate("x", "b")), "any", "extract")
+    out = apply_rule(df, rule)
+    assert out.columns == ["__hit_0", "x", FLAG] and rows(out) == [("a", "b", True)]
+
+
 def test_missing_columns_are_all_named(people):
     with pytest.raises(MissingColumnsError) as e:
         apply_rule(people, Rule.fan_out(["x", "name", "y"], "a"))
