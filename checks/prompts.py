@@ -178,7 +178,7 @@ _RESOLVED = f"""SELECT *,
     f"""SELECT id, action, value, error, 'heuristic' AS source,
     CASE WHEN error IS NULL THEN 'any' END AS combinator,
     CASE WHEN error IS NULL THEN explanation END AS explanation,
-    CASE WHEN error IS NULL THEN len(columns) END AS n_predicates,
+    CASE WHEN error IS NULL THEN CAST(len(columns) AS INTEGER) END AS n_predicates,
     CASE WHEN error IS NULL THEN columns[1] END AS first_column,
     CASE WHEN error IS NULL THEN columns[-1] END AS last_column,
     CASE WHEN error IS NULL THEN pattern END AS pattern

@@ -194,7 +194,7 @@ def result_totals_documents(spark: SparkSession, d: str) -> DataFrame:
     return result_totals(spark.read.parquet(_result(spark, d)))
 
 
-@checked("SELECT count(*) AS total_rows, 0 AS matched_rows FROM lineitem")
+@checked("SELECT count(*) AS total_rows, CAST(0 AS BIGINT) AS matched_rows FROM lineitem")
 def result_totals_unflagged(spark: SparkSession, d: str) -> DataFrame:
     return result_totals(table(spark, d, "lineitem"))
 
@@ -234,7 +234,7 @@ def _samples_sql(source: str, key: str, columns: list[str], k: int, max_len: int
     laps AS (SELECT *, i % greatest(1, n // {k}) AS lap FROM numbered),
     cells AS ({cells}),
     met AS (SELECT "column", value, min(lap * 1000000000 + i) AS rank FROM cells WHERE value <> '' GROUP BY ALL),
-    placed AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY rank) AS pos FROM met)
+    placed AS (SELECT "column", value, CAST(row_number() OVER (PARTITION BY "column" ORDER BY rank) AS INTEGER) AS pos FROM met)
     SELECT "column", pos, value FROM placed WHERE pos <= {k}"""
 
 
