@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patternflow.functions.columns import SPACE_CLASS, null_as_empty, ref, strip
 from patternflow.operators.lookup import attach
 from patternflow.plans.prompts import resolve_action, resolve_prompts
+from patternflow.session import scratch_path
 
 MODEL = "heuristic:v1"
 TTL_DAYS = 30
@@ -101,7 +102,11 @@ def resolve_with_reuse(
     store = spark.read.schema(STORE_SCHEMA).parquet(store_path)
     known = fresh_entries(store, now, ttl_days)
     keyed = with_keys(requests, prompt, columns)
-    missing = resolve_prompts(new_requests(keyed, known, prompt, columns), prompt=prompt, columns=columns)
+    new = resolve_prompts(new_requests(keyed, known, prompt, columns), prompt=prompt, columns=columns)
+    # Worked out once, for the store as well as for the answers.
+    staged = scratch_path(spark, "resolved")
+    new.select("key", *_PAYLOAD, "source", "error").write.parquet(staged)
+    missing = spark.read.parquet(staged)
     answers = known.select(
         "key", *_PAYLOAD, F.lit("cache").alias("source"), F.lit(None).cast("string").alias("error")
     ).unionByName(missing.select("key", *_PAYLOAD, "source", "error"))
