@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternflow.llm import exact_dedup, quality_rules
+from patternflow.llm import exact_dedup, quality_rules, source_mix
 from patternflow.llm.common import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,47 @@ FROM n WINDOW same AS (PARTITION BY body)"""
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document stays of each group of equal texts: the one with the largest identifier."""
     return exact_dedup.mark_copies(documents(spark, sf_dir), keep="largest")
+
+
+def _mix_sql() -> str:
+    w, share, most = source_mix.WEIGHTS, source_mix.SHARE, source_mix.MOST
+    seed, digits = source_mix.SEED, source_mix.BLOCK_DIGITS
+    weight = f"CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(w)} " + " ".join(
+        f"WHEN {i} THEN {x}" for i, x in enumerate(w)
+    ) + " END"
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS skey,
+         md5('{seed}|row|' || doc_id) AS key, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+sources AS (SELECT skey, source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY ALL),
+weighed AS (SELECT *, {weight} AS weight, {most} * source_size AS cap FROM sources),
+levelled AS (
+  SELECT *, row_number() OVER bound AS place,
+         ({share} * (SELECT sum(source_size) FROM sources) - coalesce(sum(cap) OVER (bound ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (bound ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW bound AS (ORDER BY cap / weight, source NULLS LAST)),
+first AS (SELECT place, level FROM levelled WHERE level <= cap / weight ORDER BY place LIMIT 1),
+targets AS (
+  SELECT skey, source_size, CASE WHEN l.place >= f.place THEN f.level * weight ELSE CAST(cap AS DOUBLE) END AS target
+  FROM levelled l LEFT JOIN first f ON true),
+blocks AS (SELECT skey, key[1:{digits}] AS block, sum(size) AS words FROM sized GROUP BY ALL),
+ordered AS (
+  SELECT skey, block, source_size, target,
+         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes,
+         coalesce(sum(words) OVER (PARTITION BY skey ORDER BY md5('{seed}|block|' || skey || '|' || block), block
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM blocks JOIN targets USING (skey)),
+placed AS (
+  SELECT s.doc_id, s.size, o.source_size, o.target, o.passes, o.target - o.passes * o.source_size - o.before AS room,
+         coalesce(sum(s.size) OVER (PARTITION BY s.skey, o.block ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside,
+         sum(s.size) OVER (PARTITION BY s.skey, o.block) AS words
+  FROM sized s JOIN ordered o ON s.skey = o.skey AND s.key[1:{digits}] = o.block)
+SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN room > 0 AND (words <= room OR 2 * inside + size <= 2 * room) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed"""
+
+
+@query(_mix_sql())
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, against its source's target."""
+    mixed = source_mix.mix_sources(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
