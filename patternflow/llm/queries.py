@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternflow.llm import exact_dedup, quality_rules, source_mix
+from patternflow.llm import exact_dedup, quality_rules, secret_scan, source_mix
 from patternflow.llm.common import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,51 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes, against its source's target."""
     mixed = source_mix.mix_sources(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _secret_sql() -> str:
+    def one(order: int, rule: secret_scan.SecretRule) -> str:
+        p = rule.pattern.replace("'", "''")
+        return (
+            f"SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, i, len(gaps[i]) AS gap, len(hits[i]) AS hit, len(parts[i]) >= {rule.least} AS ok FROM ("
+            f"SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(body, '{p}') AS gaps, "
+            f"regexp_extract_all(body, '{p}') AS hits, regexp_extract_all(body, '{p}', {rule.part}) AS parts FROM body))"
+        )
+
+    steps = " UNION ALL ".join(one(i, r) for i, r in enumerate(secret_scan.RULES))
+    base = f"ord < {secret_scan.BASE}"
+    joined = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord)"
+    return f"""
+WITH body AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+steps AS ({steps}),
+spans AS (
+  SELECT *, stop - hit AS start FROM (
+    SELECT *, CAST(sum(gap + hit) OVER (PARTITION BY doc_id, ord ORDER BY i) AS BIGINT) AS stop FROM steps) WHERE ok),
+per AS (
+  SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access,
+         count(*) FILTER (WHERE ord = 2) AS n_hex, {joined} FILTER (WHERE {base}) AS base, {joined} AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(body) AS blob_sha256
+FROM body LEFT JOIN per USING (doc_id)"""
+
+
+@query(_secret_sql())
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: counts of the base kinds and all spans."""
+    scanned = secret_scan.scan_versions(documents(spark, sf_dir))
+    found = F.col("findings")
+
+    def n(order: int):
+        return F.size(F.filter(found, lambda s: s["order"] == order)).cast("long")
+
+    base = F.filter(found, lambda s: s["order"] < secret_scan.BASE)
+    return scanned.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(found).alias("spans"),
+        "blob_sha256",
+    )
