@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternflow.llm import exact_dedup, quality_rules, secret_scan, source_mix
-from patternflow.llm.common import documents, labels
+from patternflow.llm import exact_dedup, language_id, quality_rules, secret_scan, source_mix
+from patternflow.llm.common import documents, fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -189,3 +189,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.listed(found).alias("spans"),
         "blob_sha256",
     )
+
+
+@query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of four folds of five."""
+    docs = documents(spark, sf_dir)
+    held_out = fold("doc_id", 5) == 0
+    model = language_id.train(docs.filter(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
