@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternflow.llm import exact_dedup, language_id, quality_rules, secret_scan, source_mix
+from patternflow.llm import exact_dedup, language_id, quality_classifier, quality_rules, secret_scan, source_mix
 from patternflow.llm.common import documents, fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 5) == 0
     model = language_id.train(docs.filter(~held_out))
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, by a model of two folds of three."""
+    docs = documents(spark, sf_dir)
+    held_out = fold("doc_id", 3) == 1
+    model = quality_classifier.train(docs, labels(spark, sf_dir).filter(~held_out))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
