@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternflow.llm import exact_dedup, language_id, quality_classifier, quality_rules, secret_scan, source_mix
+from patternflow.llm import (
+    exact_dedup,
+    language_id,
+    piece_codec,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    source_mix,
+    token_counts,
+    vocabulary,
+)
 from patternflow.llm.common import documents, fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +218,22 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_classifier.train(docs, labels(spark, sf_dir).filter(~held_out))
     scored = quality_classifier.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of vocabulary pieces of every document."""
+    return token_counts.count_tokens(documents(spark, sf_dir), vocabulary.load())
+
+
+@query()
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, and the digest of the text that decoding them gives."""
+    pieces = vocabulary.load()
+    encoded = piece_codec.encode(documents(spark, sf_dir), pieces)
+    return encoded.select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(piece_codec.decoded(encoded, pieces), 256).alias("decoded_sha256"),
+    )
