@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternflow.llm import (
+    context_mixing,
     exact_dedup,
     language_id,
     piece_codec,
@@ -237,3 +238,11 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(piece_codec.decoded(encoded, pieces), 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document, under models of four folds of five."""
+    held_out = fold("doc_id", 5) == 1
+    scored = context_mixing.score_documents(documents(spark, sf_dir), trained=~held_out)
+    return scored.withColumn("held_out", held_out)
