@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from patternflow.llm import (
     context_mixing,
     exact_dedup,
+    jaccard_join,
     language_id,
     piece_codec,
     quality_classifier,
@@ -246,3 +247,9 @@ def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 5) == 1
     scored = context_mixing.score_documents(documents(spark, sf_dir), trained=~held_out)
     return scored.withColumn("held_out", held_out)
+
+
+@query()
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document among those whose 4-word shingles agree by 85 per cent."""
+    return jaccard_join.similar_groups(documents(spark, sf_dir), words=4, percent=85)
