@@ -136,7 +136,7 @@ def _context_hashes(s: Stretch) -> list[np.ndarray]:
     code = s.symbols.astype(np.uint64) + np.uint64(1)
     before = [np.zeros(n, np.uint64) for _ in range(6)]
     for k in range(6):
-        before[k][k + 1 :] = code[: n - k - 1]
+        before[k][k + 1 :] = code[: max(0, n - k - 1)]
         before[k][inside <= k] = 0
     pair = before[0] | (before[1] << np.uint64(9))
     four = pair | (before[2] << np.uint64(18)) | (before[3] << np.uint64(27))

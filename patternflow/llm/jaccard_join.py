@@ -452,7 +452,11 @@ def similar_groups(
     its rows'. Null and blank texts have an empty set and are linked with nothing, so
     they keep their own identifier. Rows that repeat, or whose sets are equal, share a
     component. A null identifier counts only where a component has no other. Other columns are ignored.
+    ``percent`` must be above 50: then a set of one member has no partner but its equals, and
+    partners differ in size by less than a doubling.
     """
+    if not 50 < percent <= 100:
+        raise ValueError(f"percent must be above 50 and at most 100, not {percent}")
     ensure_on_executors(df.sparkSession)
     docs = df.select(ref(id_col).alias("id"), ref(text_col).cast("string").alias("text"))
     rows, frequent = _all_sets(docs, words)
