@@ -7,15 +7,15 @@ n-grams in the prefix covers c - k + 1 of the n-grams that a partner may lack, s
 prefix is extended until all classes together cover one more than that. Sets that agree
 in no signature can't be linked; those that do are verified in full.
 
-Sets that are equal are one node from the start. Small groups of a signature give pairs, which an
-exact bound on their difference thins out; large groups give only a star. The
-components of both are cells; a cell is verified block against block in numpy, and
-only a spanning forest of its links leaves the task.
+Sets that are equal are one node from the start. Nodes of a signature are compared by
+parity sketches, which bound the difference of two sets from below: small groups pair by pair, large
+ones block against block in numpy. The components of what may be similar are
+cells; a cell's sets are then compared in full, again block against block. Of either
+comparison of blocks only a spanning forest leaves the task.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -36,9 +36,10 @@ K_FREQUENT, K_EVERYWHERE, EVERYWHERE = 2, 3, 0.01
 SMALLEST_COMBINED = 32
 #: Signature groups up to this size give pairs.
 PAIRED = 64
-#: Bits of the parity sketch that bounds two sets' difference.
-SKETCH_BITS = 1024
-#: Members and n-grams of a block of a cell.
+#: Bits of the parity sketch that bounds two sets' difference: as many as n-grams, between these powers of two.
+SKETCH_BITS = (10, 17)
+#: Members of a block of sketches; members and n-grams of a block of sets.
+BLOCK_SKETCHES = 512
 BLOCK_MEMBERS, BLOCK_GRAMS = 256, 1 << 19
 #: Slots by which rows that can't matter are turned away before a join: bounds what is broadcast.
 SLOTS = 1 << 20
@@ -139,12 +140,19 @@ def _digests(sets: Sets) -> list[bytes]:
     return [both[i : i + 16] for i in range(0, len(both), 16)]
 
 
-def _sketches(sets: Sets) -> list[list[int]]:
-    """For each set the parity of its n-grams in every one of SKETCH_BITS slots, as longs."""
-    owner = np.repeat(np.arange(len(sets.size)), sets.size)
-    slot = (_mixed(sets.grams, 11) >> np.uint64(64 - int(math.log2(SKETCH_BITS)))).astype(np.int64)
-    odd = (np.bincount(owner * SKETCH_BITS + slot, minlength=len(sets.size) * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(sets.size), SKETCH_BITS), axis=1).view(np.int64).tolist()
+def _sketches(sets: Sets) -> list[np.ndarray]:
+    """For each set the parity of its n-grams in every slot, as longs.
+
+    The slot is the lower bits of a hash, so that folding a sketch in half gives the one of half the bits.
+    """
+    low, high = SKETCH_BITS
+    power = np.clip(np.ceil(np.log2(np.maximum(sets.size, 1))), low, high).astype(np.int64)
+    first = np.cumsum(1 << power) - (1 << power)
+    hashed = _mixed(sets.grams, 11).astype(np.int64)
+    slot = np.repeat(first, sets.size) + (hashed & np.repeat((1 << power) - 1, sets.size))
+    odd = (np.bincount(slot, minlength=int((1 << power).sum())) & 1).astype(np.uint8)
+    longs = np.packbits(odd, bitorder="little").view(np.int64)
+    return np.split(longs, np.cumsum((1 << power) >> 6)[:-1])
 
 
 @dataclass(frozen=True)
@@ -322,9 +330,6 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     met = signed.withColumn("slot", _slot("signature")).join(slots, "slot", "left_semi").join(groups, "signature")
     met = staged(met.select("signature", "node", "size", "members", "centre"), "gram-members")
 
-    stars = met.filter((F.col("members") > PAIRED) & (F.col("node") != F.col("centre"))).select(
-        F.col("centre").alias("a"), F.col("node").alias("b")
-    )
     listed = (
         met.filter(F.col("members") <= PAIRED)
         .groupBy("signature")
@@ -340,18 +345,65 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
         )
     )
     pairs = listed.select(F.explode(near).alias("p")).select("p.a", "p.b").distinct()
-    # Slots of odd difference are at most as many as n-grams that only one of the two has.
     side = nodes.select("node", "size", "sketch")
     both = pairs.join(side.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a")), "a").join(
         side.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b")), "b"
     )
-    odd = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n
+
+    def folded(x: Column, y: Column) -> Column:
+        """``x`` as short as ``y``: partners' sizes, and so their sketches, differ by a doubling at most."""
+        n = F.size(y)
+        return F.when(F.size(x) > n, F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    halves = F.zip_with(
+        folded(F.col("sketch_a"), F.col("sketch_b")), folded(F.col("sketch_b"), F.col("sketch_a")), lambda x, y: F.bit_count(x.bitwiseXOR(y))
     )
+    # Slots of odd difference are at most as many as n-grams that only one of the two has.
+    odd = F.aggregate(halves, F.lit(0), lambda s, n: s + n)
     sizes = F.col("size_a") + F.col("size_b")
-    shared = F.ceil(percent * sizes / (100 + percent))
-    close = both.filter(odd <= sizes - 2 * shared).select("a", "b")
-    return close.unionByName(stars).distinct()
+    close = both.filter(odd <= sizes - 2 * F.ceil(percent * sizes / (100 + percent))).select("a", "b")
+
+    # Large groups with the same smallest node are one unit: groups of near copies mostly have the same few.
+    large = met.filter(F.col("members") > PAIRED).select("centre", "node").distinct().join(side, "node")
+    wide = large.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SKETCHES).cast("int").alias("blocks"))
+    units = _units(large.join(wide, "centre")).select("centre", "x", "y", "block", "node", "size", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        size = np.array(table["size"], np.int64)
+        # Unsigned: numpy counts the bits of a signed number's absolute value.
+        sketches = [np.asarray(x.values).view(np.uint64) for x in table["sketch"]]
+        near = _close(size, sketches, percent)
+        return _forest(np.array(table["node"], np.int64), np.array(table["block"], np.int64), near)
+
+    return close.unionByName(units.groupBy("centre", "x", "y").applyInArrow(compare, "a long, b long")).distinct()
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """``members`` with block, x and y: each goes once to every pair of blocks (x, y) that its own is in."""
+    return (
+        members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    )
+
+
+def _close(size: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs the sketches and sizes leave possible."""
+    sizes = size[:, None] + size[None, :]
+    allowed = sizes - 2 * -(-percent * sizes // (100 + percent))
+    near = np.zeros(sizes.shape, bool)
+    length = np.array([len(s) for s in sketches])
+    for n in np.unique(length):
+        same, twice = np.flatnonzero(length == n), np.flatnonzero(length == 2 * n)
+        here = np.stack([sketches[i] for i in same])
+        there = np.concatenate([here, *[(sketches[i][:n] ^ sketches[i][n:])[None] for i in twice]])
+        at = np.concatenate([same, twice])
+        odd = np.zeros((len(same), len(at)), np.int64)
+        for word in range(n):
+            odd += np.bitwise_count(here[:, word, None] ^ there[None, :, word])
+        near[np.ix_(same, at)] = odd <= allowed[np.ix_(same, at)]
+    near |= near.T
+    return near & (100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]))
 
 
 def _digest_slot(column: Column | str) -> Column:
@@ -384,29 +436,19 @@ def _verified(docs: DataFrame, nodes: DataFrame, cells: DataFrame, words: int, p
     wide = members.groupBy("cell").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks")
     )
-    # A member goes once to each pair of blocks that its own is in.
-    units = (
-        members.join(wide, "cell")
-        .join(grams, "digest")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "grams")
-    )
+    units = _units(members.join(wide, "cell")).join(grams, "digest").select("cell", "x", "y", "block", "node", "grams")
 
     def link(table: pa.Table) -> pa.Table:
-        node = np.array(table["node"], np.int64)
-        block = np.array(table["block"], np.int64)
         sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in table["grams"]]
-        a, b = _forest(node, block, sets, percent)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _forest(np.array(table["node"], np.int64), np.array(table["block"], np.int64), _linked(sets, percent))
 
     return units.groupBy("cell", "x", "y").applyInArrow(link, "a long, b long")
 
 
-def _forest(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the linked pairs of one block, or of pairs across two blocks."""
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets reach the similarity, exactly."""
     size = np.array([len(s) for s in sets], np.int64)
-    every, inverse, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, inverse, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     number = np.cumsum(met > 1) - 1  # n-grams of a single set are in no intersection
     use = met[inverse] > 1
     owner, gram = np.repeat(np.arange(len(sets)), size)[use], number[inverse[use]]
@@ -420,10 +462,14 @@ def _forest(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent
         held[owner[a:b], gram[a:b] - low] = 1
         shared += held @ held.T
     shared = shared.astype(np.int64)  # whole numbers below 2 ** 24: exact
-    linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+    return 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+
+
+def _forest(node: np.ndarray, block: np.ndarray, linked: np.ndarray) -> pa.Table:
+    """(a, b): a spanning forest of the linked pairs of one block, or of pairs across two blocks."""
     if block.min() != block.max():
-        linked &= block[:, None] != block[None, :]
-    root = list(range(len(sets)))
+        linked = linked & (block[:, None] != block[None, :])
+    root = list(range(len(node)))
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -431,14 +477,13 @@ def _forest(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent
             i = root[i]
         return i
 
-    out_a, out_b = [], []
+    kept = []
     for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
         x, y = top(int(i)), top(int(j))
         if x != y:
             root[y] = x
-            out_a.append(int(node[i]))
-            out_b.append(int(node[j]))
-    return out_a, out_b
+            kept.append((int(node[i]), int(node[j])))
+    return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
 
 
 def similar_groups(

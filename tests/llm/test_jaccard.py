@@ -56,6 +56,8 @@ def test_with_frequent_grams_and_small_blocks(spark, prose, monkeypatch):
     monkeypatch.setattr(jaccard_join, "EVERYWHERE", 0.03)
     monkeypatch.setattr(jaccard_join, "PAIRED", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 5)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SKETCHES", 7)
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", (6, 7))
     rnd = random.Random(5)
     base = prose[0].split() + prose[4].split() + prose[9].split()
     many = []
