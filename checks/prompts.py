@@ -280,6 +280,20 @@ def lint_trial(spark: SparkSession, d: str) -> DataFrame:
     return lint_rules(_patterns(spark, d)).select("id", "ok", "reason")
 
 
+_JAVA_ONLY = [r"\Q%s\E", r"\pL+%s", r"%s\z", r"\x{41}%s", r"(?U)\w+%s", r"(?<=a{1,3})%s", r"\G\d%s"]
+_PYTHON_ONLY = [r"(?P<n>%s)", r"%s{,3}", r"(?a)%s"]
+
+
+@checked(f"SELECT p_partkey AS id, CASE WHEN p_partkey % 10 > 6 THEN {lit(L.INVALID)} END AS reason FROM part")
+def lint_engine_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Forms that only one of two engines knows: the one that runs them decides."""
+    forms = F.array(*[F.lit(f) for f in _JAVA_ONLY + _PYTHON_ONLY])
+    k = F.col("p_partkey")
+    pattern = F.replace(F.get(forms, (k % 10).cast("int")), F.lit("%s"), F.col("p_name"))
+    df = table(spark, d, "part").select(k.alias("id"), pattern.alias("pattern"))
+    return lint_rules(df).select("id", "reason")
+
+
 def _rules(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id")
 

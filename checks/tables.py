@@ -17,9 +17,11 @@ from patternflow import (
     inspect_row,
     jump_to_row,
     pattern_of,
+    preview,
     read_csv,
     read_drops,
     read_page,
+    read_table,
     read_window,
     result_totals,
     run_history,
@@ -32,8 +34,11 @@ from patternflow import (
     write_result,
 )
 from patternflow.functions.cells import FORBIDDEN, excel_safe
+from patternflow.model import MissingColumnsError
 from patternflow.operators.paging import display, matched_view, page_counts
 from patternflow.sources import contacts as C
+from patternflow.sources.readers import EmptyTableError
+from patternflow.sources.writers import TooLargeForExcel, check_fits_excel
 
 # ---- CSV and Parquet round trips -------------------------------------------
 
@@ -376,3 +381,68 @@ def _pick_sql(values: tuple[str, ...], salt: int) -> str:
 )
 def contacts_generator(spark: SparkSession, d: str) -> DataFrame:
     return contacts_for(table(spark, d, "customer"), "c_custkey", seed=42)
+
+
+# ---- Row order over several files, and guards ---------------------------------
+
+
+def _uneven(spark: SparkSession, d: str) -> str:
+    """Parts in key order over several files, of which the later are many times larger."""
+    path = scratch_path(spark, "uneven")
+    filler = F.repeat("p_name", F.when(F.col("p_partkey") > 100, 60).otherwise(1))
+    write_ordered(table(spark, d, "part").select("p_partkey", "p_name", filler.alias("filler")), ["p_partkey"], path, 6)
+    return path
+
+
+_PLACES = "SELECT row_number() OVER (ORDER BY p_partkey) AS position, {key} AS p_partkey FROM part"
+
+
+def _places(spark: SparkSession, path: str) -> DataFrame:
+    return with_row_numbers(spark, path, column="position").select("position", "p_partkey")
+
+
+@checked(_PLACES.format(key="p_partkey"))
+def run_row_order(spark: SparkSession, d: str) -> DataFrame:
+    out = scratch_path(spark, "run")
+    run_rule(spark, f"{_uneven(spark, d)}/", Rule.on("p_name", "a", "find"), out, kind="parquet")
+    return _places(spark, out)
+
+
+@checked(_PLACES.format(key="CAST(p_partkey AS VARCHAR)"))
+def export_row_order(spark: SparkSession, d: str) -> DataFrame:
+    """Exported, read as a folder of CSV files by a run, and numbered."""
+    out, back = scratch_path(spark, "csv"), scratch_path(spark, "run")
+    export_csv(spark.read.parquet(_uneven(spark, d)), out)
+    run_rule(spark, out, Rule.on("p_name", "a", "find"), back)
+    return _places(spark, back)
+
+
+@checked(f"SELECT * FROM ({_PLACES.format(key='CAST(p_partkey AS VARCHAR)')}) WHERE position <= 20")
+def preview_row_order(spark: SparkSession, d: str) -> DataFrame:
+    shown = preview(read_table(spark, _uneven(spark, d))).collect()
+    return spark.createDataFrame([(i, r["p_partkey"]) for i, r in enumerate(shown, 1)], "position long, p_partkey string")
+
+
+@checked(
+    """SELECT 'columns' AS guard, 'absent' AS verdict UNION ALL SELECT 'header', 'No columns found'
+    UNION ALL SELECT 'worksheet', CASE WHEN (SELECT count(*) FROM lineitem) > 5000 THEN 'too large' ELSE 'fits' END"""
+)
+def guard_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """What the checks before a run or an export say about the given tables."""
+    verdicts = {}
+    try:
+        apply_rule(table(spark, d, "documents"), Rule.on("absent", "x"))
+    except MissingColumnsError as exc:
+        verdicts["columns"] = "absent" if "absent" in str(exc) else str(exc)
+    blank = scratch_path(spark, "blank")
+    table(spark, d, "documents").filter("false").select("text").write.text(blank)
+    try:
+        read_csv(spark, blank)
+    except EmptyTableError as exc:
+        verdicts["header"] = str(exc).split(" in ")[0]
+    try:
+        check_fits_excel(table(spark, d, "lineitem"), max_rows=5001)
+        verdicts["worksheet"] = "fits"
+    except TooLargeForExcel:
+        verdicts["worksheet"] = "too large"
+    return spark.createDataFrame(sorted(verdicts.items()), "guard string, verdict string")

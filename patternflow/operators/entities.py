@@ -13,7 +13,6 @@ from patternflow.functions.columns import as_text, null_as_empty, ref
 from patternflow.functions.entities import BY_NAME, CATALOGUE, Entity
 from patternflow.functions.matching import text_matches
 from patternflow.model import Predicate, Rule
-from patternflow.operators.layout import spread
 
 
 def entity_scan(
@@ -27,7 +26,7 @@ def entity_scan(
     columns = list(columns)
     chosen = [BY_NAME[e] for e in entities] if entities is not None else list(CATALOGUE)
     Rule(tuple(Predicate(c, "") for c in columns)).check_columns(df.columns)
-    source = spread(df.select(*(ref(c) for c in columns)))
+    source = df.select(*(ref(c) for c in columns))
     texts = source.select(
         *(null_as_empty(as_text(c)).alias(f"t{i}") for i, c in enumerate(columns))
     )

@@ -24,7 +24,6 @@ from patternflow.functions.matching import (
     text_matches,
 )
 from patternflow.model import CELL_ACTIONS, FLAG, ROW_ACTIONS, Rule, RuleError
-from patternflow.operators.layout import spread
 
 
 def _free_names(df: DataFrame, count: int) -> list[str]:
@@ -147,7 +146,7 @@ def rule_counts(df: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     for rule in rules.values():
         rule.check_columns(df.columns)
     used = list(dict.fromkeys(p.column for r in rules.values() for p in r.predicates))
-    source = spread(df.select(*(ref(c) for c in used)))
+    source = df.select(*(ref(c) for c in used))
     aggs = [F.count(F.lit(1)).alias("total")] + [
         F.count(F.when(match_condition(r.predicates, r.combinator), 1)).alias(f"m{i}")
         for i, r in enumerate(rules.values())

@@ -1,9 +1,9 @@
 """Checking patterns before they meet the data.
 
 Spark runs patterns on Java's backtracking engine and has no guard of its own.
-The static checks are column expressions. The compile check and the timed trial
-need a regex engine to hand, so they run in Python, on the pattern column alone
-and once per distinct pattern of a task.
+Everything that decides whether a pattern is valid is a column expression; the compile check
+asks the very engine that will run it. A timed trial on short texts, in Python and on
+the pattern column alone, may then find a valid pattern slow.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,49 +39,15 @@ INVALID = "Invalid regex."
 NESTED = "Nested unbounded quantifiers risk catastrophic backtracking."
 SLOW = "Too slow on short texts; catastrophic backtracking is likely."
 
-# Java syntax the Python engine lacks, matched token by token so that an escaped
-# backslash is never taken for the start of one.
-_JAVA_TOKEN = re.compile(
-    r"\\(?P<sign>[pP])\{(?P<cls>[^}]*)\}|\\k<(?P<back>[A-Za-z_]\w*)>"
-    r"|\\(?P<esc>.)|\(\?<(?P<group>[A-Za-z_]\w*)>",
-    re.DOTALL,
-)
-_ESCAPES = {"h": "[ \\t]", "H": "[^ \\t]", "R": "(?:\\r\\n|[\\r\\n])"}
-# A stand-in per class, by first letter: close enough to compile and time a pattern.
-_CLASSES = {
-    "a": r"[^\W_]", "l": r"[^\W\d_]", "u": r"[A-Z]", "d": r"[\d]", "n": r"[\d]",
-    "s": r"[\s]", "z": r"[\s]", "p": r"[^\w\s]", "x": r"[0-9A-Fa-f]",
-}
-
-
-def to_python(pattern: str) -> str:
-    """A Python rendering of a Java pattern, for checking only."""
-
-    def render(m: re.Match) -> str:
-        if m["cls"] is not None:
-            name = m["cls"].strip().lower().removeprefix("is")
-            found = _CLASSES.get(name[:1], r"[\w]")
-            if m["sign"] == "P":
-                found = "[" + found[2:] if found.startswith("[^") else "[^" + found[1:]
-            return found
-        if m["back"]:
-            return f"(?P={m['back']})"
-        if m["group"]:
-            return f"(?P<{m['group']}>"
-        return _ESCAPES.get(m["esc"], m[0])
-
-    return _JAVA_TOKEN.sub(render, pattern)
-
-
-def _compile(pattern: str) -> re.Pattern | None:
+
+def _for_trial(pattern: str) -> re.Pattern | None:
+    """The pattern for Python's engine, or None if only Java's knows its syntax."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        for candidate in (pattern, to_python(pattern)):
-            try:
-                return re.compile(candidate)
-            except (re.error, OverflowError, RecursionError):
-                continue
-    return None
+        try:
+            return re.compile(pattern)
+        except (re.error, OverflowError, RecursionError):
+            return None
 
 
 def _finishes(compiled: re.Pattern, seconds: float) -> bool:
@@ -112,24 +80,51 @@ def _finishes(compiled: re.Pattern, seconds: float) -> bool:
 
 
 @lru_cache(maxsize=10_000)
+def _is_slow(pattern: str) -> bool:
+    compiled = _for_trial(pattern)
+    return compiled is not None and not _finishes(compiled, TRIAL_SECONDS)
+
+
 def check_pattern(pattern: str | None) -> str | None:
     """Why a pattern must not run, or None if it may."""
     if pattern is None or not pattern.strip():
         return EMPTY
     if len(pattern) > MAX_LENGTH:
         return TOO_LONG
-    compiled = _compile(pattern)
-    if compiled is None:
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (PySparkException, Py4JError):
         return INVALID
     if re.search(NESTED_QUANTIFIER, pattern):
         return NESTED
-    return None if _finishes(compiled, TRIAL_SECONDS) else SLOW
+    return SLOW if _is_slow(pattern) else None
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _check_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _slow_ones(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for patterns in batches:
-        yield patterns.map(lambda ps: None if ps is None else [check_pattern(p) for p in ps])
+        yield patterns.map(lambda ps: None if ps is None else [p is not None and _is_slow(p) for p in ps])
+
+
+def compiles(pattern: Column) -> Column:
+    """Whether Java's engine takes the pattern."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+def native_reason(pattern: Column) -> Column:
+    """The static checks and the compile check; null when they pass."""
+    static = static_reason(pattern)
+    return F.when(static.isNotNull() & (static != NESTED), static).when(~compiles(pattern), INVALID).otherwise(static)
+
+
+def _reasons(patterns: Column, trial: bool) -> Column:
+    """The reason of each of an array of patterns. Only those that pass so far are tried."""
+    if not trial:
+        return F.transform(patterns, static_reason)
+    native = F.transform(patterns, native_reason)
+    slow = _slow_ones(F.transform(patterns, lambda p: F.when(native_reason(p).isNull(), p)))
+    return F.zip_with(native, slow, lambda why, late: F.coalesce(why, F.when(late, SLOW)))
 
 
 def static_reason(pattern: Column) -> Column:
@@ -142,10 +137,13 @@ def static_reason(pattern: Column) -> Column:
 
 
 def lint_rules(rules: DataFrame, pattern: str = "pattern", *, trial: bool = True) -> DataFrame:
-    """Add ``ok`` and ``reason`` to a table of patterns; ``trial=False`` keeps to the static checks."""
+    """Add ``ok`` and ``reason`` to a table of patterns.
+
+    ``trial=False`` keeps to the static checks: neither compiled nor tried.
+    """
     p = ref(pattern)
     ensure_on_executors(rules.sparkSession)
-    reason = _check_all(F.array(p))[0] if trial else static_reason(p)
+    reason = _reasons(F.array(p), True)[0] if trial else static_reason(p)
     return rules.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 
 
@@ -165,7 +163,7 @@ def validate_rules(
     preds = ref(predicates)
     ensure_on_executors(rules.sparkSession)
     patterns = F.transform(preds, lambda p: p["pattern"])
-    reasons = _check_all(patterns) if trial else F.transform(patterns, static_reason)
+    reasons = _reasons(patterns, trial)
     faults = F.zip_with(
         preds,
         F.col("__reasons"),

@@ -97,7 +97,9 @@ def resolve_with_reuse(
     "cache" for requests the store already held. The store is an append-only
     Parquet table; it must exist (see :func:`create_store`).
     """
-    now = F.current_timestamp() if now is None else now
+    # One literal instant: an entry alive now must still be when the answers are computed.
+    asked_at = F.unix_micros((F.current_timestamp() if now is None else now).cast("timestamp"))
+    now = F.timestamp_micros(F.lit(spark.range(1).select(asked_at).first()[0]))
     # The entries seen at the start decide what counts as known.
     store = spark.read.schema(STORE_SCHEMA).parquet(store_path)
     known = fresh_entries(store, now, ttl_days)

@@ -17,11 +17,13 @@ from patternflow.operators.paging import write_page_index
 from patternflow.operators.rules import apply_rule
 from patternflow.plans.lint import check_pattern
 from patternflow.plans.prompts import rule_from_prompt
+from patternflow.sources.order import in_source_order
 from patternflow.sources.readers import read_table
-from patternflow.sources.writers import write_result
+from patternflow.sources.writers import replace_result
 
 PAGE_SIZE = 50
 MAX_PAGE_SIZE = 500
+_GROUP_PROPERTIES = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
 
 RUNS_SCHEMA = T.StructType(
     [
@@ -90,15 +92,19 @@ def run_rule(
     index_path: str | None = None,
     dataset: str | None = None,
     request: str = "",
+    keep_order: bool = True,
     **read_options,
 ) -> RunStats:
     """Apply a rule to a table and write the result, reading the source once.
 
-    The counts are observed while the one map-only job writes. Its tasks are
+    Rows keep their order, so a row has the same number in source and result. A source of
+    several files is put in order by a range exchange for that; ``keep_order=False``
+    spares it. The counts are observed while the last, map-only, stage writes. Its tasks are
     result tasks, whose metrics Spark takes in once per partition whatever gets
     retried, so the counts are exact even when executors are lost. With
     ``runs_path`` a record is appended, for failed runs too; with ``index_path``
-    the result's page index is written for quick paging.
+    the result's page index is written for quick paging. An earlier result at
+    ``dest`` stays as it is until the new one is complete.
     """
     run_id = run_id or uuid.uuid4().hex
     dataset = dataset or (source if isinstance(source, str) else "")
@@ -118,19 +124,20 @@ def run_rule(
         one.coalesce(1).write.mode("append").parquet(runs_path)
 
     sc = spark.sparkContext
+    callers = {k: sc.getLocalProperty(k) for k in _GROUP_PROPERTIES}
     try:
         check_rule(rule)
-        df = read_table(spark, source, **read_options) if isinstance(source, str) else source
-        counts = Observation(f"run-{run_id}")
-        result = apply_rule(df, rule, observe=counts)
         sc.setJobGroup(run_id, f"{rule.action} rule", interruptOnCancel=True)
         try:
-            write_result(result, dest)
+            df = read_table(spark, source, **read_options) if isinstance(source, str) else source
+            df = in_source_order(df) if keep_order else df
+            counts = Observation(f"run-{run_id}")
+            replace_result(apply_rule(df, rule, observe=counts), dest, run_id)
             if index_path:
                 write_page_index(spark, dest, index_path)
         finally:
-            sc.setLocalProperty("spark.jobGroup.id", None)
-            sc.setLocalProperty("spark.job.description", None)
+            for k, v in callers.items():
+                sc.setLocalProperty(k, v)
         total = int(counts.get.get("total_rows") or 0)
         matched = int(counts.get.get("matched_rows") or 0)
         left = {"keep": matched, "drop": total - matched}.get(rule.action, total)

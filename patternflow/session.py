@@ -49,13 +49,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def ensure_on_executors(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, for the few Python tasks.
+    """Send this package to the Python workers, once per application, for the few Python tasks.
 
-    Local workers share the driver's files. On a cluster that has the package
-    installed this only repeats it.
+    Also in local mode: workers see the driver's files but not its ``sys.path``.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_patternflow_sent", False):
+    if getattr(sc, "_patternflow_sent", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     archive = os.path.join(tempfile.mkdtemp(), "patternflow")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from patternflow.functions.columns import ref
 from patternflow.model import RuleError
+from patternflow.sources.order import first_rows
 from patternflow.sources.workbook import read_workbooks
 
 PREVIEW_ROWS = 20
@@ -24,8 +25,11 @@ def detect_kind(name: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
-    """Read by kind (``csv``, ``excel`` or ``parquet``), guessed from the name by default."""
-    kind = kind or ("parquet" if path.rstrip("/").endswith(".parquet") else detect_kind(path))
+    """Read by kind (``csv``, ``excel`` or ``parquet``).
+
+    By default the name tells; a folder whose name tells nothing is Parquet if a file in it is.
+    """
+    kind = kind or ("parquet" if _is_parquet(spark, path) else detect_kind(path))
     if kind == "parquet":
         df = spark.read.parquet(path)
     elif kind == "excel":
@@ -37,6 +41,21 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, **option
     return _require_header(df, path)
 
 
+def _is_parquet(spark: SparkSession, path: str) -> bool:
+    if path.rstrip("/").endswith(".parquet"):
+        return True
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder) or not fs.getFileStatus(folder).isDirectory():
+        return False
+    files = fs.listFiles(folder, True)
+    while files.hasNext():
+        name = files.next().getPath().getName()
+        if not name.startswith(("_", ".")):
+            return name.endswith(".parquet")
+    return False
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -99,6 +118,6 @@ def _trim_header(df: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
-    """The first rows as text, null cells shown empty."""
+    """The first rows, in the order of the table's files, as text; null cells shown empty."""
     shown = (F.coalesce(ref(c).cast("string"), F.lit("")).alias(c) for c in df.columns)
-    return df.limit(rows).select(*shown)
+    return first_rows(df, rows).select(*shown)

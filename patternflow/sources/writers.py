@@ -11,6 +11,7 @@ from patternflow.functions.columns import ref
 from patternflow.model import FLAG
 from patternflow.operators.paging import display, matched_view
 from patternflow.session import ensure_on_executors
+from patternflow.sources.order import in_source_order
 from patternflow.sources.workbook_sink import WorkbookSink
 
 
@@ -23,6 +24,23 @@ def write_result(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def replace_result(df: DataFrame, path: str, tag: str) -> None:
+    """Write next to ``path`` and take its place once complete; a failed write leaves it alone."""
+    spark = df.sparkSession
+    there, fresh = path.rstrip("/"), f"{path.rstrip('/')}.{tag}.part"
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(there).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write_result(df, fresh)
+        fs.delete(folder(there), True)
+        if not fs.rename(folder(fresh), folder(there)):
+            raise OSError(f"{fresh} could not take the place of {there}")
+    except Exception:
+        if fs.exists(folder(there)):
+            fs.delete(folder(fresh), True)
+        raise
+
+
 def exported(df: DataFrame, matched_only: bool = False, flag: str = FLAG) -> DataFrame:
     """What an export holds: no flag column, selected rows only if asked."""
     return display(matched_view(df, flag) if matched_only else df, flag)
@@ -33,7 +51,7 @@ def export_csv(df: DataFrame, path: str, matched_only: bool = False, flag: str =
 
     Cells keep their spaces; an empty text is written as ``""``, a null as nothing.
     """
-    out = exported(df, matched_only, flag)
+    out = exported(in_source_order(df), matched_only, flag)
     if len(out.columns) == 1:
         # A lone null would make an empty line, which CSV writers and readers skip.
         cell = ref(out.columns[0]).cast("string")
@@ -68,7 +86,7 @@ def export_excel(df: DataFrame, path: str, matched_only: bool = False, flag: str
     one task that writes it never sees more than a worksheet's worth of rows;
     scanning and filtering the table stay parallel.
     """
-    out = exported(df, matched_only, flag)
+    out = exported(in_source_order(df), matched_only, flag)
     rows = check_fits_excel(out)
     df.sparkSession.dataSource.register(WorkbookSink)
     ensure_on_executors(df.sparkSession)

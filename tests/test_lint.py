@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from patternflow import CATALOGUE, check_pattern, lint_rules, validate_rules
 from patternflow.plans import lint as L
 
+pytestmark = pytest.mark.usefixtures("spark")  # patterns are compiled by the session's own engine
+
 
 @pytest.mark.parametrize(
     "pattern, want",
@@ -66,7 +68,7 @@ def test_off_the_main_thread():
     import threading
 
     seen = []
-    L.check_pattern.cache_clear()
+    L._is_slow.cache_clear()
     t = threading.Thread(target=lambda: seen.append(check_pattern(r"(b|bb)+$")))
     t.start()
     t.join(10)
@@ -79,3 +81,15 @@ def test_only_patterns_go_to_python(spark):
     df = spark.range(10).select(F.col("id"), F.lit("a+").alias("pattern"), F.lit("big").alias("other"))
     text = plan(lint_rules(df))
     assert "ArrowEvalPython" in text and "Exchange" not in text
+
+
+JAVA_ONLY = [r"\Qa.b\E", r"\pL+", r"a\z", r"\x{41}", r"(?U)\w+", r"(?<=a{1,3})b", r"\G\d"]
+PYTHON_ONLY = [r"(?P<n>a)", r"a{,3}", r"(?a)x"]
+
+
+def test_the_engine_that_runs_patterns_judges_them(spark):
+    assert [p for p in JAVA_ONLY if check_pattern(p) is not None] == []
+    assert [p for p in PYTHON_ONLY if check_pattern(p) != L.INVALID] == []
+    df = spark.createDataFrame([(p,) for p in JAVA_ONLY + PYTHON_ONLY], "pattern string")
+    got = {r["pattern"]: r["reason"] for r in lint_rules(df).collect()}
+    assert got == {**dict.fromkeys(JAVA_ONLY), **dict.fromkeys(PYTHON_ONLY, L.INVALID)}

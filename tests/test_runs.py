@@ -13,6 +13,7 @@ from patternflow import (
     apply_rule_stream,
     entity_rule,
     read_drops,
+    read_table,
     run_history,
     run_rule,
     run_rules,
@@ -200,3 +201,45 @@ def test_dataset_catalogue(spark, people_csv):
     record = dataset(spark, catalog, first).first()
     assert record["columns"] == ["ID", "Name", "Email"] and record["size_bytes"] > 100
     assert spark.read.parquet(catalog).count() == 2
+
+
+def test_failed_run_leaves_the_old_result(spark, tmp_path):
+    df = spark.range(200).select(F.col("id").cast("string").alias("a"))
+    dest = str(tmp_path / "out")
+    run_rule(spark, df, Rule.on("a", "1"), dest)
+    broken = df.select(F.when(F.col("a") == "150", F.raise_error(F.lit("no"))).otherwise(F.col("a")).alias("a"))
+    with pytest.raises(Exception, match="no"):
+        run_rule(spark, broken, Rule.on("a", "2"), dest)
+    assert spark.read.parquet(dest).count() == 200
+    with pytest.raises(Exception, match="Invalid"):
+        run_rule(spark, df, Rule.on("a", "(?P<n>a)"), dest)
+    assert spark.read.parquet(dest).count() == 200
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_run_result_folder_is_read_as_parquet(spark, tmp_path):
+    dest = str(tmp_path / "out")
+    run_rule(spark, spark.createDataFrame([("x",)], "a string"), Rule.on("a", "x"), dest)
+    assert read_table(spark, dest).columns == ["a", "__matched__"]
+
+
+def test_answers_alive_at_the_call_stay(spark, tmp_path):
+    """An entry that expires between the call and the action still answers, all of it."""
+    import time
+
+    from patternflow.plans.requests import STORE_SCHEMA, TTL_DAYS, create_store, resolve_with_reuse, with_keys
+
+    store = create_store(spark, str(tmp_path / "store"))
+    asked = spark.createDataFrame([("find emails", ["a"])], "prompt string, columns array<string>")
+    first = resolve_with_reuse(spark, asked, store).first()
+    assert first["source"] != "cache"
+    old = spark.read.schema(STORE_SCHEMA).parquet(store).withColumn(
+        "created_at", F.current_timestamp() - F.make_dt_interval(F.lit(TTL_DAYS)) + F.expr("INTERVAL 6 SECONDS")
+    )
+    late = str(tmp_path / "late")
+    old.write.parquet(late)
+    out = resolve_with_reuse(spark, asked, late)
+    time.sleep(7)
+    got = out.first()
+    assert got["source"] == "cache" and got["predicates"] == first["predicates"]
+    assert with_keys(asked).first()["key"] == got["key"]
