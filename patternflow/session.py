@@ -38,14 +38,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which every executor can reach.
 
     A local temporary folder stands in only when the setting is missing and the
-    session runs in local mode; on a cluster a missing setting is an error.
+    session runs in local mode; on a cluster a missing setting is an error. What an
+    application leaves there goes when it ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder shared by the cluster")
         root = os.path.join(tempfile.gettempdir(), "patternflow-scratch")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def ensure_on_executors(spark: SparkSession) -> None:
