@@ -401,6 +401,13 @@ def _places(spark: SparkSession, path: str) -> DataFrame:
     return with_row_numbers(spark, path, column="position").select("position", "p_partkey")
 
 
+@checked(_PLACES.format(key="p_partkey"))
+def row_numbers_staged_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered as a table of more files than are fetched."""
+    numbered = with_row_numbers(spark, _uneven(spark, d), column="position", files_fetched=2, files_per_broadcast=4)
+    return numbered.select("position", "p_partkey")
+
+
 @checked(_PLACES.format(key="p_partkey"))
 def run_row_order(spark: SparkSession, d: str) -> DataFrame:
     out = scratch_path(spark, "run")

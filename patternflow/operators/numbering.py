@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from patternflow.functions.columns import ref
 from patternflow.model import FLAG, ROW_NUMBER
+from patternflow.session import scratch_path
 
 FILE = "__file"
 
@@ -112,18 +113,23 @@ def with_row_numbers(
     column: str = ROW_NUMBER,
     spans: DataFrame | None = None,
     files_per_broadcast: int = FILES_PER_BROADCAST,
+    files_fetched: int = FILES_FETCHED,
 ) -> DataFrame:
     """The table at ``path`` plus each row's 1-based number, filter-independent.
 
     The file offsets are broadcast in slices of at most ``files_per_broadcast``
-    files, so the broadcast stays bounded however large the table gets.
+    files, so the broadcast stays bounded however large the table gets. Offsets of
+    more than ``files_fetched`` files are worked out once, into the scratch folder.
     """
     table = spark.read.parquet(path)
     spans = file_spans(spark, path) if spans is None else spans
-    few = spans.limit(FILES_FETCHED + 1).collect()
-    if few and len(few) <= FILES_FETCHED:
+    few = spans.limit(files_fetched + 1).collect()
+    if few and len(few) <= files_fetched:
         spans, n_files = spark.createDataFrame(few, spans.schema), len(few)
     else:
+        once = scratch_path(spark, "spans")
+        spans.write.parquet(once)
+        spans = spark.read.schema(spans.schema).parquet(once)
         n_files = spans.count()
     rows = table.select(
         "*",
