@@ -56,9 +56,11 @@ WITH split AS (
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 windows AS (
-  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM split WHERE len(w) >= 5),
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i,
+         unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS five
+  FROM split WHERE len(w) >= 5),
 repeated AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i+1], w[i+2], w[i+3], w[i+4]) AS n FROM windows) WHERE n > 1),
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM windows) WHERE n > 1),
 covered AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM repeated) GROUP BY doc_id),
 counted AS (
@@ -68,7 +70,7 @@ counted AS (
          CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
          CAST(len(regexp_extract_all(body, '[A-Z][A-Z]')) AS BIGINT) AS n_shout
   FROM split LEFT JOIN covered USING (doc_id)),
-measured AS (
+measured AS MATERIALIZED (
   SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.REPEAT_PERCENT} * n_words AS base_failed,
          CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbol_permille,
          CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_permille,
@@ -84,7 +86,7 @@ tested AS (
   SELECT *, list_sum(list_transform(range(0, rejected + 1), lambda k: exp(
       lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({alpha}) + (n - k) * ln(1 - {alpha})
     ))) <= {delta} / count(*) OVER () AS passes FROM steps),
-chosen AS (
+chosen AS MATERIALIZED (
   SELECT stratum, rule, cutoff FROM (
     SELECT *, bool_and(passes) OVER (PARTITION BY stratum, rule ORDER BY step) AS all_pass FROM tested) WHERE all_pass),
 judged AS (SELECT *, {failed} AS fails FROM measured)
