@@ -28,6 +28,7 @@ from patternflow import (
     run_rule,
     sample_values,
     scratch_path,
+    stage_table,
     with_row_numbers,
     write_ordered,
     write_page_index,
@@ -424,6 +425,14 @@ def export_row_order(spark: SparkSession, d: str) -> DataFrame:
     return _places(spark, back)
 
 
+@checked(_PLACES.format(key="CAST(p_partkey AS VARCHAR)"))
+def staged_row_order(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of CSV files, staged for windows."""
+    out, back = scratch_path(spark, "csv"), scratch_path(spark, "staged")
+    export_csv(spark.read.parquet(_uneven(spark, d)), out)
+    return _places(spark, stage_table(read_csv(spark, out), back))
+
+
 @checked(f"SELECT * FROM ({_PLACES.format(key='CAST(p_partkey AS VARCHAR)')}) WHERE position <= 20")
 def preview_row_order(spark: SparkSession, d: str) -> DataFrame:
     shown = preview(read_table(spark, _uneven(spark, d))).collect()

@@ -24,7 +24,7 @@ from patternflow.plans.runs import RunStats, run_history, run_request, run_rule,
 from patternflow.session import build_session, scratch_path
 from patternflow.sources.contacts import contacts, contacts_for
 from patternflow.sources.readers import detect_kind, preview, read_csv, read_table
-from patternflow.sources.writers import export, export_csv, export_excel, write_result
+from patternflow.sources.writers import export, export_csv, export_excel, stage_table, write_result
 from patternflow.streaming.filedrop import StreamCounts, apply_rule_stream, read_drops
 
 __all__ = [
@@ -36,6 +36,6 @@ __all__ = [
     "read_csv", "read_drops", "read_page", "read_table", "read_window", "request_key",
     "resolve_prompts", "resolve_with_reuse", "result_totals", "rule_counts", "rule_from_prompt",
     "rule_summary", "register_dataset", "run_history", "run_request", "run_rule", "run_rules", "sample_values", "samples_map",
-    "scratch_path", "validate_rules", "with_row_numbers", "write_ordered", "write_page_index",
+    "scratch_path", "stage_table", "validate_rules", "with_row_numbers", "write_ordered", "write_page_index",
     "write_result",
 ]

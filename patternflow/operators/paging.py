@@ -150,7 +150,8 @@ def read_page(
     """One page of a result. Row numbers always count the FULL result.
 
     Counts already known (from the run's stats) can be passed in; note that they
-    must be counts of the written rows.
+    must be counts of the written rows. A page holds at most ``MAX_PAGE_SIZE`` rows.
+    Without an index every file's footer is read for the row totals.
     """
     page = max(1, page)
     page_size = max(1, min(page_size, MAX_PAGE_SIZE))
@@ -224,7 +225,10 @@ def jump_to_row(
 ) -> tuple[Page, int]:
     """The page holding ``row`` (clamped to the table) and the row's index on it."""
     if total_all is None:
-        total_all = spark.read.parquet(path).count()
+        if index_path:
+            total_all = _spans(spark, path, index_path, flag).agg(F.sum("n_rows")).first()[0] or 0
+        else:
+            total_all = spark.read.parquet(path).count()
     _, page, index = jump_target(row, total_all, page_size)
     found = read_page(
         spark, path, page, page_size, total_all=total_all, index_path=index_path, flag=flag
@@ -242,7 +246,8 @@ def read_window(
 ) -> RowWindow:
     """The next rows after ``cursor`` (the last row number seen), null cells as empty text.
 
-    Follow the returned cursor until ``eof``; no count of the table is needed.
+    Follow the returned cursor until ``eof``; no count of the table is needed. A window holds at
+    most ``MAX_PAGE_SIZE`` rows whatever ``limit`` says: the cursor says where it ended.
     """
     if cursor is not None and (not isinstance(cursor, int) or cursor < 0):
         raise ValueError("cursor must be a row number returned by an earlier window")

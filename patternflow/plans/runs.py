@@ -17,6 +17,7 @@ from patternflow.operators.paging import write_page_index
 from patternflow.operators.rules import apply_rule
 from patternflow.plans.lint import check_pattern
 from patternflow.plans.prompts import rule_from_prompt
+from patternflow.plans.requests import resolve_with_reuse
 from patternflow.sources.order import in_source_order
 from patternflow.sources.readers import read_table
 from patternflow.sources.writers import replace_result
@@ -158,10 +159,24 @@ def run_request(
     *,
     action: str = "auto",
     value: str = "",
+    store: str | None = None,
     **options,
 ) -> RunStats:
-    """A run from a plain-English request: resolve it for ``columns``, then :func:`run_rule`."""
-    rule = rule_from_prompt(spark, request, columns, action, value)
+    """A run from a plain-English request: resolve it for ``columns``, then :func:`run_rule`.
+
+    With ``store`` (see :func:`~patternflow.plans.requests.create_store`) a request
+    resolved before is taken from there, and a new one is added.
+    """
+    if store is None:
+        rule = rule_from_prompt(spark, request, columns, action, value)
+    else:
+        asked = spark.createDataFrame(
+            [(request, columns, action, value)], "prompt string, columns array<string>, ask string, typed string"
+        )
+        found = resolve_with_reuse(spark, asked, store, action="ask", value="typed").first()
+        if found["error"]:
+            raise RuleError(found["error"])
+        rule = Rule.from_dict(found.asDict(recursive=True))
     return run_rule(spark, source, rule, dest, request=request, **options)
 
 
@@ -196,7 +211,10 @@ def run_progress(spark: SparkSession, run_id: str) -> float:
 def run_history(
     runs: DataFrame, dataset: str | None = None, page: int = 1, page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """One page of run records, newest first, optionally of a single dataset."""
+    """One page of run records, newest first, optionally of a single dataset.
+
+    A page holds at most ``MAX_PAGE_SIZE`` records.
+    """
     page, page_size = max(1, page), max(1, min(page_size, MAX_PAGE_SIZE))
     if dataset is not None:
         runs = runs.filter(ref("dataset") == dataset)

@@ -24,6 +24,12 @@ def write_result(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def stage_table(df: DataFrame, path: str) -> str:
+    """Any table as Parquet in its own row order, ready for windows, pages and samples."""
+    write_result(in_source_order(df), path)
+    return path
+
+
 def replace_result(df: DataFrame, path: str, tag: str) -> None:
     """Write next to ``path`` and take its place once complete; a failed write leaves it alone."""
     spark = df.sparkSession

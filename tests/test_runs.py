@@ -15,6 +15,7 @@ from patternflow import (
     read_drops,
     read_table,
     run_history,
+    run_request,
     run_rule,
     run_rules,
     scratch_path,
@@ -243,3 +244,15 @@ def test_answers_alive_at_the_call_stay(spark, tmp_path):
     got = out.first()
     assert got["source"] == "cache" and got["predicates"] == first["predicates"]
     assert with_keys(asked).first()["key"] == got["key"]
+
+
+def test_requests_of_runs_go_through_the_store(spark, tmp_path):
+    store = create_store(spark, str(tmp_path / "store"))
+    source = spark.createDataFrame([("x@y.com",), ("none",)], "a string")
+    for dest in ("one", "two"):
+        stats = run_request(spark, source, "replace emails with 'E'", ["a"], str(tmp_path / dest), store=store)
+        assert stats.matched_rows == 1
+    assert spark.read.parquet(store).count() == 1
+    plain = run_request(spark, source, "replace emails with 'E'", ["a"], str(tmp_path / "three"))
+    rows = [spark.read.parquet(str(tmp_path / d)).orderBy("a").collect() for d in ("one", "two", "three")]
+    assert rows[0] == rows[1] == rows[2] and plain.matched_rows == 1
