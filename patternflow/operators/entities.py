@@ -20,57 +20,45 @@ def entity_scan(
 ) -> DataFrame:
     """``(column, entity, total_rows, matched_rows)`` for every pair, in one pass.
 
-    A single aggregate over one scan of just these columns; each task sends one
-    row of counters, whatever the size of the table.
+    A single aggregate over one scan of just these columns; each task sends a row of
+    counters per column, whatever the size of the table.
     """
     columns = list(columns)
     chosen = [BY_NAME[e] for e in entities] if entities is not None else list(CATALOGUE)
     Rule(tuple(Predicate(c, "") for c in columns)).check_columns(df.columns)
-    source = df.select(*(ref(c) for c in columns))
-    texts = source.select(
-        *(null_as_empty(as_text(c)).alias(f"t{i}") for i, c in enumerate(columns))
-    )
+    # Cells on end: the plan has one set of counters, however many columns there are.
+    cells = df.select(F.posexplode(F.array(*(null_as_empty(as_text(c)) for c in columns))).alias("place", "cell"))
     # Tests that others build on run once per cell: most entities need a digit, and
     # some match just when one of two or three simpler ones does.
     shared = {n for e in chosen for n in (e.either or (("number",) if e.digits else ()))}
-    texts = texts.select(
-        "*",
-        *(
-            text_matches(F.col(f"t{i}"), BY_NAME[n].pattern).alias(f"{n}{i}")
-            for i in range(len(columns))
-            for n in sorted(shared)
-        ),
-    )
+    cells = cells.select("*", *(text_matches(F.col("cell"), BY_NAME[n].pattern).alias(n) for n in sorted(shared)))
 
-    def test(i: int, e: Entity) -> Column:
+    def test(e: Entity) -> Column:
         if e.name in shared:
-            return F.col(f"{e.name}{i}")
+            return F.col(e.name)
         if e.either:
-            return reduce(or_, (F.col(f"{n}{i}") for n in e.either))
-        found = text_matches(F.col(f"t{i}"), e.pattern)
-        return F.col(f"number{i}") & found if e.digits else found
+            return reduce(or_, (F.col(n) for n in e.either))
+        found = text_matches(F.col("cell"), e.pattern)
+        return F.col("number") & found if e.digits else found
 
-    counters = [
-        F.count(F.when(test(i, e), 1)).alias(f"n{i}_{j}")
-        for i in range(len(columns))
-        for j, e in enumerate(chosen)
-    ]
-    wide = texts.agg(F.count(F.lit(1)).alias("total"), *counters)
-    return wide.select(
+    counters = [F.count(F.when(test(e), 1)).alias(f"n{j}") for j, e in enumerate(chosen)]
+    counted = cells.groupBy("place").agg(F.count(F.lit(1)).alias("total"), *counters)
+    # A row per column even where the table has none.
+    names = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, columns))).alias("place", "column"))
+    return names.join(counted, "place", "left").select(
+        "column",
         F.inline(
             F.array(
                 *(
                     F.struct(
-                        F.lit(c).alias("column"),
                         F.lit(e.name).alias("entity"),
-                        F.col("total").alias("total_rows"),
-                        F.col(f"n{i}_{j}").alias("matched_rows"),
+                        F.coalesce("total", F.lit(0)).alias("total_rows"),
+                        F.coalesce(f"n{j}", F.lit(0)).alias("matched_rows"),
                     )
-                    for i, c in enumerate(columns)
                     for j, e in enumerate(chosen)
                 )
             )
-        )
+        ),
     )
 
 
