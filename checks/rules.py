@@ -13,8 +13,11 @@ from patternflow import (
     apply_rules,
     entity_rule,
     entity_scan,
+    export_csv,
     pattern_of,
     rule_counts,
+    run_rule,
+    scratch_path,
 )
 from patternflow.functions import patterns as P
 
@@ -270,3 +273,36 @@ def repeated_passes_part(spark: SparkSession, d: str) -> DataFrame:
     for df in rest:
         first = first.unionByName(df)
     return first
+
+
+# The benchmark's rules, so that what is timed is checked as well.
+_LINES = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"]
+_rule_query("keep_prefix_lineitem", Rule.on("l_shipdate", "^1996", "keep"), "lineitem", _LINES)
+
+_benched = {e: entity_rule(e, ["text"]) for e in ("email", "ipv4", "phone", "credit_card", "percent")}
+
+
+@checked(
+    " UNION ALL ".join(
+        f"SELECT {lit(n)} AS rule, count(*) AS total_rows, count(*) FILTER (WHERE {sql_flag(r)}) AS matched_rows FROM documents"
+        for n, r in _benched.items()
+    )
+)
+def rule_counts_documents(spark: SparkSession, d: str) -> DataFrame:
+    return rule_counts(table(spark, d, "documents"), _benched)
+
+
+_half_year = Rule.on("l_shipdate", r"^1996-0[1-6]", "replace", "H1")
+
+
+@checked(
+    f"""SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_returnflag,
+    regexp_replace(strftime(l_shipdate, '%Y-%m-%d'), '^1996-0[1-6]', 'H1') AS l_shipdate,
+    {sql_hit("strftime(l_shipdate, '%Y-%m-%d')", '^1996-0[1-6]')} AS "__matched__" FROM lineitem"""
+)
+def run_rule_csv_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    lines, out = scratch_path(spark, "lines"), scratch_path(spark, "run")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate")
+    export_csv(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", day), lines)
+    run_rule(spark, lines, _half_year, out)
+    return spark.read.parquet(out)
