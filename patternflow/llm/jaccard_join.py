@@ -418,7 +418,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, cells: DataFrame, words: int, p
         cells.join(nodes.select("node", "digest", "size"), "node").withColumnRenamed("label", "cell"), "gram-cells"
     )
     wanted = np.zeros(SLOTS, bool)
-    wanted[[r[0] for r in members.select(_digest_slot("digest")).distinct().collect()]] = True  # SLOTS at most
+    slots = members.select(_digest_slot("digest").alias("slot")).distinct().toArrow()  # SLOTS numbers at most
+    wanted[np.asarray(slots["slot"])] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
