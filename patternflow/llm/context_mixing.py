@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ LANES = 8
 END = 256
 #: Added to both counts of a slot.
 PRIOR = 0.3
-#: Logits are stored in steps of 1/1024 around the middle of 14 bits, with two bits for how often the slot was met.
-STEP, MIDDLE, LIMIT = 1024.0, 8192, 7.9
+#: Logits are stored in steps of 1/1024 in the upper 14 of 16 bits; the lower two say how often the slot was met.
+STEP, LIMIT = 1024.0, 7.9
 FIRST_WEIGHT = 0.35
 RATE, DAMPING = 2.5, 60.0
 FIRST_BLOCK, LAST_BLOCK = 32, 1024
@@ -128,6 +129,14 @@ def _groups(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[Stretch]]]:
         at = end
 
 
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of a number and of its inverse, modulo 2 ** 64."""
+    base = 0x9E3779B97F4A7C15
+    inverse = pow(base, -1, 1 << 64)
+    return np.cumprod(np.full(n, base, np.uint64)), np.cumprod(np.full(n, inverse, np.uint64))
+
+
 def _context_hashes(s: Stretch) -> list[np.ndarray]:
     """A 32-bit hash of each context at every byte."""
     n = len(s.symbols)
@@ -137,13 +146,13 @@ def _context_hashes(s: Stretch) -> list[np.ndarray]:
     before = [np.zeros(n, np.uint64) for _ in range(6)]
     for k in range(6):
         before[k][k + 1 :] = code[: max(0, n - k - 1)]
-        before[k][inside <= k] = 0
+        for j in range(k + 1):  # what lies before a text is not its own
+            before[k][s.start[s.length > j] + j] = 0
     pair = before[0] | (before[1] << np.uint64(9))
     four = pair | (before[2] << np.uint64(18)) | (before[3] << np.uint64(27))
     # The word so far: running sums of code * base^place since the last white space, shifted back.
-    base = np.uint64(0x9E3779B97F4A7C15)
-    power = np.cumprod(np.full(n, base, np.uint64))
-    back = np.cumprod(np.full(n, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))
+    power, back = _powers(1 << max(0, n - 1).bit_length())
+    power, back = power[:n], back[:n]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power)])
     opens = inside == 0
     opens[1:] |= _SPACE[s.symbols[:-1]]
@@ -156,19 +165,23 @@ def _context_hashes(s: Stretch) -> list[np.ndarray]:
 
 
 def _decisions(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in ``symbols``, place in the flat code) of every decision, in order."""
+    """(number of decisions of every symbol, place in the flat code of every decision), in order."""
     length = code.length[symbols]
-    place = np.repeat(np.arange(len(symbols)), length)
-    within = np.arange(len(place)) - np.repeat(np.cumsum(length) - length, length)
-    return place, code.start[symbols][place] + within
+    shift = code.start[symbols] - np.cumsum(length) + length
+    return length, np.arange(int(length.sum())) + np.repeat(shift, length)
 
 
-def _slots(hashes: np.ndarray, place: np.ndarray, node_key: np.ndarray) -> np.ndarray:
-    return ((hashes[place] + node_key) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS)
+def _slots(hashes: np.ndarray, length: np.ndarray, node_key: np.ndarray) -> np.ndarray:
+    """The slot of every decision, from its symbol's hash. Made in place: arrays of decisions are long."""
+    slot = np.repeat(hashes, length)
+    slot += node_key
+    slot *= np.uint32(0x85EBCA6B)
+    slot >>= np.uint32(32 - SLOT_BITS)
+    return slot
 
 
 def _node_keys(code: Code, at: np.ndarray) -> np.ndarray:
-    return (code.node * np.uint32(0x9E3779B1))[at]
+    return (code.node * np.uint32(0x9E3779B1)).take(at)
 
 
 def _counted(code: Code, texts: pa.Array, tables: np.ndarray) -> None:
@@ -176,10 +189,13 @@ def _counted(code: Code, texts: pa.Array, tables: np.ndarray) -> None:
     one = tables.dtype.type(1)
     for _, stretches in _groups(texts):
         for s in stretches:
-            place, at = _decisions(code, s.symbols)
-            keys, bit = _node_keys(code, at), code.bit[at].astype(np.uint32)
+            length, at = _decisions(code, s.symbols)
+            keys, bit = _node_keys(code, at), code.bit.astype(np.uint32).take(at)
             for k, hashes in enumerate(_context_hashes(s)):
-                np.add.at(tables[k], _slots(hashes, place, keys) * np.uint32(2) + bit, one)
+                slot = _slots(hashes, length, keys)
+                slot <<= np.uint32(1)
+                slot |= bit
+                np.add.at(tables[k], slot, one)
 
 
 def _packed(counts: np.ndarray) -> np.ndarray:
@@ -187,8 +203,8 @@ def _packed(counts: np.ndarray) -> np.ndarray:
     n = counts.astype(np.float64) + PRIOR
     logit = np.clip(np.log(n[:, 1] / n[:, 0]), -LIMIT, LIMIT)
     met = counts.sum(axis=1)
-    known = (met > 0).astype(np.uint16) + (met > 3) + (met > 30)
-    return (np.round(logit * STEP) + MIDDLE).astype(np.uint16) | (known.astype(np.uint16) << np.uint16(14))
+    known = (met > 0).astype(np.int16) + (met > 3) + (met > 30)
+    return (np.round(logit * STEP).astype(np.int16) << np.int16(2)) | known.astype(np.int16)
 
 
 @dataclass(frozen=True)
@@ -212,11 +228,11 @@ def train(docs: DataFrame, byte_weights: np.ndarray, text_col: str = "text") ->
         lane = TaskContext.get().partitionId() % LANES
         for part, row in enumerate(tables.reshape(-1, PART * 2)):
             if row.any():
-                yield _part_row(part, lane, row.astype(np.int64))
+                yield _part_row(part, lane, _narrowest(row))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, row in _summed(batches).items():
-            yield _part_row(part, 0, row)
+            yield _part_row(part, 0, _narrowest(row))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, row in _summed(batches).items():
@@ -228,7 +244,7 @@ def train(docs: DataFrame, byte_weights: np.ndarray, text_col: str = "text") ->
     packed = lanes.repartition("part").mapInArrow(finish, schema)
     tables = np.tile(_packed(np.zeros((1, 2))), (CONTEXTS, SLOTS)).reshape(-1, PART)
     for r in packed.toLocalIterator():  # tables of fixed size, 16 MB in all
-        tables[r["part"]] = np.frombuffer(r["data"], np.uint16)
+        tables[r["part"]] = np.frombuffer(r["data"], np.int16)
     return MixingModel(code, tables.reshape(CONTEXTS, SLOTS))
 
 
@@ -237,13 +253,24 @@ def _part_row(part: int, lane: int, data: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["part", "lane", "data"])
 
 
+def _narrowest(row: np.ndarray) -> np.ndarray:
+    """The counts of a part in as few bytes as they fit; their number tells which."""
+    top = int(row.max())
+    return row.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if top <= np.iinfo(t).max))
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     """Counts by part: no more than the tables hold, however many rows come in."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
-            row = np.frombuffer(data.as_buffer(), np.int64)
-            sums[part] = sums[part] + row if part in sums else row
+            raw = data.as_buffer()
+            kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // (PART * 2)]
+            row = np.frombuffer(raw, kind)
+            if part in sums:
+                sums[part] += row
+            else:
+                sums[part] = row.astype(np.int64)
     return sums
 
 
@@ -252,56 +279,69 @@ class Mixer:
 
     def __init__(self, model: MixingModel) -> None:
         self.code, self.tables = model.code, model.tables
+        self.sign = 1 - 2 * self.code.bit.astype(np.float32)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """The log10 probability of every text."""
         out = np.zeros(len(texts))
         for numbers, stretches in _groups(texts):
-            weights = np.full((len(numbers) * 16, CONTEXTS), FIRST_WEIGHT, np.float32)
+            weights = np.full((CONTEXTS, len(numbers) * 16), FIRST_WEIGHT / STEP, np.float32)
             for s in stretches:
                 out[numbers] -= self._cost(s, weights) / np.log(10)
         return out
 
     def _cost(self, s: Stretch, weights: np.ndarray) -> np.ndarray:
-        """The stretch's cost by text in nats; ``weights`` are refined on the way."""
+        """The stretch's cost by text in nats; ``weights`` (contexts x 16 a text) are refined on the way.
+
+        Logits stay in steps here, and weights in their inverse.
+        """
         text = np.repeat(np.arange(len(s.start)), s.length)
-        inside = np.arange(len(text)) - s.start[text]
-        block = _block_of(inside)
-        order = np.argsort(block, kind="stable")
-        hashes = _context_hashes(s)
-        place, at = _decisions(self.code, s.symbols[order])
-        place, block = order[place], block[order][place]
-        keys = _node_keys(self.code, at)
-        sign = 1 - 2 * self.code.bit[at].astype(np.float32)
-        inputs = np.empty((CONTEXTS, len(place)), np.float32)
-        gate = np.zeros(len(place), np.int64)
-        for k, h in enumerate(hashes):
-            slot = self.tables[k].take(_slots(h, place, keys))
-            inputs[k] = (slot & np.uint16(0x3FFF)).astype(np.float32)
+        block = _block_of(np.arange(len(text)) - s.start[text])
+        # Sixteen bits, where they suffice, are sorted by counting.
+        order = np.argsort(block.astype(np.int16) if block.max(initial=0) < 1 << 15 else block, kind="stable")
+        length, at = _decisions(self.code, s.symbols[order])
+        keys, sign = _node_keys(self.code, at), self.sign.take(at)
+        inputs = np.empty((CONTEXTS, len(at)), np.float32)
+        known = np.zeros(len(at), np.int16)
+        for k, hashes in enumerate(_context_hashes(s)):
+            slot = self.tables[k].take(_slots(hashes[order], length, keys))
             if k in (1, 2):
-                gate = gate * 4 + (slot >> np.uint16(14))
-        inputs -= MIDDLE
-        inputs /= STEP
-        owner = text[place]
-        gate += owner * 16
-        cost = np.empty(len(place), np.float32)
-        edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            g, x, sg = gate[a:b], inputs[:, a:b], sign[a:b]
-            w = weights[g]
-            logit = w[:, 0] * x[0]
-            for k in range(1, CONTEXTS):
-                logit += w[:, k] * x[k]
-            odds = np.exp(np.minimum(logit * sg, 20.0))
-            cost[a:b] = np.log1p(odds)
-            error = -sg * odds / (1 + odds)
-            low = int(g.min())
-            g = g - low
-            n = np.bincount(g)
-            rate = (RATE / (n + DAMPING)).astype(np.float32)
-            for k in range(CONTEXTS):
-                weights[low : low + len(n), k] += rate * np.bincount(g, weights=error * x[k])
-        return np.bincount(owner, weights=cost, minlength=len(s.start))
+                known <<= np.int16(2)
+                known |= slot & np.int16(3)
+            slot >>= np.int16(2)
+            inputs[k] = slot
+        gate = np.repeat(text[order] * 16, length)
+        gate += known
+        cost = np.empty(len(at), np.float32)
+        ends = np.cumsum(length)
+        last = np.flatnonzero(np.diff(block[order], append=-1))
+        low = 0
+        for high in ends[last].tolist():
+            self._block(inputs[:, low:high], gate[low:high], sign[low:high], weights, cost[low:high])
+            low = high
+        return np.bincount(np.repeat(text[order], length), weights=cost, minlength=len(s.start))
+
+    @staticmethod
+    def _block(x: np.ndarray, gate: np.ndarray, sign: np.ndarray, weights: np.ndarray, cost: np.ndarray) -> None:
+        """Predict one block's decisions with the weights so far, then refine these."""
+        logit = weights[0].take(gate)
+        logit *= x[0]
+        for k in range(1, CONTEXTS):
+            part = weights[k].take(gate)
+            part *= x[k]
+            logit += part
+        logit *= sign
+        odds = np.exp(np.minimum(logit, np.float32(20), out=logit), out=logit)
+        total = odds + np.float32(1)
+        np.log(total, out=cost)
+        error = np.divide(odds, total, out=odds)
+        error *= sign
+        first = int(gate.min())
+        gate = gate - first
+        n = np.bincount(gate)
+        rate = RATE / (STEP * STEP) / (n + DAMPING)
+        for k in range(CONTEXTS):
+            weights[k, first : first + len(n)] -= rate * np.bincount(gate, weights=error * x[k])
 
 
 def _block_of(inside: np.ndarray) -> np.ndarray:

@@ -27,9 +27,9 @@ HELD = 1 << 19
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def lowered_words(text: str | None) -> list[bytes]:
-    """The words of a text with A-Z lower-cased: ``bytes.split`` parts at the same six characters."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def lowered_words(text: bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z lower-cased: ``bytes.split`` parts at the same six characters."""
+    return (text or b"").translate(_LOWER).split()
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def count_words(docs: DataFrame, text_col: str, trained_col: str) -> WordCounts:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for batch in batches:
-            for text, trained in zip(batch.column("text"), batch.column("trained").to_pylist(), strict=True):
+            for text, trained in zip(batch.column("text").cast(pa.binary()), batch.column("trained").to_pylist(), strict=True):
                 held[bool(trained)].update(lowered_words(text.as_py()))
                 if len(held[True]) + len(held[False]) > HELD:
                     yield from _passed_on(held)
@@ -121,26 +121,25 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        common = shared.value
-        logs = {c: math.log10(c + 0.5) for c in set(common.values())}
+        # Words that never train have no logarithm here; they are few, and looked at last.
+        logs = {w: math.log10(c + 0.5) for w, c in shared.value.items() if c}
+        untrained = {w for w, c in shared.value.items() if not c}
         score = model_score()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 out = {k: [] for k in ("n_tokens", "n_known", "base", "rare", "rare_n")}
-                for text in part.column("text"):
-                    met = Counter(lowered_words(text.as_py()))
-                    known, base, rare, rare_n = int(ends > 0), end_log, [], []
-                    for word, n in met.items():
-                        c = common.get(word)
-                        if c is None:
-                            rare.append(word)
-                            rare_n.append(n)
-                        else:
-                            base += n * logs[c]
-                            known += n * (c > 0)
-                    out["n_tokens"].append(met.total() + 1)
+                for text in part.column("text").cast(pa.binary()):
+                    words = lowered_words(text.as_py())
+                    met = list(map(logs.get, words))
+                    missed = Counter(w for w, log in zip(words, met, strict=True) if log is None)
+                    known = len(words) - missed.total() + (ends > 0)
+                    base = end_log + sum(filter(None, met))
+                    rare = [w for w in missed if w not in untrained]
+                    rare_n = [missed[w] for w in rare]
+                    base += math.log10(0.5) * (missed.total() - sum(rare_n))
+                    out["n_tokens"].append(len(words) + 1)
                     out["n_known"].append(known)
                     out["base"].append(base)
                     out["rare"].append(rare)

@@ -141,7 +141,7 @@ def test_next_bytes_share_one():
         total = 0.0
         for symbol in range(257):
             symbols = np.array([*begin, symbol], np.int32)
-            weights = np.full((16, context_mixing.CONTEXTS), context_mixing.FIRST_WEIGHT, np.float32)
+            weights = np.full((context_mixing.CONTEXTS, 16), context_mixing.FIRST_WEIGHT / context_mixing.STEP, np.float32)
             stretch = lambda s: context_mixing.Stretch(s, np.array([0]), np.array([len(s)]))
             whole = context_mixing.Mixer(model)._cost(stretch(symbols), weights.copy())[0]
             before = context_mixing.Mixer(model)._cost(stretch(symbols[:-1]), weights.copy())[0] if begin else 0.0
