@@ -1,16 +1,18 @@
 """Language-model scoring by online logistic context mixing over bits.
 
 A byte is spelled as decisions in a Huffman tree, so frequent bytes take few.
-Every decision is predicted under several contexts; each context's table holds, for a
-hashed (context, tree node), the logit learned from all training texts. The logits are
+Every decision is predicted under several contexts: from how often each of its two ways
+was taken in all training texts where the context was the same. The logits are
 combined by weights, of which a set is gated by how well the contexts are known. The weights
 start equal in every text and are refined while it is read: a block of bytes is
 predicted with the weights so far, then they take a gradient step. A text's score is the
 log10 probability of its bytes, A-Z lower-cased, and of its end.
 
-Texts are read side by side in numpy, one block of each per step. Training
-counts inside tasks and sends tables of fixed size, one per task, summed again
-by Spark in two rounds.
+The counts are exact at any size of input. Texts lie in chunks, and a chunk names its distinct pairs of a
+context and the byte that follows. The pairs of all chunks meet in parts dealt by context, where they
+are summed; back goes what each chunk asked for. Parts and chunks are of bounded size, their
+numbers grow with the input, and nothing is gathered on the driver. Texts of a chunk are
+read side by side in numpy, one block of each per step.
 """
 
 from __future__ import annotations
@@ -22,21 +24,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patternflow.llm.common import ensure_on_executors, ref
+from patternflow.llm.common import ensure_on_executors, ref, staged
 from patternflow.llm.word_unigrams import count_words, score_texts
 
 #: Contexts, in the order of the tables: two bytes before, the word so far, four bytes, six.
 CONTEXTS = 4
-#: Slots of a context's table: 4 MB each as broadcast, 16 MB while counting.
+#: Slots of a context's table in a model that is held in memory (``MixingModel``).
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
-#: Slots of a row of counts on its way from a training task.
-PART = 1 << 14
-#: First round of summing: tasks per sum are divided by this.
-LANES = 8
+#: Bytes of text in a chunk, and those whose pairs of one context a part holds on average; the fewest parts of a context.
+CHUNK = 1 << 24
+PART = 1 << 24
+FEWEST_PARTS = 64
 END = 256
 #: Added to both counts of a slot.
 PRIOR = 0.3
@@ -137,8 +140,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(np.full(n, base, np.uint64)), np.cumprod(np.full(n, inverse, np.uint64))
 
 
-def _context_hashes(s: Stretch) -> list[np.ndarray]:
-    """A 32-bit hash of each context at every byte."""
+def _contexts(s: Stretch) -> list[np.ndarray]:
+    """Each context at every byte, in 54 bits but for the word, a hash of 64."""
     n = len(s.symbols)
     text = np.repeat(np.arange(len(s.start)), s.length)
     inside = np.arange(n) - s.start[text]
@@ -159,7 +162,12 @@ def _context_hashes(s: Stretch) -> list[np.ndarray]:
     word_start = np.maximum.accumulate(np.where(opens, np.arange(n), 0)) if n else np.zeros(0, np.int64)
     word = (sums[:-1] - sums[word_start]) * back[word_start] if n else np.zeros(0, np.uint64)
     six = four | (before[4] << np.uint64(36)) | (before[5] << np.uint64(45))
-    keys = [pair, word, four, six]
+    return [pair, word, four, six]
+
+
+def _context_hashes(s: Stretch) -> list[np.ndarray]:
+    """A 32-bit hash of each context at every byte."""
+    keys = _contexts(s)
     mixed = [(key + np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9) for k, key in enumerate(keys)]
     return [((m ^ (m >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32) for m in mixed]
 
@@ -207,71 +215,250 @@ def _packed(counts: np.ndarray) -> np.ndarray:
     return (np.round(logit * STEP).astype(np.int16) << np.int16(2)) | known.astype(np.int16)
 
 
+def _ranges(code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols by their place among the tree's leaves, places by symbol, and three bounds of every flat decision.
+
+    Between the first and second bound lie the leaves of its way 0, then up to the third those of way 1.
+    """
+    paths = [code.bit[a : a + n].tolist() for a, n in zip(code.start, code.length, strict=True)]
+    symbols = np.array(sorted(range(257), key=lambda s: paths[s]))
+    places = np.argsort(symbols)
+    place = np.repeat(places, code.length)
+    bounds = np.full((3, int(code.node.max()) + 1), 257)
+    np.minimum.at(bounds[0], code.node, place)
+    np.minimum.at(bounds[1], code.node[code.bit == 1], place[code.bit == 1])
+    bounds[2] = 0
+    np.maximum.at(bounds[2], code.node, place + 1)
+    return symbols, places, bounds[:, code.node].astype(np.uint64)
+
+
+def _pair_keys(s: Stretch, places: np.ndarray) -> list[np.ndarray]:
+    """Context and following symbol's place at every byte in one number: 54 and 9 bits. Only the word is hashed."""
+    keys = _contexts(s)
+    word = keys[1] * np.uint64(0xBF58476D1CE4E5B9)
+    keys[1] = ((word ^ (word >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(10)
+    place = places.astype(np.uint64)[s.symbols]
+    return [(key << np.uint64(9)) | place for key in keys]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, index among them of every key), by hashing."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy(zero_copy_only=False)
+
+
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the sorted keys by part, part of each then): all symbols of a context have one part."""
+    mixed = (keys >> np.uint64(9)) * np.uint64(0xD6E8FEB86659FD93)
+    part = (((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint64), kind="stable")
+    return order, part[order]
+
+
+def _squeezed(data: np.ndarray) -> bytes:
+    """The bytes, compressed, behind their number."""
+    raw = np.ascontiguousarray(data).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unsqueezed(data: pa.Scalar) -> bytes:
+    raw = data.as_buffer()
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8].to_pybytes(), "little"), "zstd", asbytes=True)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys in few bytes: distinct contexts as first bytes of all, then second ones and so on; symbols' places; each context's symbols."""
+    context, n = np.unique(keys >> np.uint64(9), return_counts=True)
+    inner = (keys & np.uint64(511)).astype("<u2")
+    head = np.array([len(context), len(keys)], "<u8").view(np.uint8)
+    columns = context.astype(">u8").view(np.uint8).reshape(-1, 8).T.ravel()
+    return _squeezed(np.concatenate([head, columns, inner.view(np.uint8).reshape(-1, 2).T.ravel(), n.astype("<u2").view(np.uint8)]))
+
+
+def _unpacked_keys(data: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(_unsqueezed(data), np.uint8)
+    contexts, n = raw[:16].view("<u8").tolist()
+    columns, inner, each = np.split(raw[16:], [8 * contexts, 8 * contexts + 2 * n])
+    context = np.ascontiguousarray(columns.reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+    place = np.ascontiguousarray(inner.reshape(2, -1).T).view("<u2").ravel().astype(np.uint64)
+    return (np.repeat(context, np.frombuffer(each.tobytes(), "<u2")) << np.uint64(9)) | place
+
+
+class _Pairs:
+    """The distinct pairs of a chunk in each context, with how often training texts hold them."""
+
+    def __init__(self) -> None:
+        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
+        self.waiting = 0
+
+    def add(self, texts: pa.Array, trained: bool, places: np.ndarray) -> None:
+        for _, stretches in _groups(texts):
+            for s in stretches:
+                for k, keys in enumerate(_pair_keys(s, places)):
+                    found, index = _distinct(keys)
+                    n = np.bincount(index, minlength=len(found)) if trained else np.zeros(len(found), np.int64)
+                    self.held[k].append((found, n))
+                    self.waiting += len(found)
+                if self.waiting > 1 << 21:
+                    self.merged()
+
+    def merged(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(sorted distinct keys, counts) by context."""
+        for k, held in enumerate(self.held):
+            if held:
+                self.held[k] = [_summed(np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held]))]
+        self.waiting = 0
+        return [held[0] if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for held in self.held]
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+def _narrowest(n: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as they fit; their number tells which."""
+    top = int(n.max(initial=0))
+    return n.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if top <= np.iinfo(t).max))
+
+
+def _flat_logits(code: Code, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, number, and all of them) of the packed logits on every pair's path; ``keys`` are all of their contexts."""
+    symbols, _, bounds = _ranges(code)
+    length, at = _decisions(code, symbols[(keys & np.uint64(511)).astype(np.int64)])
+    context = np.repeat(keys & ~np.uint64(511), length)
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+    low, middle, high = (total[np.searchsorted(keys, context | b[at])] for b in bounds)
+    return np.cumsum(length) - length, length, _packed(np.stack([middle - low, high - middle], axis=1))
+
+
+def _stretched(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``length`` of them, one after another."""
+    return np.arange(int(length.sum())) + np.repeat(first - np.cumsum(length) + length, length)
+
+
+def cut_texts(docs: DataFrame, code: Code) -> DataFrame:
+    """``docs`` (id, text, trained) as one written table of two kinds of rows.
+
+    Texts have row, chunk, id and text; pairs have chunk, parts of a context, part, keys and counts.
+    """
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(FEWEST_PARTS, -(-held // PART))
+    places = _ranges(code)[1]
+    kind = docs.schema["id"].dataType.simpleString()
+    names = ["row", "chunk", "id", "text", "parts", "part", "keys", "counts"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = chunk = TaskContext.get().partitionId() << 33
+        pairs, held, empty = _Pairs(), 0, None
+        for batch in batches:
+            empty = batch.schema.field("id").type
+            sizes = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(batch):
+                done = int(sizes[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, done + CHUNK - held, side="right")))
+                part = batch.slice(at, end - at)
+                n, text = len(part), part.column("text")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + n)), pa.array(np.full(n, chunk)), part.column("id"), text,
+                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+                trained = part.column("trained").fill_null(False)
+                pairs.add(text.filter(trained), True, places)
+                pairs.add(text.filter(pc.invert(trained)), False, places)
+                held, row, at = held + int(sizes[end - 1]) - done, row + n, end
+                if held >= CHUNK or end < len(batch):
+                    yield from sent(pairs, chunk, empty)
+                    pairs, held, chunk = _Pairs(), 0, chunk + 1
+        if empty is not None:
+            yield from sent(pairs, chunk, empty)
+
+    def sent(pairs: _Pairs, chunk: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for k, (keys, n) in enumerate(pairs.merged()):
+            order, part = _dealt(keys, parts)
+            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else np.zeros(1, np.int64)
+            rows = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            keys, n = keys[order], n[order]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(rows), pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.nulls(len(rows), kind),
+                 pa.nulls(len(rows), pa.string()), pa.array([parts] * len(rows), pa.int32()), pa.array([k * parts + int(part[a]) for a, _ in rows], pa.int32()),
+                 pa.array([_packed_keys(keys[a:b]) for a, b in rows], pa.binary()),
+                 pa.array([_squeezed(_narrowest(n[a:b])) for a, b in rows], pa.binary())], names)
+
+    schema = f"row long, chunk long, id {kind}, text string, parts int, part int, keys binary, counts binary"
+    return staged(docs.select("id", ref("text").cast("string").alias("text"), "trained").mapInArrow(cut, schema), "chunks")
+
+
+def answered(pairs: DataFrame, code: Code) -> DataFrame:
+    """chunk, parts, part and the packed logits of every pair that the chunk named there, of all chunks' counts."""
+
+    def answer(rows: pa.Table) -> pa.Table:
+        keys = [_unpacked_keys(x) for x in rows["keys"]]
+        counts = []
+        for x, k in zip(rows["counts"], keys, strict=True):
+            raw = _unsqueezed(x)
+            kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // len(k)]
+            counts.append(np.frombuffer(raw, kind).astype(np.int64))
+        every, n = _summed(np.concatenate(keys), np.concatenate(counts))
+        first, length, logits = _flat_logits(code, every, n)
+        out = []
+        for k in keys:
+            at = np.searchsorted(every, k)
+            out.append(_squeezed(logits[_stretched(first[at], length[at])]))
+        return pa.table({"chunk": rows["chunk"], "parts": rows["parts"], "part": rows["part"], "logits": pa.array(out, pa.binary())})
+
+    asked = pairs.select("chunk", "parts", "part", "keys", "counts")
+    return asked.groupBy("part").applyInArrow(answer, "chunk long, parts int, part int, logits binary")
+
+
+@dataclass(frozen=True)
+class PairModel:
+    """What every chunk asked for, ``answers``, of exact counts that never leave the executors."""
+
+    code: Code
+    answers: DataFrame
+
+    def scores(self, texts: DataFrame) -> DataFrame:
+        """row and score of ``texts`` (row, chunk, text)."""
+        code = self.code
+
+        def score(own: pa.Table, answers: pa.Table) -> pa.Table:
+            text = own["text"].combine_chunks()
+            mixer = ChunkMixer(code, answers["parts"][0].as_py(), text, zip(answers["part"].to_pylist(), answers["logits"], strict=True))
+            return pa.table({"row": own["row"], "score": pa.array(mixer.score(text), pa.float64())})
+
+        ours = texts.select("chunk", "row", "text").groupBy("chunk")
+        return ours.cogroup(self.answers.groupBy("chunk")).applyInArrow(score, "row long, score double")
+
+
 @dataclass(frozen=True)
 class MixingModel:
+    """A model of few texts, in memory: by context, packed logits in hashed slots."""
+
     code: Code
     tables: np.ndarray
 
+    def scores(self, texts: DataFrame) -> DataFrame:
+        """row and score of ``texts`` (row, text)."""
+        shared = texts.sparkSession.sparkContext.broadcast(self)
 
-def train(docs: DataFrame, byte_weights: np.ndarray, text_col: str = "text") -> MixingModel:
-    """A model of all rows' texts; ``byte_weights`` shapes the code only. No row, no knowledge."""
-    spark = docs.sparkSession
-    ensure_on_executors(spark)
-    code = huffman(byte_weights)
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mixer = Mixer(shared.value)
+            for batch in batches:
+                scores = pa.array(mixer.score(batch.column("text")), pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column("row"), scores], ["row", "score"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        return texts.select("row", "text").mapInArrow(score, "row long, score double")
 
-        tables = np.zeros((CONTEXTS, SLOTS * 2), np.int32)
-        for batch in batches:
-            _counted(code, batch.column(0), tables)
-        lane = TaskContext.get().partitionId() % LANES
-        for part, row in enumerate(tables.reshape(-1, PART * 2)):
-            if row.any():
-                yield _part_row(part, lane, _narrowest(row))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, row in _summed(batches).items():
-            yield _part_row(part, 0, _narrowest(row))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, row in _summed(batches).items():
-            yield _part_row(part, 0, _packed(row.reshape(-1, 2)))
-
-    schema = "part int, lane int, data binary"
-    rows = docs.select(ref(text_col).cast("string").alias("text")).mapInArrow(count, schema)
-    lanes = rows.repartition("part", "lane").mapInArrow(add, schema)
-    packed = lanes.repartition("part").mapInArrow(finish, schema)
-    tables = np.tile(_packed(np.zeros((1, 2))), (CONTEXTS, SLOTS)).reshape(-1, PART)
-    for r in packed.toLocalIterator():  # tables of fixed size, 16 MB in all
-        tables[r["part"]] = np.frombuffer(r["data"], np.int16)
-    return MixingModel(code, tables.reshape(CONTEXTS, SLOTS))
-
-
-def _part_row(part: int, lane: int, data: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array([part], pa.int32()), pa.array([lane], pa.int32()), pa.array([data.tobytes()], pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, ["part", "lane", "data"])
-
-
-def _narrowest(row: np.ndarray) -> np.ndarray:
-    """The counts of a part in as few bytes as they fit; their number tells which."""
-    top = int(row.max())
-    return row.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if top <= np.iinfo(t).max))
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-    """Counts by part: no more than the tables hold, however many rows come in."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
-            raw = data.as_buffer()
-            kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // (PART * 2)]
-            row = np.frombuffer(raw, kind)
-            if part in sums:
-                sums[part] += row
-            else:
-                sums[part] = row.astype(np.int64)
-    return sums
+
+def train(chunks: DataFrame, byte_weights: np.ndarray) -> PairModel:
+    """The model of the training texts in ``chunks``, cut with the code of ``byte_weights``. No row, no knowledge."""
+    code = huffman(byte_weights)
+    return PairModel(code, answered(chunks.filter(F.col("part").isNotNull()), code))
 
 
 class Mixer:
@@ -290,6 +477,12 @@ class Mixer:
                 out[numbers] -= self._cost(s, weights) / np.log(10)
         return out
 
+    def _inputs(self, s: Stretch, order: np.ndarray, length: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """By context, the packed logit of every decision, the symbols in ``order``."""
+        keys = _node_keys(self.code, at)
+        for k, hashes in enumerate(_context_hashes(s)):
+            yield self.tables[k].take(_slots(hashes[order], length, keys))
+
     def _cost(self, s: Stretch, weights: np.ndarray) -> np.ndarray:
         """The stretch's cost by text in nats; ``weights`` (contexts x 16 a text) are refined on the way.
 
@@ -300,11 +493,10 @@ class Mixer:
         # Sixteen bits, where they suffice, are sorted by counting.
         order = np.argsort(block.astype(np.int16) if block.max(initial=0) < 1 << 15 else block, kind="stable")
         length, at = _decisions(self.code, s.symbols[order])
-        keys, sign = _node_keys(self.code, at), self.sign.take(at)
+        sign = self.sign.take(at)
         inputs = np.empty((CONTEXTS, len(at)), np.float32)
         known = np.zeros(len(at), np.int16)
-        for k, hashes in enumerate(_context_hashes(s)):
-            slot = self.tables[k].take(_slots(hashes[order], length, keys))
+        for k, slot in enumerate(self._inputs(s, order, length, at)):
             if k in (1, 2):
                 known <<= np.int16(2)
                 known |= slot & np.int16(3)
@@ -344,6 +536,34 @@ class Mixer:
             weights[k, first : first + len(n)] -= rate * np.bincount(gate, weights=error * x[k])
 
 
+class ChunkMixer(Mixer):
+    """Scores the texts of one chunk with the (part, packed logits) that answer its pairs."""
+
+    def __init__(self, code: Code, parts: int, texts: pa.Array, answers: Iterator[tuple[int, pa.Scalar]]) -> None:
+        self.code = code
+        self.sign = 1 - 2 * code.bit.astype(np.float32)
+        symbols, self.places, _ = _ranges(code)
+        pairs = _Pairs()
+        pairs.add(texts, False, self.places)
+        self.keys, self.first, self.logits = [], [], []
+        by_part = dict(answers)
+        for k, (keys, _) in enumerate(pairs.merged()):
+            order, part = _dealt(keys, parts)
+            held = [_unsqueezed(by_part[k * parts + p]) for p in np.unique(part).tolist()]
+            length = code.length[symbols[(keys[order] & np.uint64(511)).astype(np.int64)]]
+            first = np.empty(len(keys), np.int64)
+            first[order] = np.cumsum(length) - length
+            self.keys.append(keys)
+            self.first.append(first)
+            self.logits.append(np.frombuffer(b"".join(held), np.int16))
+
+    def _inputs(self, s: Stretch, order: np.ndarray, length: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        for k, keys in enumerate(_pair_keys(s, self.places)):
+            found, index = _distinct(keys)
+            first = self.first[k][np.searchsorted(self.keys[k], found)]
+            yield self.logits[k].take(_stretched(first[index[order]], length))
+
+
 def _block_of(inside: np.ndarray) -> np.ndarray:
     """The number of a byte's block: blocks double from ``FIRST_BLOCK`` up to ``LAST_BLOCK`` bytes."""
     doubling = int(np.log2(LAST_BLOCK // FIRST_BLOCK))
@@ -362,11 +582,13 @@ def score_documents(
     words; both count the text's end. Null and empty texts have the end alone. Other
     columns of the input are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text"), trained.alias("trained"))
+    ensure_on_executors(docs.sparkSession)
     counts = count_words(rows, "text", "trained")
-    model = spark.sparkContext.broadcast(train(rows.filter("trained"), counts.byte_weights()))
-    scored = score_texts(rows, counts, "id", "text", lambda: Mixer(model.value).score)
+    weights = counts.byte_weights()
+    chunks = cut_texts(rows, huffman(weights))
+    texts = chunks.filter(F.col("part").isNull())
+    scored = score_texts(texts, counts).join(train(chunks, weights).scores(texts), "row")
     return scored.select(
         F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

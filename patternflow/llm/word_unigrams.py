@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,31 +101,19 @@ def _passed_on(held: dict[bool, Counter]) -> Iterator[pa.RecordBatch]:
             counter.clear()
 
 
-def score_texts(
-    docs: DataFrame,
-    counts: WordCounts,
-    id_col: str,
-    text_col: str,
-    model_score: Callable[[], Callable[[pa.Array], np.ndarray]],
-) -> DataFrame:
-    """One row per input row: id, n_tokens, n_known, base_score and score.
+def score_texts(texts: DataFrame, counts: WordCounts) -> DataFrame:
+    """One row per row of ``texts`` (row, id, text), whose numbers are distinct: row, id, n_tokens, n_known, base_score.
 
-    ``model_score`` makes, in a task, the function that scores an array of texts.
     ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) over the text's words and its end.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(counts.common)
-    rows = docs.select(ref(id_col).alias("id"), ref(text_col).cast("string").alias("text"))
+    shared = texts.sparkSession.sparkContext.broadcast(counts.common)
+    rows = texts.select("row", "id", "text")
     end_log, ends = math.log10(counts.ends + 0.5), counts.ends
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         # Words that never train have no logarithm here; they are few, and looked at last.
         logs = {w: math.log10(c + 0.5) for w, c in shared.value.items() if c}
         untrained = {w for w, c in shared.value.items() if not c}
-        score = model_score()
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
@@ -146,22 +134,20 @@ def score_texts(
                     out["rare_n"].append(rare_n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row, row + len(part))),
+                        part.column("row"),
                         part.column("id"),
                         pa.array(out["n_tokens"], pa.int64()),
                         pa.array(out["n_known"], pa.int64()),
                         pa.array(out["base"], pa.float64()),
-                        pa.array(score(part.column("text")), pa.float64()),
                         pa.array(out["rare"], pa.list_(pa.binary())),
                         pa.array(out["rare_n"], pa.list_(pa.int64())),
                     ],
-                    ["row", "id", "n_tokens", "n_known", "base", "score", "rare", "rare_n"],
+                    ["row", "id", "n_tokens", "n_known", "base", "rare", "rare_n"],
                 )
-                row += len(part)
 
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"row long, id {kind}, n_tokens long, n_known long, base double, score double, rare array<binary>, rare_n array<long>"
-    # Written once, so that a row's number is the same in both uses below.
+    schema = f"row long, id {kind}, n_tokens long, n_known long, base double, rare array<binary>, rare_n array<long>"
+    # Written once, as it is used twice below.
     scored = staged(rows.mapInArrow(run, schema), "scored-texts")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w"))
     c = F.coalesce("trained", F.lit(0))
@@ -172,9 +158,9 @@ def score_texts(
         .agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare_base"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     )
     return scored.drop("rare", "rare_n").join(looked_up, "row", "left").select(
+        "row",
         "id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(counts.log_total)).alias("base_score"),
-        "score",
     )

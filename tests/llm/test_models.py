@@ -167,3 +167,66 @@ def test_model_on_the_held_out_fold(spark):
 
 def test_scores_of_an_empty_table(spark, nothing):
     assert context_mixing.score_documents(nothing, trained=fold("doc_id", 5) != 1).count() == 0
+
+
+def test_counts_of_chunks_and_parts_are_exact(spark, messy, monkeypatch):
+    """Scores are those of counts in a dictionary, by whole context and node, wherever chunks are cut."""
+    trained = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    want = scores_by_dictionary([t for _, t, *_ in ROWS], [i is not None and i % 2 == 0 for i, *_ in ROWS])
+    for chunk, part in ((1 << 22, 1 << 24), (100, 1 << 12)):
+        monkeypatch.setattr(context_mixing, "CHUNK", chunk)
+        monkeypatch.setattr(context_mixing, "PART", part)
+        got = context_mixing.score_documents(messy, trained=trained).collect()
+        assert sorted(r["score"] for r in got) == pytest.approx(sorted(want), rel=1e-5)
+
+
+def scores_by_dictionary(texts, trained):
+    weights = np.zeros(257)
+    n_words = 0
+    for text, t in zip(texts, trained, strict=True):
+        if t:
+            words = word_unigrams.lowered_words((text or "").encode())
+            n_words += len(words)
+            for w in words:
+                np.add.at(weights, np.frombuffer(w, np.uint8), 1)
+    weights[32] += n_words
+    weights[10] += n_words / 20
+    weights[256] += sum(trained)
+    code = context_mixing.huffman(weights)
+
+    def met(s):
+        """(context, node, bit) of every decision, by context."""
+        length, at = context_mixing._decisions(code, s.symbols)
+        owner = np.repeat(np.arange(len(s.symbols)), length)
+        raw, starts = s.symbols.tolist(), np.repeat(s.start, s.length).tolist()
+        space = {9, 10, 11, 12, 13, 32}
+        keys = [[], [], [], []]
+        for i, a in enumerate(starts):
+            w = i
+            while w > a and raw[w - 1] not in space:
+                w -= 1
+            for held, first in zip(keys, (i - 2, w, i - 4, i - 6), strict=True):
+                held.append(tuple(raw[max(a, first) : i]))
+        nodes, bits = code.node[at].tolist(), code.bit[at].tolist()
+        return [[(k[o], n, b) for o, n, b in zip(owner.tolist(), nodes, bits, strict=True)] for k in keys]
+
+    counts = [Counter() for _ in range(4)]
+    for text, t in zip(texts, trained, strict=True):
+        if t:
+            for _, stretches in context_mixing._groups(pa.array([text], pa.string())):
+                for s in stretches:
+                    for k, found in enumerate(met(s)):
+                        counts[k].update(found)
+
+    class ByDictionary(context_mixing.Mixer):
+        def _inputs(self, s, order, length, at):
+            inner = context_mixing.Stretch(s.symbols, s.start, s.length)
+            own, _ = context_mixing._decisions(code, s.symbols)
+            first = np.cumsum(own) - own
+            places = context_mixing._stretched(first[order], length)
+            for k, found in enumerate(met(inner)):
+                n = np.array([[counts[k][c, node, 0], counts[k][c, node, 1]] for c, node, _ in found])
+                yield context_mixing._packed(n)[places]
+
+    mixer = ByDictionary(context_mixing.MixingModel(code, None))
+    return [mixer.score(pa.array([t], pa.string()))[0] for t in texts]
