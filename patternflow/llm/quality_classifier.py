@@ -161,8 +161,9 @@ def train(
     *,
     most_rows: int = MOST_TRAINING_ROWS,
 ) -> QualityModel:
-    """A model of at most ``most_rows`` labelled documents.
+    """A model of at most ``most_rows`` labelled documents, one row for each identifier.
 
+    Of an identifier that several rows share the smallest text trains.
     Of an identifier labelled more than once the lowest label holds; null labels are left
     out. Without any row all weights are zero, and every text scores one half.
     """
@@ -179,6 +180,8 @@ def train(
     rows = (
         docs.select(ref(id_col).alias("id"), ref(text_col).cast("string").alias("text"))
         .join(F.broadcast(sample), "id")
+        .groupBy("id", "turn", "label")
+        .agg(F.min("text").alias("text"))
         .withColumn("shard", F.pmod("turn", F.lit(SHARDS)))
         .repartition(SHARDS, "shard")
         .sortWithinPartitions("turn", "id", "text")

@@ -230,3 +230,12 @@ def scores_by_dictionary(texts, trained):
 
     mixer = ByDictionary(context_mixing.MixingModel(code, None))
     return [mixer.score(pa.array([t], pa.string()))[0] for t in texts]
+
+
+def test_quality_trains_on_one_row_of_an_identifier(spark):
+    rows = [(i, f"good words here {i}" if i % 2 else f"bad junk there {i}", None, None) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    once = quality_classifier.train(frame(spark, rows), labels)
+    often = quality_classifier.train(frame(spark, rows + [(3, "good words here 3 again", None, None)] * 50), labels)
+    assert often.bias == once.bias
+    assert (often.weights == once.weights).all()
