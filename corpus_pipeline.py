@@ -1,6 +1,6 @@
 """The corpus pipeline: stages that each work on all rows that the one before kept.
 
-A row of ``documents`` whose language can't be told goes; of equal texts, and then of similar ones, the row with the
+A row of ``documents`` whose text has no letter goes, as its language can't be told; of equal texts, and then of similar ones, the row with the
 smallest identifier stays; sources are mixed to their targets; what remains is encoded. Rows
 are matched to their verdicts by identifier, so rows that share one share its verdict. Empty
 tables pass through, and columns beside those a stage reads are carried along.
@@ -20,8 +20,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; texts that are null or have no letter go."""
+    """Documents with a language; texts that are null or have no letter go.
+
+    Where no row with a text names a language there is none to tell, and every text with a letter stays.
+    """
     model = language_id.train(docs)
+    if not model.languages:
+        return docs.filter(language_id.has_letter(ref("text")))
     found = docs.withColumn("_language", language_id.language_of(docs, model))
     return found.filter(F.col("_language.lang") != language_id.UNDETERMINED).drop("_language")
 

@@ -154,6 +154,17 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
     return LanguageModel(languages, weights, np.log(seen / seen.sum()))
 
 
+def has_letter(text: Column) -> Column:
+    """Whether the text has a letter, as ``language_of`` tells it."""
+
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([any(map(str.isalpha, (x or "").lower())) for x in texts.to_pylist()], pa.bool_())
+
+    found.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(found, "boolean")(text.cast("string"))
+
+
 def language_of(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Column:
     """A struct of lang and score for ``df``'s text column.
 

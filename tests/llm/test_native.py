@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from patternflow.llm import exact_dedup, quality_rules, secret_scan, source_mix
 
 from .conftest import ROWS, frame, rows_of
@@ -184,3 +185,10 @@ def test_mix_and_scan_of_messy_and_empty_tables(messy, nothing):
     assert secret_scan.scan_versions(messy).count() == len(ROWS)
     assert secret_scan.scan_versions(nothing).count() == 0
     assert exact_dedup.mark_copies(nothing).count() == 0
+
+
+def test_pipeline_without_any_language_keeps_texts_with_a_letter(spark, messy):
+    stage = dict(corpus_pipeline.STAGES)["language ID"]
+    with_languages = [repr(r["doc_id"]) for r in stage(spark, messy, None).collect()]
+    unnamed = messy.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(repr(r["doc_id"]) for r in stage(spark, unnamed, None).collect()) == sorted(with_languages) != []
