@@ -44,15 +44,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, which may be never."""
+    """Every document as often as the mix takes it, which may be never; shard by shard, each in random order.
+
+    A shard is cut across tasks where it is large; of rows that share an identifier the longest list of copies holds.
+    """
     taken = (
         source_mix.mix_sources(docs)
         .groupBy(_named("doc_id").alias("_taken"))
-        .agg(F.max(F.size("copies")).alias("_times"))
-        .filter("_times > 0")
+        .agg(F.max(F.struct(F.size("copies"), "copies"))["copies"].alias("_copies"))
+        .filter(F.size("_copies") > 0)
     )
     met = docs.join(taken, _named("doc_id") == F.col("_taken"))
-    copies = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    copies = met.withColumn("_copy", F.explode("_copies"))
+    copies = copies.select(
+        *[ref(c) for c in docs.columns],
+        F.col("_copy.shard").alias("_shard"),
+        source_mix.place_key("doc_id", F.col("_copy.pass")).alias("_place"),
+    )
+    copies = copies.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place")
     return copies.select(*[ref(c) for c in docs.columns])
 
 

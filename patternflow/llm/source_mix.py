@@ -175,6 +175,11 @@ def mix_sources(
     )
 
 
+def place_key(id_col: str, number: Column) -> Column:
+    """The random order of copies inside a shard, ``number`` being their pass."""
+    return _order_key("place", F.coalesce(ref(id_col).cast("string"), F.lit("")), number)
+
+
 def shard_rows(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per copy the mix takes: shard, identifier, pass; each shard in random order.
 
@@ -183,5 +188,4 @@ def shard_rows(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     copies = mixed.select(ref(id_col), F.explode("copies").alias("c")).select(
         F.col("c.shard").alias("shard"), ref(id_col), F.col("c.pass").alias("pass")
     )
-    key = _order_key("place", F.coalesce(ref(id_col).cast("string"), F.lit("")), F.col("pass"))
-    return copies.repartition("shard").sortWithinPartitions("shard", key)
+    return copies.repartition("shard").sortWithinPartitions("shard", place_key(id_col, F.col("pass")))

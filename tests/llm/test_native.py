@@ -192,3 +192,13 @@ def test_pipeline_without_any_language_keeps_texts_with_a_letter(spark, messy):
     with_languages = [repr(r["doc_id"]) for r in stage(spark, messy, None).collect()]
     unnamed = messy.withColumn("lang", F.lit(None).cast("string"))
     assert sorted(repr(r["doc_id"]) for r in stage(spark, unnamed, None).collect()) == sorted(with_languages) != []
+
+
+def test_pipeline_writes_the_mix_shard_by_shard(spark):
+    docs = frame(spark, [(i, f"w{i} " * (i % 7 + 1), "en", "abc"[i % 3]) for i in range(300)], clash=False)
+    copies = source_mix.mix_sources(docs).select("doc_id", F.explode("copies").alias("c"))
+    want = copies.orderBy("c.shard", source_mix.place_key("doc_id", F.col("c.pass"))).collect()
+    assert len({r["c"]["shard"] for r in want}) == 8
+    mixed = corpus_pipeline.mix_to_targets(spark, docs, None)
+    assert mixed.columns == docs.columns
+    assert [r["doc_id"] for r in mixed.collect()] == [r["doc_id"] for r in want]
