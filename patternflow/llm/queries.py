@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternflow.llm import (
+    centroids,
     context_mixing,
     exact_dedup,
+    fill_middle,
     jaccard_join,
     language_id,
     piece_codec,
@@ -19,8 +21,9 @@ from patternflow.llm import (
     source_mix,
     token_counts,
     vocabulary,
+    warc,
 )
-from patternflow.llm.common import documents, fold, labels
+from patternflow.llm.common import documents, fold, labels, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -255,3 +258,110 @@ def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document among those whose 4-word shingles agree by 85 per cent."""
     return jaccard_join.similar_groups(documents(spark, sf_dir), words=4, percent=85)
+
+
+@query(
+    f"""
+WITH n AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS digest FROM pages),
+m AS (SELECT *, CASE WHEN size >= {warc.LEAST_SHARED} THEN max(page_id) OVER (PARTITION BY body) END AS held FROM n)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN held IS NOT NULL AND held IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN held IS DISTINCT FROM page_id THEN held END AS refers_to, true AS sound
+FROM m"""
+)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive that was written, read back and held against its digests."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    dest = scratch_path(spark, "warc")
+    warc.write_archive(pages, dest)
+    found = warc.read_archive(spark, dest, dict(pages.dtypes)["page_id"])
+    return found.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
+
+
+def _middle_sql() -> str:
+    unit = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+    draws = ", ".join(
+        f"CAST('0x' || sha256('{fill_middle.SEED}:' || doc_id)[{8 * i + 1}:{8 * i + 8}] AS BIGINT) AS h{i + 1}" for i in range(4)
+    )
+    return rf"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '{unit}') AS units, {draws} FROM documents),
+placed AS (
+  SELECT *, len(units) AS n, h1 % (len(units) + 1) AS x, h2 % (len(units) + 1) AS y,
+         CASE WHEN body = '' OR regexp_matches(body, '<[PSM]>') OR h3 % 100 >= {fill_middle.RATE} THEN 'plain'
+              WHEN h4 % 100 < {fill_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+cut AS (
+  SELECT *, array_to_string(units[1:least(x, y)], '') AS prefix, array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS middle,
+         array_to_string(units[greatest(x, y) + 1:], '') AS suffix
+  FROM placed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM cut"""
+
+
+@query(_middle_sql())
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's form, and digests of its output and of the text rebuilt from that."""
+    moved = fill_middle.rearrange(documents(spark, sf_dir))
+    return moved.select(
+        "doc_id",
+        "n",
+        "form",
+        F.char_length("prefix").cast("long").alias("prefix_chars"),
+        F.char_length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(moved), 256).alias("restored_sha256"),
+    )
+
+
+def _centroid_sql() -> str:
+    d, k = centroids.DIMENSIONS, centroids.CLUSTERS
+    squared = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    steps = [
+        f"""
+whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {d} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (
+    SELECT sha256('{centroids.SEED}:' || vec_id) AS h, v FROM whole ORDER BY h, v LIMIT {k}))"""
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        steps.append(
+            f"""
+a{i} AS MATERIALIZED (SELECT r, min((dist, j)) AS best FROM (SELECT r, j, {squared} AS dist FROM whole, c{i}) GROUP BY r)"""
+        )
+        if i < centroids.ROUNDS:
+            steps.append(
+                f"""
+m{i} AS (
+  SELECT j, list(mean ORDER BY p) AS c FROM (
+    SELECT j, p, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS mean FROM (
+      SELECT best[2] AS j, p, sum(v[p]) AS s, count(*) AS n FROM a{i} JOIN whole USING (r), range(1, {d + 1}) AS places(p) GROUP BY ALL))
+  GROUP BY j),
+c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (j))"""
+            )
+    last = centroids.ROUNDS
+    return (
+        "WITH "
+        + ",".join(steps)
+        + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance,
+       CAST(sum(best[1]) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN whole USING (r) JOIN c{last} ON j = best[2]"""
+    )
+
+
+@query(_centroid_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's cluster and squared distance, and the clusters' inertias."""
+    clustered = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return clustered.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
