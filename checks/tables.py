@@ -37,7 +37,10 @@ from patternflow import (
 from patternflow.functions.cells import FORBIDDEN, excel_safe
 from patternflow.model import MissingColumnsError
 from patternflow.operators.paging import display, matched_view, page_counts
+from patternflow.operators.rules import RULE
+from patternflow.plans.runs import run_rules
 from patternflow.sources import contacts as C
+from patternflow.sources.csv_layout import inspect_csv
 from patternflow.sources.readers import EmptyTableError
 from patternflow.sources.writers import TooLargeForExcel, check_fits_excel
 
@@ -462,3 +465,67 @@ def guard_verdicts(spark: SparkSession, d: str) -> DataFrame:
     except TooLargeForExcel:
         verdicts["worksheet"] = "too large"
     return spark.createDataFrame(sorted(verdicts.items()), "guard string, verdict string")
+
+
+# ---- Files cut inside cells, several rules at once, replaced results ---------------
+
+
+@checked(
+    f"SELECT {_TEXT['doc_id']}, nullif(text, '') AS text, lang FROM documents "
+    f"UNION ALL SELECT {_TEXT['doc_id']}, 'plain', lang FROM documents"
+)
+def csv_mixed_folder(spark: SparkSession, d: str) -> DataFrame:
+    """One folder with files whose cells span lines, read in stretches, and files without such cells."""
+    path = scratch_path(spark, "csv")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.options(**options).csv(path)
+    docs.withColumn("text", F.lit("plain")).repartition(3).write.mode("append").options(**options).csv(path)
+    return read_csv(spark, path, layout=inspect_csv(spark, path, cut_above=0))
+
+
+@checked('SELECT l_returnflag AS a0, l_linestatus AS "A1", CAST(l_orderkey AS VARCHAR) AS b FROM lineitem')
+def csv_same_name_twice(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of several files that all have the header ``a,A,b``."""
+    path = scratch_path(spark, "csv")
+    lines = table(spark, d, "lineitem").select(F.concat_ws(",", "l_returnflag", "l_linestatus", "l_orderkey").alias("line"), "l_linenumber")
+    header = table(spark, d, "region").limit(1).select(F.lit("a,A,b").alias("line"))
+    for own in (F.col("l_linenumber") < 3, F.col("l_linenumber") >= 3):
+        header.union(lines.filter(own).select("line")).coalesce(1).write.mode("append").text(path)
+    return read_csv(spark, path)
+
+
+_five = {
+    "mask_phone": entity_rule("phone", ["text"], "mask"),
+    "keep_email": entity_rule("email", ["text"], "keep"),
+    "drop_card": entity_rule("credit_card", ["text"], "drop"),
+    "find_number": _digits,
+    "upper_lang": Rule.on("lang", "^[a-m]", "replace", "X"),
+}
+
+
+@checked(
+    " UNION ALL ".join(f"SELECT {lit(n)} AS rule, * FROM ({rule_sql(r, ['doc_id', 'text', 'lang'], 'documents')})" for n, r in _five.items())
+)
+def run_rules_one_read(spark: SparkSession, d: str) -> DataFrame:
+    """The results of five rules, written by one job that opens the table once."""
+    dest = scratch_path(spark, "many")
+    run_rules(spark, table(spark, d, "documents").select("doc_id", "text", "lang"), _five, dest)
+    return spark.read.parquet(dest).withColumnRenamed(RULE, "rule").select("rule", "doc_id", "text", "lang", "__matched__")
+
+
+@checked(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, true AS "__matched__", n AS "__rownum", t AS total
+    FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n, count(*) OVER () AS t FROM orders WHERE starts_with(o_orderpriority, '2'))
+    WHERE n BETWEEN 101 AND 150"""
+)
+def page_of_replaced_result(spark: SparkSession, d: str) -> DataFrame:
+    """A page through the index of a result that another run has replaced since."""
+    source, dest, index = (scratch_path(spark, x) for x in ("orders", "result", "index"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderpriority", F.col("o_orderkey").alias("k"))
+    write_ordered(orders, ["k"], source, 4)
+    placed = spark.read.parquet(source).drop("k")
+    run_rule(spark, placed, Rule.on("o_orderpriority", "^1", "keep"), dest, index_path=index)
+    run_rule(spark, placed, Rule.on("o_orderpriority", "^2", "keep"), dest)
+    page = read_page(spark, dest, 3, 50, index_path=index)
+    return page.rows.withColumn("total", F.lit(page.total).cast("long"))

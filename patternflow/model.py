@@ -9,6 +9,8 @@ from dataclasses import dataclass
 FLAG = "__matched__"
 # 1-based position of a row in a written table.
 ROW_NUMBER = "__rownum"
+# Where a row of a table over several files was read: the file, then the stretch of it, a line each.
+PLACE = "__place__"
 
 CELL_ACTIONS = frozenset({"replace", "mask", "extract"})
 ROW_ACTIONS = frozenset({"keep", "drop"})

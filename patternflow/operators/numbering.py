@@ -3,6 +3,9 @@
 A row's number is its position in (file, row in file) order. Parquet readers
 expose both parts as metadata, so numbering needs only a running total of rows
 per FILE: one small aggregate over the footers. Rows themselves never move.
+
+A table that carries the places its rows were read from (``PLACE``) is numbered in their order. A task writes
+the rows of one stretch of a source one after the other, so there the totals are per (file, stretch).
 """
 
 from __future__ import annotations
@@ -13,10 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patternflow.functions.columns import ref
-from patternflow.model import FLAG, ROW_NUMBER
+from patternflow.model import FLAG, PLACE, ROW_NUMBER
+from patternflow.operators.results import open_result
 from patternflow.session import scratch_path
 
 FILE = "__file"
+# The stretch's place, empty in tables that carry none.
+STRETCH = "__stretch"
 
 # One broadcast carries at most this many file offsets (some 50 MB); a table of
 # more files is numbered in several branches, each reading only its own files.
@@ -53,21 +59,31 @@ def file_order(path: Column) -> Column:
     )
 
 
+def place_order(place: Column) -> Column:
+    """A string that sorts places: the file as :func:`file_order` has it, then the stretches."""
+    return F.concat(file_order(F.substring_index(place, "\n", 1)), F.regexp_extract(place, r"\n.*$", 0))
+
+
 def file_spans(spark: SparkSession, path: str, flag: str = FLAG) -> DataFrame:
-    """One row per file: rows and selected rows in it, and how many come before it.
+    """One row per file, or per stretch in it: rows and selected rows in it, and how many come before it.
 
-    Columns: ``__file, file_key, file_no, n_rows, n_matched, rows_before,
-    matched_before``. Without a flag column nothing counts as selected and only
-    footers are read; with one, that column alone is read besides.
+    Columns: ``__file, __stretch, first_row, file_key, file_no, n_rows, n_matched, rows_before,
+    matched_before``, where ``first_row`` counts from 0 within the file. Without a flag column nothing counts as
+    selected and only footers are read; with one, that column alone is read besides, and the places if there are any.
     """
-    table = spark.read.parquet(path)
+    table = open_result(spark, path)
     matched = F.count_if(ref(flag)) if flag in table.columns else F.lit(0).cast("long")
+    placed = PLACE in table.columns
+    first_row = F.min("_metadata.row_index") if placed else F.lit(0).cast("long")
+    file_key, leader = file_order(F.col(FILE)), F.col(FILE)
+    if placed:
+        file_key, leader = F.concat(place_order(F.col(STRETCH)), F.lit("\n"), file_key), F.substring_index(STRETCH, "\n", 1)
     per_file = (
-        table.groupBy(F.col("_metadata.file_path").alias(FILE))
-        .agg(F.count(F.lit(1)).alias("n_rows"), matched.alias("n_matched"))
-        .withColumn("file_key", file_order(F.col(FILE)))
+        table.groupBy(F.col("_metadata.file_path").alias(FILE), stretch_of(table).alias(STRETCH))
+        .agg(F.count(F.lit(1)).alias("n_rows"), matched.alias("n_matched"), first_row.alias("first_row"))
+        .withColumn("file_key", file_key)
         .withColumn(
-            "grp", F.substring("file_key", F.lit(1), F.length(_folder(F.col(FILE))) + _GROUP_DIGITS)
+            "grp", F.substring("file_key", F.lit(1), F.length(_folder(leader)) + _GROUP_DIGITS)
         )
         # Never null, said so: the self-join below then reuses this aggregate as it is.
         .withColumn("grp", F.coalesce("grp", F.lit("")))
@@ -75,6 +91,10 @@ def file_spans(spark: SparkSession, path: str, flag: str = FLAG) -> DataFrame:
     return _running_totals(per_file)
 
 
+def stretch_of(table: DataFrame) -> Column:
+    return F.coalesce(ref(PLACE), F.lit("")) if PLACE in table.columns else F.lit("")
+
+
 def _running_totals(per_file: DataFrame) -> DataFrame:
     """Exclusive prefix sums in ``file_key`` order, in two levels.
 
@@ -99,6 +119,8 @@ def _running_totals(per_file: DataFrame) -> DataFrame:
     local = per_file.select("*", *(before(v, within).alias("l_" + k) for k, v in sums.items()))
     return local.join(groups, "grp").select(
         FILE,
+        STRETCH,
+        "first_row",
         "file_key",
         "n_rows",
         "n_matched",
@@ -121,7 +143,7 @@ def with_row_numbers(
     files, so the broadcast stays bounded however large the table gets. Offsets of
     more than ``files_fetched`` files are worked out once, into the scratch folder.
     """
-    table = spark.read.parquet(path)
+    table = open_result(spark, path)
     spans = file_spans(spark, path) if spans is None else spans
     few = spans.limit(files_fetched + 1).collect()
     if few and len(few) <= files_fetched:
@@ -134,18 +156,28 @@ def with_row_numbers(
     rows = table.select(
         "*",
         F.col("_metadata.file_path").alias(FILE),
+        stretch_of(table).alias(STRETCH),
         F.col("_metadata.row_index").alias("__file_row"),
     )
+    keys = [FILE, STRETCH] if PLACE in table.columns else [FILE]
 
     def number(part: DataFrame, offsets: DataFrame) -> DataFrame:
-        return part.join(F.broadcast(offsets.select(FILE, "rows_before")), FILE).select(
-            *(ref(c) for c in table.columns),
-            (F.col("rows_before") + F.col("__file_row") + 1).alias(column),
+        offsets = offsets.select(*keys, (F.col("rows_before") - F.col("first_row")).alias("__offset"))
+        return part.join(F.broadcast(offsets), keys).select(
+            *(ref(c) for c in table.columns if c != PLACE),
+            (F.col("__offset") + F.col("__file_row") + 1).alias(column),
         )
 
     if n_files <= files_per_broadcast:
         return number(rows, spans)
     branches = []
+    if PLACE in table.columns:
+        # Stretches in order lie all over the files, so files are dealt to branches by their names.
+        slices = -(-n_files // files_per_broadcast)
+        for i in range(slices):
+            own = F.pmod(F.xxhash64(FILE), F.lit(slices)) == i
+            branches.append(number(rows.filter(own), spans.filter(own)))
+        return reduce(DataFrame.unionByName, branches)
     for first in range(0, n_files, files_per_broadcast):
         piece = spans.filter(F.col("file_no").between(first, first + files_per_broadcast - 1))
         low, high = piece.agg(F.min("file_key"), F.max("file_key")).first()

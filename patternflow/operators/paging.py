@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternflow.functions.columns import ref
-from patternflow.model import FLAG, ROW_NUMBER
-from patternflow.operators.numbering import FILE, file_spans
+from patternflow.model import FLAG, PLACE, ROW_NUMBER
+from patternflow.operators.numbering import FILE, STRETCH, file_spans, stretch_of
+from patternflow.operators.results import note_version, noted_versions, open_result, result_version
 
 MAX_PAGE_SIZE = 500
 DEFAULT_PAGE_SIZE = 50
@@ -63,8 +64,8 @@ def result_totals(df: DataFrame, flag: str = FLAG) -> DataFrame:
 
 
 def display(df: DataFrame, flag: str = FLAG) -> DataFrame:
-    """The table as users see it, without the match flag."""
-    return df.select(*(ref(c) for c in df.columns if c != flag))
+    """The table as users see it, without the match flag and the places rows were read from."""
+    return df.select(*(ref(c) for c in df.columns if c not in (flag, PLACE)))
 
 
 def matched_view(df: DataFrame, flag: str = FLAG) -> DataFrame:
@@ -73,28 +74,39 @@ def matched_view(df: DataFrame, flag: str = FLAG) -> DataFrame:
 
 
 def write_page_index(spark: SparkSession, path: str, index_path: str, flag: str = FLAG) -> str:
-    """Save the per-file totals of a finished table."""
+    """Save the per-file totals of a finished table, and which version of the table they are of."""
+    version = result_version(spark, path)
     file_spans(spark, path, flag).write.mode("overwrite").parquet(index_path)
+    note_version(spark, index_path, version)
     return index_path
 
 
-def _spans(spark: SparkSession, path: str, index_path: str | None, flag: str) -> DataFrame:
-    return spark.read.parquet(index_path) if index_path else file_spans(spark, path, flag)
+def index_is_current(spark: SparkSession, path: str, index_path: str, table: DataFrame | None = None) -> bool:
+    """Whether an index is of the table that is at ``path`` now, and not of one that it replaced."""
+    return noted_versions(spark, index_path) == [result_version(spark, path, table)]
+
+
+def _spans(spark: SparkSession, path: str, index_path: str | None, flag: str, table: DataFrame | None = None) -> DataFrame:
+    """The totals: those of the index while it is current, else worked out from the table."""
+    if index_path and index_is_current(spark, path, index_path, table):
+        return spark.read.parquet(index_path)
+    return file_spans(spark, path, flag)
 
 
 def _rows_of(spark: SparkSession, path: str, spans: list, low: int, high: int) -> DataFrame:
     """Rows numbered ``low``..``high`` out of the few files in ``spans``."""
-    table = spark.read.parquet(path)
+    table = open_result(spark, path)
     if not spans:
         empty = F.lit(None).cast("long").alias(ROW_NUMBER)
         return table.limit(0).select("*", empty)
     offsets = F.create_map(
-        *(x for s in spans for x in (F.lit(s[FILE]), F.lit(s["rows_before"])))
+        *(x for s in spans for x in (F.lit(f"{s[FILE]}\n{s[STRETCH]}"), F.lit(s["rows_before"] - s["first_row"])))
     )
-    number = F.element_at(offsets, F.col("_metadata.file_path")) + F.col("_metadata.row_index") + 1
+    span = F.concat(F.col("_metadata.file_path"), F.lit("\n"), stretch_of(table))
+    number = F.element_at(offsets, span) + F.col("_metadata.row_index") + 1
     # The first filter is answered by the file listing: other files are not opened.
     return (
-        table.filter(F.col("_metadata.file_path").isin([s[FILE] for s in spans]))
+        table.filter(F.col("_metadata.file_path").isin(sorted({s[FILE] for s in spans})))
         .select("*", number.alias(ROW_NUMBER))
         .filter(F.col(ROW_NUMBER).between(low, high))
     )
@@ -129,7 +141,7 @@ def _shape(df: DataFrame, flag: str) -> DataFrame:
     """Display columns, the match state under its public name, the row number; in order."""
     has_flag = flag in df.columns
     matched = F.coalesce(ref(flag), F.lit(False)) if has_flag else F.lit(False)
-    names = [c for c in df.columns if c not in (flag, ROW_NUMBER)]
+    names = [c for c in df.columns if c not in (flag, PLACE, ROW_NUMBER)]
     return df.select(
         *(ref(c) for c in names), matched.alias(FLAG), ref(ROW_NUMBER)
     ).orderBy(ROW_NUMBER)
@@ -151,15 +163,16 @@ def read_page(
 
     Counts already known (from the run's stats) can be passed in; note that they
     must be counts of the written rows. A page holds at most ``MAX_PAGE_SIZE`` rows.
-    Without an index every file's footer is read for the row totals.
+    Without an index, or with one of a table that was replaced since, every file's footer is read for the row totals.
     """
     page = max(1, page)
     page_size = max(1, min(page_size, MAX_PAGE_SIZE))
     offset = (page - 1) * page_size
-    columns = spark.read.parquet(path).columns
+    table = open_result(spark, path)
+    columns = table.columns
     has_flag = flag in columns
     filtered = matched_only and has_flag
-    spans = _spans(spark, path, index_path, flag)
+    spans = _spans(spark, path, index_path, flag, table)
 
     if filtered:
         wanted = (
@@ -180,7 +193,7 @@ def read_page(
     total = matched_total if filtered else total_all
     return Page(
         rows=_shape(rows, flag),
-        columns=[c for c in columns if c != flag],
+        columns=[c for c in columns if c not in (flag, PLACE)],
         total=total,
         total_all=total_all,
         matched_total=matched_total,
@@ -228,7 +241,7 @@ def jump_to_row(
         if index_path:
             total_all = _spans(spark, path, index_path, flag).agg(F.sum("n_rows")).first()[0] or 0
         else:
-            total_all = spark.read.parquet(path).count()
+            total_all = open_result(spark, path).count()
     _, page, index = jump_target(row, total_all, page_size)
     found = read_page(
         spark, path, page, page_size, total_all=total_all, index_path=index_path, flag=flag
@@ -260,7 +273,7 @@ def read_window(
         *(
             F.coalesce(ref(c).cast("string"), F.lit("")).alias(c)
             for c in rows.columns
-            if c != ROW_NUMBER
+            if c not in (PLACE, ROW_NUMBER)
         ),
         ROW_NUMBER,
     ).orderBy(ROW_NUMBER)
@@ -278,7 +291,7 @@ def inspect_row(
 ) -> DataFrame:
     """One row stood on end: ``(pos, column, kind, value)`` with every value in full."""
     found = _rows_between(spark, path, _spans(spark, path, index_path, flag), row, row)
-    names = [c for c in found.columns if c not in (flag, ROW_NUMBER)]
+    names = [c for c in found.columns if c not in (flag, PLACE, ROW_NUMBER)]
     return found.select(
         F.inline(
             F.array(

@@ -8,6 +8,7 @@ rewriting touches flagged cells only. Row order is the scan's.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ from patternflow.functions.matching import (
 )
 from patternflow.model import CELL_ACTIONS, FLAG, ROW_ACTIONS, Rule, RuleError
 
+#: Which rule a row of several rules' results belongs to.
+RULE = "__rule__"
+
 
 def _free_names(df: DataFrame, count: int) -> list[str]:
     """Names for helper columns that no column of the table has."""
@@ -141,6 +145,50 @@ def apply_rules(df: DataFrame, rules: Mapping[str, Rule], *, flag: str = FLAG) -
     return {name: apply_rule(df, rule, flag=flag) for name, rule in rules.items()}
 
 
+def edited_columns(rule: Rule) -> list[str]:
+    """The columns that a rule's result has new cells in, as text."""
+    return list(dict.fromkeys(p.column for p in rule.predicates)) if rule.action in CELL_ACTIONS else []
+
+
+def apply_rules_at_once(
+    df: DataFrame, rules: Mapping[str, Rule], *, flag: str = FLAG, observe: Observation | None = None
+) -> DataFrame:
+    """The results of several rules in one frame, from one read of the table: ``RULE``, source columns, flag.
+
+    A row comes once for each rule whose result holds it, next to its other copies. Each rule sees the original cells. ``observe``
+    collects ``total_rows`` and, for the i-th rule, ``matched_i``. All results must have the same column types:
+    rules that turn a column into text go with columns that are text already.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    stem = "__rule"
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem = "_" + stem
+    wide, shown = df, []
+    for i, (name, rule) in enumerate(rules.items()):
+        _check(df, rule, flag)
+        edited = edited_columns(rule)
+        if any(not isinstance(kinds[c], T.StringType) for c in edited):
+            raise RuleError(f"{name} edits a column that is not text")
+        # A rule works on copies of the cells that it edits, so the next one finds them as they were.
+        own = {c: f"{stem}{i}_{j}" for j, c in enumerate(edited)}
+        wide = wide.select("*", *(ref(c).alias(copy) for c, copy in own.items()))
+        moved = replace(
+            rule,
+            predicates=tuple(replace(p, column=own.get(p.column, p.column)) for p in rule.predicates),
+            action=rule.action if edited else "find",
+        )
+        own_flag = f"{stem}{i}_flag"
+        wide = apply_rule(wide, moved, flag=own_flag)
+        written = {"keep": ref(own_flag), "drop": ~ref(own_flag)}.get(rule.action, F.lit(True))
+        cells = [ref(own.get(c, c)).alias(c) for c in df.columns]
+        shown.append(F.struct(written.alias(f"{stem}_written"), F.lit(name).alias(RULE), *cells, ref(own_flag).alias(flag)))
+    if observe is not None:
+        flags = (ref(f"{stem}{i}_flag").cast("long") for i in range(len(rules)))
+        matched = (F.coalesce(F.sum(f), F.lit(0)).alias(f"matched_{i}") for i, f in enumerate(flags))
+        wide = wide.observe(observe, F.count(F.lit(1)).alias("total_rows"), *matched)
+    return wide.select(F.inline(F.array(*shown))).filter(ref(f"{stem}_written")).drop(f"{stem}_written")
+
+
 def rule_counts(df: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     """``(rule, total_rows, matched_rows)`` for many rules from one scan of the table."""
     for rule in rules.values():

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patternflow.functions.columns import ref
-from patternflow.model import RuleError
-from patternflow.sources.order import first_rows
+from patternflow.model import PLACE, RuleError
+from patternflow.operators.results import open_result
+from patternflow.sources.csv_layout import CsvLayout, inspect_csv, leaves_no_cell_open, read_spanning
+from patternflow.sources.order import first_rows, place_of_read, remember_places
 from patternflow.sources.workbook import read_workbooks
 
 PREVIEW_ROWS = 20
@@ -19,6 +23,10 @@ class EmptyTableError(RuleError):
     """A source without a header row."""
 
 
+class DifferentHeadersError(RuleError):
+    """Files of one table that disagree on its columns."""
+
+
 def detect_kind(name: str) -> str:
     """``excel`` for spreadsheet suffixes, ``csv`` for everything else."""
     return "excel" if name.lower().endswith(EXCEL_SUFFIXES) else "csv"
@@ -31,7 +39,7 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, **option
     """
     kind = kind or ("parquet" if _is_parquet(spark, path) else detect_kind(path))
     if kind == "parquet":
-        df = spark.read.parquet(path)
+        df = open_result(spark, path)
     elif kind == "excel":
         df = read_workbooks(spark, path)
     elif kind == "csv":
@@ -62,22 +70,47 @@ def read_csv(
     *,
     multi_line: bool | None = None,
     schema: T.StructType | None = None,
+    layout: CsvLayout | None = None,
 ) -> DataFrame:
     """CSV with a header, every cell a string, quotes doubled inside quoted cells.
 
-    A file whose quoted cells span lines cannot be split, so it costs one task
-    per file. By default that is found out first, in one parallel pass over the
-    lines; pass ``multi_line`` when you know. Header names lose surrounding
+    How a file may be cut depends on whether its quoted cells span lines. By default that is found out first for
+    each file, in one parallel pass over the lines (see :func:`~patternflow.sources.csv_layout.inspect_csv`, whose
+    ``layout`` can be passed in to read again without the pass). Pass ``multi_line`` when you know:
+    False cuts every file at lines, True reads every file in one task. Header names lose surrounding
     spaces; other renamings are Spark's (duplicate or blank names get a suffix).
     Files of a folder must agree on the header, or reading them fails.
     """
     if multi_line is None:
-        multi_line = has_multi_line_cells(spark, path)
-    reader = spark.read.options(
-        header=True, multiLine=multi_line, escape='"', enforceSchema=not has_many_files(spark, path)
-    )
-    df = (reader.schema(schema) if schema else reader).csv(path)
-    return _trim_header(_require_header(df, path))
+        layout = inspect_csv(spark, path) if layout is None else layout
+    else:
+        layout = CsvLayout(path)
+    many = has_many_files(spark, path)
+
+    def reader(lines_span: bool, header: bool = True) -> DataFrameReader:
+        return spark.read.options(header=header, multiLine=lines_span, escape='"', enforceSchema=not many)
+
+    heads_span = bool(multi_line or layout.whole)
+    if schema is None:
+        schema = _require_header(reader(heads_span).csv(path), path).schema
+        head = reader(heads_span, header=False).csv(path).first() if many else None
+        if head is not None and [(x or "").lower() for x in head] != [n.lower() for n in schema.names]:
+            # Spark compares each file's header with names that it has changed, so all of them would differ.
+            _require_one_header(spark, path)
+            many = False
+    if not layout.odd:
+        return _trim_header(_require_header(reader(bool(multi_line)).schema(schema).csv(path), path))
+    plain = reader(False).schema(schema).csv(path).filter(~F.col("_metadata.file_path").isin(list(layout.odd)))
+    parts = [plain.withColumn(PLACE, place_of_read())]
+    if layout.whole:
+        parts.append(reader(True).schema(schema).csv(list(layout.whole)).withColumn(PLACE, place_of_read()))
+    if layout.spanning:
+        parts.append(read_spanning(spark, layout, schema))
+    if not many and not layout.spanning and len(layout.whole) == 1:
+        return _trim_header(reader(True).schema(schema).csv(path))
+    placed = reduce(DataFrame.unionByName, parts)
+    df = _trim_header(placed.drop(PLACE))
+    return remember_places(df, placed.toDF(*df.columns, PLACE))
 
 
 def has_multi_line_cells(spark: SparkSession, path: str) -> bool:
@@ -87,12 +120,19 @@ def has_multi_line_cells(spark: SparkSession, path: str) -> bool:
     whole cells: then no cell is left open at its end. If all lines are plain,
     splitting at lines is exact; one other line settles it the other way.
     """
-    single = F.replace("value", F.lit('""'), F.lit(""))
-    left_over = F.regexp_replace(single, r'(^|,)"[^"]*"(?=,|$)', "$1")
-    odd = spark.read.text(path).filter(F.col("value").contains('"') & left_over.contains('"'))
+    odd = spark.read.text(path).filter(~leaves_no_cell_open(F.col("value")))
     return bool(odd.select(F.lit(1)).take(1))
 
 
+def _require_one_header(spark: SparkSession, path: str) -> None:
+    lines = spark.read.text(path).filter("_metadata.file_block_start = 0")
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"))
+    firsts = lines.groupBy("file").agg(F.min_by("value", "id").alias("head"))
+    heads = firsts.select(F.regexp_replace("head", "^\ufeff", "").alias("head")).distinct().take(2)
+    if len(heads) > 1:
+        raise DifferentHeadersError(f"Files of {path} have different headers: {heads[0]['head']!r} and {heads[1]['head']!r}")
+
+
 def has_many_files(spark: SparkSession, path: str) -> bool:
     # File names only; no content is read.
     return spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1
@@ -119,5 +159,5 @@ def _trim_header(df: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows, in the order of the table's files, as text; null cells shown empty."""
-    shown = (F.coalesce(ref(c).cast("string"), F.lit("")).alias(c) for c in df.columns)
+    shown = (F.coalesce(ref(c).cast("string"), F.lit("")).alias(c) for c in df.columns if c != PLACE)
     return first_rows(df, rows).select(*shown)

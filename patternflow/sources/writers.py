@@ -10,8 +10,9 @@ from patternflow.functions.cells import MAX_COLUMNS, MAX_ROWS, excel_safe
 from patternflow.functions.columns import ref
 from patternflow.model import FLAG
 from patternflow.operators.paging import display, matched_view
+from patternflow.operators.results import write_version
 from patternflow.session import ensure_on_executors
-from patternflow.sources.order import in_source_order
+from patternflow.sources.order import in_source_order, with_places
 from patternflow.sources.workbook_sink import WorkbookSink
 
 
@@ -25,26 +26,17 @@ def write_result(df: DataFrame, path: str) -> None:
 
 
 def stage_table(df: DataFrame, path: str) -> str:
-    """Any table as Parquet in its own row order, ready for windows, pages and samples."""
-    write_result(in_source_order(df), path)
+    """Any table as Parquet that keeps its row order, ready for windows, pages and samples; no row is moved."""
+    write_result(with_places(df), path)
     return path
 
 
-def replace_result(df: DataFrame, path: str, tag: str) -> None:
-    """Write next to ``path`` and take its place once complete; a failed write leaves it alone."""
-    spark = df.sparkSession
-    there, fresh = path.rstrip("/"), f"{path.rstrip('/')}.{tag}.part"
-    folder = spark._jvm.org.apache.hadoop.fs.Path
-    fs = folder(there).getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        write_result(df, fresh)
-        fs.delete(folder(there), True)
-        if not fs.rename(folder(fresh), folder(there)):
-            raise OSError(f"{fresh} could not take the place of {there}")
-    except Exception:
-        if fs.exists(folder(there)):
-            fs.delete(folder(fresh), True)
-        raise
+def replace_result(df: DataFrame, path: str) -> None:
+    """Write the result as the new version at ``path``; a failed write leaves the old one alone.
+
+    See :mod:`~patternflow.operators.results` for what a reader sees meanwhile.
+    """
+    write_version(df, path)
 
 
 def exported(df: DataFrame, matched_only: bool = False, flag: str = FLAG) -> DataFrame:
