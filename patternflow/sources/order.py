@@ -39,9 +39,9 @@ def _several_files(df: DataFrame) -> bool:
         df.select("_metadata.file_path").schema  # noqa: B018  analysis may wait until here
     except AnalysisException:
         return False
-    if _MOVES_ROWS.search(df._jdf.queryExecution().executedPlan().toString()):
+    if len(df.inputFiles()) < 2:
         return False
-    return len(df.inputFiles()) > 1
+    return not _MOVES_ROWS.search(df._jdf.queryExecution().executedPlan().toString())
 
 
 def carries_places(df: DataFrame) -> bool:

@@ -93,11 +93,15 @@ def read_csv(
     heads_span = bool(multi_line or layout.whole)
     if schema is None:
         schema = _require_header(reader(heads_span).csv(path), path).schema
-        head = reader(heads_span, header=False).csv(path).first() if many else None
+        # A name that occurs twice gets its position as a suffix, a blank one is made from it.
+        changed = many and any(n.endswith(str(i)) for i, n in enumerate(schema.names))
+        head = reader(heads_span, header=False).csv(path).first() if changed else None
         if head is not None and [(x or "").lower() for x in head] != [n.lower() for n in schema.names]:
             # Spark compares each file's header with names that it has changed, so all of them would differ.
             _require_one_header(spark, path)
             many = False
+    if not many and not layout.spanning and len(layout.whole) == 1:
+        multi_line, layout = True, CsvLayout(path)
     if not layout.odd:
         return _trim_header(_require_header(reader(bool(multi_line)).schema(schema).csv(path), path))
     plain = reader(False).schema(schema).csv(path).filter(~F.col("_metadata.file_path").isin(list(layout.odd)))
@@ -106,8 +110,6 @@ def read_csv(
         parts.append(reader(True).schema(schema).csv(list(layout.whole)).withColumn(PLACE, place_of_read()))
     if layout.spanning:
         parts.append(read_spanning(spark, layout, schema))
-    if not many and not layout.spanning and len(layout.whole) == 1:
-        return _trim_header(reader(True).schema(schema).csv(path))
     placed = reduce(DataFrame.unionByName, parts)
     df = _trim_header(placed.drop(PLACE))
     return remember_places(df, placed.toDF(*df.columns, PLACE))
@@ -134,8 +136,8 @@ def _require_one_header(spark: SparkSession, path: str) -> None:
 
 
 def has_many_files(spark: SparkSession, path: str) -> bool:
-    # File names only; no content is read.
-    return spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1
+    # The listing only; no content is read.
+    return len(spark.read.text(path).inputFiles()) > 1
 
 
 def _require_header(df: DataFrame, path: str) -> DataFrame:
