@@ -26,9 +26,11 @@ from patternflow import (
     result_totals,
     run_history,
     run_rule,
+    sample_table,
     sample_values,
     scratch_path,
     stage_table,
+    table_kinds,
     with_row_numbers,
     write_ordered,
     write_page_index,
@@ -305,6 +307,31 @@ for source, key, columns in [
         _kinds_sql(source, key, columns),
     )
 
+def _ordered_events(spark: SparkSession, d: str) -> str:
+    path = scratch_path(spark, "events")
+    return write_ordered(table(spark, d, "events").select("event_id", "event_type", "props", "user_id"), ["event_id"], path, 9)
+
+
+@checked(_samples_sql("events", "event_id", ["event_type", "props", "user_id"], 12, 80))
+def sample_table_events(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of a written table by position; one column has too few values and is looked up everywhere."""
+    return sample_table(spark, _ordered_events(spark, d), ["event_type", "props", "user_id"], 12)
+
+
+@checked(_samples_sql("lineitem", "l_orderkey, l_linenumber", ["l_orderkey", "l_partkey", "l_shipdate"], 2000, 80))
+def sample_table_many_values(spark: SparkSession, d: str) -> DataFrame:
+    """More values a column than Spark cuts a ranking to before its shuffle."""
+    path, index = scratch_path(spark, "lines"), scratch_path(spark, "index")
+    write_ordered(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], path, 6)
+    write_page_index(spark, path, index)
+    return sample_table(spark, path, ["l_orderkey", "l_partkey", "l_shipdate"], 2000, index_path=index)
+
+
+@checked(_kinds_sql("events", "event_id", ["event_id", "event_type", "props", "user_id"]))
+def table_kinds_events(spark: SparkSession, d: str) -> DataFrame:
+    return table_kinds(spark, _ordered_events(spark, d))
+
+
 # ---- Runs, history, streams, generated data ---------------------------------
 
 _cards = entity_rule("credit_card", ["text"], "drop")

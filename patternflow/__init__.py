@@ -15,7 +15,7 @@ from patternflow.operators.paging import (
     write_page_index,
 )
 from patternflow.operators.rules import apply_rule, apply_rules, rule_counts
-from patternflow.operators.sampling import column_kinds, sample_values, samples_map
+from patternflow.operators.sampling import column_kinds, sample_table, sample_values, samples_map, table_kinds
 from patternflow.plans.datasets import register_dataset
 from patternflow.plans.lint import check_pattern, lint_rules, validate_rules
 from patternflow.plans.prompts import resolve_prompts, rule_from_prompt, rule_summary
@@ -35,7 +35,7 @@ __all__ = [
     "jump_to_row", "lint_rules", "match_condition", "page_count", "pattern_of", "preview",
     "read_csv", "read_drops", "read_page", "read_table", "read_window", "request_key",
     "resolve_prompts", "resolve_with_reuse", "result_totals", "rule_counts", "rule_from_prompt",
-    "rule_summary", "register_dataset", "run_history", "run_request", "run_rule", "run_rules", "sample_values", "samples_map",
-    "scratch_path", "stage_table", "validate_rules", "with_row_numbers", "write_ordered", "write_page_index",
+    "rule_summary", "register_dataset", "run_history", "run_request", "run_rule", "run_rules", "sample_table",
+    "sample_values", "samples_map", "scratch_path", "stage_table", "table_kinds", "validate_rules", "with_row_numbers", "write_ordered", "write_page_index",
     "write_result",
 ]

@@ -86,14 +86,14 @@ def index_is_current(spark: SparkSession, path: str, index_path: str, table: Dat
     return noted_versions(spark, index_path) == [result_version(spark, path, table)]
 
 
-def _spans(spark: SparkSession, path: str, index_path: str | None, flag: str, table: DataFrame | None = None) -> DataFrame:
+def table_spans(spark: SparkSession, path: str, index_path: str | None, flag: str, table: DataFrame | None = None) -> DataFrame:
     """The totals: those of the index while it is current, else worked out from the table."""
     if index_path and index_is_current(spark, path, index_path, table):
         return spark.read.parquet(index_path)
     return file_spans(spark, path, flag)
 
 
-def _rows_of(spark: SparkSession, path: str, spans: list, low: int, high: int) -> DataFrame:
+def rows_of(spark: SparkSession, path: str, spans: list, low: int, high: int) -> DataFrame:
     """Rows numbered ``low``..``high`` out of the few files in ``spans``."""
     table = open_result(spark, path)
     if not spans:
@@ -117,10 +117,10 @@ def _between(low: int, high: int) -> Column:
     return (F.col("rows_before") < high) & (F.col("rows_before") + F.col("n_rows") >= low)
 
 
-def _rows_between(
+def rows_between(
     spark: SparkSession, path: str, spans: DataFrame, low: int, high: int
 ) -> DataFrame:
-    return _rows_of(spark, path, spans.filter(_between(low, high)).collect(), low, high)
+    return rows_of(spark, path, spans.filter(_between(low, high)).collect(), low, high)
 
 
 def _locate(spans: DataFrame, wanted: Column) -> tuple[list, int, int]:
@@ -172,7 +172,7 @@ def read_page(
     columns = table.columns
     has_flag = flag in columns
     filtered = matched_only and has_flag
-    spans = _spans(spark, path, index_path, flag, table)
+    spans = table_spans(spark, path, index_path, flag, table)
 
     if filtered:
         wanted = (
@@ -189,7 +189,7 @@ def read_page(
     if filtered:
         rows = _matched_rows(spark, path, found, offset, page_size, flag)
     else:
-        rows = _rows_of(spark, path, found, offset + 1, offset + page_size)
+        rows = rows_of(spark, path, found, offset + 1, offset + page_size)
     total = matched_total if filtered else total_all
     return Page(
         rows=_shape(rows, flag),
@@ -210,10 +210,10 @@ def _matched_rows(
 ) -> DataFrame:
     """Selected rows ``offset``..``offset + size`` with their numbers in the full table."""
     if not found:
-        return _rows_of(spark, path, [], 0, 0)
+        return rows_of(spark, path, [], 0, 0)
     low = found[0]["rows_before"] + 1
     high = found[-1]["rows_before"] + found[-1]["n_rows"]
-    candidates = _rows_of(spark, path, found, low, high).filter(ref(flag))
+    candidates = rows_of(spark, path, found, low, high).filter(ref(flag))
     # Where the page starts and ends, from the row numbers alone.
     ends = (
         candidates.select(ROW_NUMBER)
@@ -239,7 +239,7 @@ def jump_to_row(
     """The page holding ``row`` (clamped to the table) and the row's index on it."""
     if total_all is None:
         if index_path:
-            total_all = _spans(spark, path, index_path, flag).agg(F.sum("n_rows")).first()[0] or 0
+            total_all = table_spans(spark, path, index_path, flag).agg(F.sum("n_rows")).first()[0] or 0
         else:
             total_all = open_result(spark, path).count()
     _, page, index = jump_target(row, total_all, page_size)
@@ -266,8 +266,8 @@ def read_window(
         raise ValueError("cursor must be a row number returned by an earlier window")
     limit = max(1, min(limit, MAX_PAGE_SIZE))
     start = cursor or 0
-    spans = _spans(spark, path, index_path, FLAG)
-    rows = _rows_between(spark, path, spans, start + 1, start + limit)
+    spans = table_spans(spark, path, index_path, FLAG)
+    rows = rows_between(spark, path, spans, start + 1, start + limit)
     more = spans.filter(F.col("rows_before") + F.col("n_rows") > start + limit).limit(1).count()
     shown = rows.select(
         *(
@@ -290,7 +290,7 @@ def inspect_row(
     flag: str = FLAG,
 ) -> DataFrame:
     """One row stood on end: ``(pos, column, kind, value)`` with every value in full."""
-    found = _rows_between(spark, path, _spans(spark, path, index_path, flag), row, row)
+    found = rows_between(spark, path, table_spans(spark, path, index_path, flag), row, row)
     names = [c for c in found.columns if c not in (flag, PLACE, ROW_NUMBER)]
     return found.select(
         F.inline(

@@ -3,7 +3,18 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from patternflow import MissingColumnsError, column_kinds, sample_values, samples_map
+from patternflow import (
+    MissingColumnsError,
+    column_kinds,
+    sample_table,
+    sample_values,
+    samples_map,
+    scratch_path,
+    table_kinds,
+    with_row_numbers,
+    write_ordered,
+    write_page_index,
+)
 
 
 def numbered(spark, values, columns=("c",)):
@@ -94,3 +105,67 @@ def test_ranking_is_cut_before_the_shuffle(spark):
 
     df = numbered(spark, ["a", "b"])
     assert "WindowGroupLimit" in plan(_first_k(_cells(df, ["c"], F.col("__rownum"), None), 8))
+
+
+@pytest.fixture(scope="module")
+def written(spark):
+    """40 files of 100 rows each; one column holds a value in the last rows only."""
+    df = spark.range(4000).select(
+        "id",
+        F.concat(F.lit("v"), F.col("id") % 700).alias("v"),
+        F.when(F.col("id") > 3990, F.col("id").cast("string")).alias("late"),
+        F.when(F.col("id") % 2 == 0, F.concat("id", F.lit("@x.com"))).alias("mail"),
+    )
+    path = write_ordered(df, ["id"], scratch_path(spark, "written"), 40)
+    return path, write_page_index(spark, path, scratch_path(spark, "index"))
+
+
+def same(a, b):
+    return sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+@pytest.mark.parametrize("k", [3, 10, 450, 1500])
+def test_samples_by_position_are_the_samples(spark, written, k):
+    path, index = written
+    want = sample_values(with_row_numbers(spark, path), ["v", "late", "mail"], k)
+    assert same(sample_table(spark, path, ["v", "late", "mail"], k, index_path=index), want)
+    assert same(sample_table(spark, path, ["v", "late", "mail"], k), want)
+
+
+def test_more_values_than_a_ranking_is_cut_to(spark):
+    values = [f"m{(i * 7919) % 3001}" for i in range(5000)]
+    df = numbered(spark, values).repartition(4)
+    assert samples(df, ["c"], 2000, 80) == {"c": brute(values, 2000, 80)}
+
+
+def test_samples_open_only_the_files_they_visit(spark, written, monkeypatch):
+    from patternflow.operators import sampling
+
+    path, index = written
+    opened = []
+    real = sampling.rows_of
+    monkeypatch.setattr(sampling, "rows_of", lambda *a: opened.append(real(*a)) or opened[-1])
+    monkeypatch.setattr(sampling, "with_row_numbers", lambda *a, **b: pytest.fail("the whole table was read"))
+    assert sample_table(spark, path, ["v", "mail"], 2, index_path=index).count() == 4
+    files = {r[0] for r in opened[0].select("_metadata.file_name").distinct().collect()}
+    assert len(files) == 2  # rows 0 to 7 and 2000 to 2007 of 4000
+    # Other files are not even listed for the scan: with a task for each file there are two.
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        sample_table(spark, path, ["v", "mail"], 2, index_path=index)
+        parts = opened[-1].rdd.getNumPartitions()
+        assert parts < spark.read.parquet(path).rdd.getNumPartitions() / 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_kinds_by_position_are_the_kinds(spark, written, monkeypatch):
+    path, index = written
+    assert same(table_kinds(spark, path, index_path=index), column_kinds(with_row_numbers(spark, path)))
+    from patternflow.operators import sampling
+
+    monkeypatch.setattr(sampling, "with_row_numbers", lambda *a, **b: pytest.fail("the whole table was read"))
+    assert dict(map(tuple, table_kinds(spark, path, ["v", "mail"], index_path=index).collect())) == {"v": "Text", "mail": "Email"}
+    with pytest.raises(MissingColumnsError):
+        table_kinds(spark, path, ["absent"])
