@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import checked, lit, sql_list, table
 from patternflow import lint_rules, resolve_prompts, rule_summary, scratch_path, validate_rules
-from patternflow.functions.entities import GENERIC, SPECIFIC
+from patternflow.functions.entities import GENERIC, SPECIFIC, pattern_of
 from patternflow.functions.matching import match_condition
 from patternflow.model import Predicate
 from patternflow.plans import lint as L
@@ -15,6 +15,7 @@ from patternflow.plans import prompts as R
 from patternflow.plans.requests import (
     STORE_SCHEMA,
     context_signature,
+    create_store,
     request_key,
     resolve_with_reuse,
     with_keys,
@@ -386,6 +387,23 @@ def reuse_resolved(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "source", F.col("predicates")[0]["pattern"].alias("pattern"), "action", "value")
 
 
+@checked(
+    f"""SELECT flag, pattern, action, 'heuristic' AS source, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders
+    FROM (SELECT l_orderkey, l_returnflag AS flag,
+      CASE l_returnflag WHEN 'A' THEN {lit(pattern_of('email'))} WHEN 'N' THEN {lit(pattern_of('phone'))} ELSE {lit(pattern_of('url'))} END AS pattern,
+      CASE l_returnflag WHEN 'A' THEN 'find' WHEN 'N' THEN 'mask' ELSE 'drop' END AS action FROM lineitem) GROUP BY ALL"""
+)
+def reuse_hot_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Two requests that hold a third of all rows each, which join by broadcast, and fifty others, which are shuffled."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("flag"))
+    rare = F.concat(F.lit("drop rows with urls, group "), F.pmod("l_orderkey", F.lit(50)))
+    prompt = F.when(F.col("flag") == "A", "find emails").when(F.col("flag") == "N", "mask  the phone numbers").otherwise(rare)
+    asked = lines.select("l_orderkey", "flag", prompt.alias("prompt"), F.array(F.lit("text")).alias("columns"))
+    out = resolve_with_reuse(spark, asked, create_store(spark, scratch_path(spark, "store")))
+    out = out.select("flag", F.col("predicates")[0]["pattern"].alias("pattern"), "action", "source", "l_orderkey")
+    return out.groupBy("flag", "pattern", "action", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders"))
+
+
 @checked(
     f"""SELECT n_nationkey, regexp_matches(n_name, '1') AND regexp_matches(CAST(n_regionkey AS VARCHAR), '^[0-2]') AS hit FROM nation"""
 )

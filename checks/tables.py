@@ -318,13 +318,13 @@ def sample_table_events(spark: SparkSession, d: str) -> DataFrame:
     return sample_table(spark, _ordered_events(spark, d), ["event_type", "props", "user_id"], 12)
 
 
-@checked(_samples_sql("lineitem", "l_orderkey, l_linenumber", ["l_orderkey", "l_partkey", "l_shipdate"], 2000, 80))
+@checked(_samples_sql("orders", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderdate"], 1200, 80))
 def sample_table_many_values(spark: SparkSession, d: str) -> DataFrame:
     """More values a column than Spark cuts a ranking to before its shuffle."""
-    path, index = scratch_path(spark, "lines"), scratch_path(spark, "index")
-    write_ordered(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], path, 6)
+    path, index = scratch_path(spark, "orders"), scratch_path(spark, "index")
+    write_ordered(table(spark, d, "orders"), ["o_orderkey"], path, 6)
     write_page_index(spark, path, index)
-    return sample_table(spark, path, ["l_orderkey", "l_partkey", "l_shipdate"], 2000, index_path=index)
+    return sample_table(spark, path, ["o_orderkey", "o_custkey", "o_orderdate"], 1200, index_path=index)
 
 
 @checked(_kinds_sql("events", "event_id", ["event_id", "event_type", "props", "user_id"]))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from patternflow.functions.columns import ref
@@ -18,14 +20,14 @@ def attach(
     """``left`` with the columns of the one row of ``right`` sharing its ``key``, if any.
 
     Rows with hot keys meet a broadcast of just those keys (at most 1000 rows of
-    ``right``); all others join by shuffle, where every key is now small.
+    ``right``); all others join by shuffle, where every key is now small. One aggregate tells the rows of the
+    most frequent keys and, observed on its way in, of all of them.
     """
-    counts = left.groupBy(ref(key)).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if total < hot_min_rows:
-        return left.join(right, key, "left")
-    bar = max(hot_min_rows, int(total * HOT_SHARE))
-    hot = [r[0] for r in counts.filter((F.col("n") >= bar) & ref(key).isNotNull()).collect()]
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    counts = left.observe(seen, F.count(F.lit(1)).alias("total")).groupBy(ref(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.filter("key IS NOT NULL").orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).collect()
+    bar = max(hot_min_rows, int((seen.get.get("total") or 0) * HOT_SHARE))
+    hot = [r["key"] for r in top if r["n"] >= bar]
     if not hot:
         return left.join(right, key, "left")
     is_hot = F.coalesce(ref(key).isin(hot), F.lit(False))

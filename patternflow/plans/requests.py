@@ -17,6 +17,8 @@ STORE_SCHEMA = (
     "key string, predicates array<struct<column:string,pattern:string,explanation:string>>, "
     "combinator string, explanation string, action string, value string, created_at timestamp"
 )
+#: What a store is laid out by: the first digits of the key, which is a hash. A lookup reads the buckets of its keys.
+BUCKET, _BUCKET_DIGITS = "bucket", 2
 _PAYLOAD = ("predicates", "combinator", "explanation", "action", "value")
 
 
@@ -95,15 +97,18 @@ def resolve_with_reuse(
 
     Output is that of :func:`resolve_prompts` plus ``key``; ``source`` says
     "cache" for requests the store already held. The store is an append-only
-    Parquet table; it must exist (see :func:`create_store`).
+    Parquet table; it must exist (see :func:`create_store`). The requests are read once, with their keys, into the
+    scratch folder; of the store only buckets that their keys are in.
     """
     # One literal instant: an entry alive now must still be when the answers are computed.
     asked_at = F.unix_micros((F.current_timestamp() if now is None else now).cast("timestamp"))
     now = F.timestamp_micros(F.lit(spark.range(1).select(asked_at).first()[0]))
     # The entries seen at the start decide what counts as known.
-    store = spark.read.schema(STORE_SCHEMA).parquet(store_path)
-    known = fresh_entries(store, now, ttl_days)
     keyed = with_keys(requests, prompt, columns)
+    once = scratch_path(spark, "requests")
+    keyed.write.parquet(once)
+    keyed = spark.read.schema(keyed.schema).parquet(once)
+    known = fresh_entries(_entries(spark, store_path, keyed), now, ttl_days)
     new = resolve_prompts(new_requests(keyed, known, prompt, columns), prompt=prompt, columns=columns)
     # Worked out once, for the store as well as for the answers.
     staged = scratch_path(spark, "resolved")
@@ -129,13 +134,56 @@ def resolve_with_reuse(
         "key", "predicates", "combinator", "explanation",
         act.alias("action"), val.alias("value"), "source", "error",
     )
-    missing.filter(F.col("error").isNull()).select("key", *_PAYLOAD).withColumn(
-        "created_at", now
-    ).write.mode("append").parquet(store_path)
+    fresh = missing.filter(F.col("error").isNull()).select("key", *_PAYLOAD).withColumn("created_at", now)
+    if _in_buckets(spark, store_path):
+        _write_buckets(fresh, store_path)
+    else:
+        fresh.write.mode("append").parquet(store_path)
     return resolved
 
 
+def _bucket() -> Column:
+    return F.substring("key", 1, _BUCKET_DIGITS)
+
+
+def _in_buckets(spark: SparkSession, store_path: str) -> bool:
+    """Whether a store is laid out by key; one that holds entries beside the buckets is read and written as it stands."""
+    parts = spark._jvm.org.apache.hadoop.fs.Path(f"{store_path.rstrip('/')}/part-*")
+    return not parts.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(parts)
+
+
+def _entries(spark: SparkSession, store_path: str, keyed: DataFrame) -> DataFrame:
+    """The entries that may answer for keys of ``keyed``."""
+    if not _in_buckets(spark, store_path):
+        return spark.read.schema(STORE_SCHEMA).parquet(store_path)
+    buckets = [r[0] for r in keyed.select(_bucket()).distinct().collect()]  # 256 at most
+    entries = spark.read.schema(f"{STORE_SCHEMA}, {BUCKET} string").parquet(store_path)
+    return entries.filter(F.col(BUCKET).isin(buckets)).drop(BUCKET)
+
+
+def _write_buckets(entries: DataFrame, path: str) -> None:
+    # A bucket's entries meet in one task, which writes one file for it.
+    dealt = entries.withColumn(BUCKET, _bucket()).repartition(BUCKET)
+    dealt.sortWithinPartitions(BUCKET, "key").write.mode("append").partitionBy(BUCKET).parquet(path)
+
+
 def create_store(spark: SparkSession, store_path: str) -> str:
     """An empty store."""
-    spark.createDataFrame([], STORE_SCHEMA).write.mode("ignore").parquet(store_path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store_path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
     return store_path
+
+
+def compact_store(
+    spark: SparkSession, store_path: str, dest: str, *, now: Column | None = None, ttl_days: int = TTL_DAYS
+) -> str:
+    """A store at ``dest`` with the newest entry of each key that has not expired, a file for each bucket.
+
+    ``store_path`` stays as it is; use ``dest`` from then on. A store that is not laid out in buckets becomes one that is.
+    """
+    instant = (F.current_timestamp() if now is None else now).cast("timestamp")
+    entries = spark.read.schema(STORE_SCHEMA).parquet(store_path).select("key", *_PAYLOAD, "created_at")
+    newest = entries.groupBy("key").agg(F.max_by(F.struct("*"), F.struct("created_at", F.to_json(F.struct(*_PAYLOAD)))).alias("entry"))
+    live = newest.select("entry.*").filter(F.col("created_at") > instant - F.make_dt_interval(F.lit(ttl_days)))
+    _write_buckets(live, create_store(spark, dest))
+    return dest

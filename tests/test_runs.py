@@ -256,3 +256,51 @@ def test_requests_of_runs_go_through_the_store(spark, tmp_path):
     plain = run_request(spark, source, "replace emails with 'E'", ["a"], str(tmp_path / "three"))
     rows = [spark.read.parquet(str(tmp_path / d)).orderBy("a").collect() for d in ("one", "two", "three")]
     assert rows[0] == rows[1] == rows[2] and plain.matched_rows == 1
+
+
+def test_a_lookup_reads_its_buckets_only(spark, tmp_path):
+    from patternflow.plans import requests as R
+
+    store = create_store(spark, str(tmp_path / "store"))
+    asked = spark.createDataFrame([(f"find emails {i}", ["a"]) for i in range(300)], "prompt string, columns array<string>")
+    resolve_with_reuse(spark, asked, store).collect()
+    assert len(list((tmp_path / "store").glob("bucket=*"))) > 100
+    one = R.with_keys(asked.limit(1))
+    entries = R._entries(spark, store, one)
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and entries.count() < 20
+    assert {r["source"] for r in resolve_with_reuse(spark, asked, store).collect()} == {"cache"}
+
+
+def test_requests_are_read_once(spark, tmp_path):
+    path, read = str(tmp_path / "asked"), spark.sparkContext.accumulator(0)
+    asked = spark.createDataFrame([(i, "find emails", ["a"]) for i in range(50)], "id int, prompt string, columns array<string>")
+    asked.write.parquet(path)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    counted = spark.read.parquet(path).mapInArrow(count, asked.schema)
+    out = resolve_with_reuse(spark, counted, create_store(spark, str(tmp_path / "store")))
+    assert out.count() == 50 and out.filter("source = 'heuristic'").count() == 50
+    assert read.value == 50
+
+
+def test_compaction_keeps_the_newest_live_entries(spark, tmp_path):
+    from patternflow.plans.requests import STORE_SCHEMA, compact_store
+
+    day = lambda d: F.to_timestamp(F.lit(f"2024-01-{d:02d}"))
+    rows = [("aa1", "old", 1), ("aa1", "new", 9), ("bb2", "gone", 2), ("bb3", "kept", 8)]
+    flat = spark.createDataFrame(rows, "key string, explanation string, d int").selectExpr(
+        "key", "cast(null as array<struct<column:string,pattern:string,explanation:string>>) predicates", "'all' combinator",
+        "explanation", "'find' action", "'' value", "make_timestamp(2024, 1, d, 0, 0, 0) created_at",
+    )
+    flat.write.parquet(str(tmp_path / "flat"))
+    dest = compact_store(spark, str(tmp_path / "flat"), str(tmp_path / "new"), now=day(12), ttl_days=5)
+    again = compact_store(spark, dest, str(tmp_path / "again"), now=day(12), ttl_days=5)
+    for store in (dest, again):
+        left = spark.read.schema(STORE_SCHEMA).parquet(store).select("key", "explanation").collect()
+        assert sorted(map(tuple, left)) == [("aa1", "new"), ("bb3", "kept")]
+    assert len(list((tmp_path / "new").glob("bucket=*/*.parquet"))) == 2
