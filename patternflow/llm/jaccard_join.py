@@ -8,21 +8,25 @@ prefix is extended until all classes together cover one more than that. Sets tha
 in no signature can't be linked; those that do are verified in full.
 
 Sets that are equal are one node from the start. Nodes of a signature are compared by
-parity sketches, which bound the difference of two sets from below: small groups pair by pair, large
-ones block against block in numpy. The components of what may be similar are
-cells; a cell's sets are then compared in full, again block against block. Of either
+parity sketches, which bound the difference of two sets from below. The components of what may be similar are
+cells; a cell's sets are then compared in full.
+
+Small groups are compared pair by pair. The members of a large one first meet a few centres of it, which costs in
+proportion to the group. Whatever that connects needs no more comparing among itself; only the members
+outside the largest connected part meet all others, block against block. Of a
 comparison of blocks only a spanning forest leaves the task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patternflow.llm.common import ensure_on_executors, ref, staged
@@ -41,8 +45,12 @@ SKETCH_BITS = (10, 17)
 #: Members of a block of sketches; members and n-grams of a block of sets.
 BLOCK_SKETCHES = 512
 BLOCK_MEMBERS, BLOCK_GRAMS = 256, 1 << 19
-#: Slots by which rows that can't matter are turned away before a join: bounds what is broadcast.
-SLOTS = 1 << 20
+#: Members of a large group that all its others are compared with first.
+CENTRES = 8
+#: Bits, a power of two, of the filter that turns away texts whose set is in no cell: at least as many as FILTER_SPARE times
+#: the sets in cells, within these bounds. It is broadcast. Beyond the upper one it lets more texts pass, to a join that drops them.
+FILTER_BITS, FILTER_SPARE = (16, 30), 16
+_FILTER_PAGE = 20
 SALTS = 32
 CHUNK = 1 << 20
 
@@ -314,21 +322,11 @@ def _nodes(docs: DataFrame, frequent: Frequent, words: int, percent: int) -> Dat
     return staged(one_each.withColumn("node", F.monotonically_increasing_id()), "gram-nodes")
 
 
-def _slot(column: Column | str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")
-
-
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) links between nodes that may be similar, enough to hold every similar pair in one component."""
     signed = nodes.select("node", "size", F.explode("signatures").alias("signature"))
-    groups = staged(
-        signed.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre")).filter("members > 1"),
-        "gram-groups",
-    )
-    # At most SLOTS numbers are broadcast, to turn away rows whose signature is nobody else's.
-    slots = F.broadcast(groups.select(_slot("signature").alias("slot")).distinct())
-    met = signed.withColumn("slot", _slot("signature")).join(slots, "slot", "left_semi").join(groups, "signature")
-    met = staged(met.select("signature", "node", "size", "members", "centre"), "gram-members")
+    groups = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre")).filter("members > 1")
+    met = staged(signed.join(groups, "signature").select("signature", "node", "size", "members", "centre"), "gram-members")
 
     listed = (
         met.filter(F.col("members") <= PAIRED)
@@ -363,127 +361,230 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     sizes = F.col("size_a") + F.col("size_b")
     close = both.filter(odd <= sizes - 2 * F.ceil(percent * sizes / (100 + percent))).select("a", "b")
 
-    # Large groups with the same smallest node are one unit: groups of near copies mostly have the same few.
-    large = met.filter(F.col("members") > PAIRED).select("centre", "node").distinct().join(side, "node")
-    wide = large.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SKETCHES).cast("int").alias("blocks"))
-    units = _units(large.join(wide, "centre")).select("centre", "x", "y", "block", "node", "size", "sketch")
+    # Large groups with the same smallest node are one group: groups of near copies mostly have the same few.
+    large = met.filter(F.col("members") > PAIRED).select(F.col("centre").alias("key"), "node").distinct()
+    large = staged(large.join(side, "node").select("key", "node", "size", F.col("sketch").alias("body")), "gram-large")
+    wide = large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK_SKETCHES).cast("int").alias("blocks"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        size = np.array(table["size"], np.int64)
+    def judge(left: _Side, right: _Side) -> np.ndarray:
         # Unsigned: numpy counts the bits of a signed number's absolute value.
-        sketches = [np.asarray(x.values).view(np.uint64) for x in table["sketch"]]
-        near = _close(size, sketches, percent)
-        return _forest(np.array(table["node"], np.int64), np.array(table["block"], np.int64), near)
+        held = [[np.asarray(x.values).view(np.uint64) for x in side.bodies] for side in (left, right)]
+        return _close(left.size, held[0], right.size, held[1], percent)
 
-    return close.unionByName(units.groupBy("centre", "x", "y").applyInArrow(compare, "a long, b long")).distinct()
+    return close.unionByName(_group_links(large, wide, judge)).distinct()
 
 
-def _units(members: DataFrame) -> DataFrame:
-    """``members`` with block, x and y: each goes once to every pair of blocks (x, y) that its own is in."""
-    return (
-        members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    )
+@dataclass(frozen=True)
+class _Side:
+    """Some members of a group: numbers, sizes, and what they are compared by."""
+
+    node: np.ndarray
+    size: np.ndarray
+    bodies: list
+
+    @classmethod
+    def of(cls, rows: pa.Table | pa.RecordBatch | pa.StructArray, names: tuple[str, str, str] = ("node", "size", "body")) -> _Side:
+        node, size, body = (rows.field(n) if isinstance(rows, pa.StructArray) else rows.column(n) for n in names)
+        return cls(np.array(node, np.int64), np.array(size, np.int64), list(body))
+
 
+Judge = Callable[[_Side, _Side], np.ndarray]
 
-def _close(size: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+
+def _group_links(members: DataFrame, wide: DataFrame, judge: Judge) -> DataFrame:
+    """(a, b) links that connect in each group what ``judge`` finds alike.
+
+    ``members`` holds key, node, size and body, ``wide`` each key's number of blocks. A node's own keys may be several.
+    """
+    stars = staged(_star_links(members, judge), "gram-stars")
+    labels = connected(stars)
+    placed = members.select("key", "node").join(labels, "node", "left")
+    main = placed.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", F.col("label").isNotNull(), "label")).alias("main"))
+    rest = placed.join(main, "key").filter(F.col("label").isNull() | (F.col("label") != F.col("main"))).select("key", "node")
+    units = _cross_units(members, staged(rest, "gram-rest"), wide)
+
+    def compare(table: pa.Table) -> pa.Table:
+        first, second = (_Side.of(table.filter(pa.compute.equal(table["side"], i))) for i in (0, 1))
+        if not len(first.node) or not len(second.node):
+            return _forest(first.node[:0], second.node[:0], np.zeros((0, 0), bool))
+        return _forest(first.node, second.node, judge(first, second))
+
+    return stars.unionByName(units.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long"))
+
+
+def _star_links(members: DataFrame, judge: Judge) -> DataFrame:
+    """(a, b): every member with those of its group's centres that it is like."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+    # Spark keeps CENTRES rows a task and key before it deals them out.
+    few = members.withColumn("place", place).filter(F.col("place") <= CENTRES)
+    centres = few.groupBy("key").agg(F.collect_list(F.struct("node", "size", "body")).alias("centres"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            keys = np.array(batch.column("key"), np.int64)
+            # Rows of a key come on end, as the join leaves them: its centres are unpacked once for each run.
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+            for low, high in zip(cuts, cuts[1:]):
+                run = batch.slice(low, high - low)
+                own, hearts = _Side.of(run), _Side.of(run.column("centres")[0].values)
+                for i, j in zip(*np.nonzero(judge(own, hearts)), strict=True):
+                    a.append(int(hearts.node[j]))
+                    b.append(int(own.node[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return members.join(centres, "key").mapInArrow(meet, "a long, b long").filter("a <> b")
+
+
+def _cross_units(members: DataFrame, rest: DataFrame, wide: DataFrame) -> DataFrame:
+    """Rows of units (key, x, y): side 0 holds a block of the rest, side 1 a block of all members, for each pair of such blocks."""
+    some = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n_rest")).join(wide, "key")
+    # Blocks of the rest are as large as the others.
+    some = some.select("key", "blocks", F.ceil(F.col("n_rest") * F.col("blocks") / F.col("n")).cast("int").alias("rest_blocks"))
+    dealt = members.join(some, "key")
+
+    def block(of: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    shown = ["key", "x", "y", "side", "node", "size", "body"]
+    first = dealt.join(rest, ["key", "node"], "left_semi").withColumn("x", block("rest_blocks")).withColumn("y", every("blocks"))
+    second = dealt.withColumn("y", block("blocks")).withColumn("x", every("rest_blocks"))
+    return first.withColumn("side", F.lit(0)).select(shown).unionByName(second.withColumn("side", F.lit(1)).select(shown))
+
+
+def _close(
+    size: np.ndarray, sketches: list[np.ndarray], other_size: np.ndarray, others: list[np.ndarray], percent: int
+) -> np.ndarray:
     """Which pairs the sketches and sizes leave possible."""
-    sizes = size[:, None] + size[None, :]
+    sizes = size[:, None] + other_size[None, :]
     allowed = sizes - 2 * -(-percent * sizes // (100 + percent))
     near = np.zeros(sizes.shape, bool)
-    length = np.array([len(s) for s in sketches])
-    for n in np.unique(length):
-        same, twice = np.flatnonzero(length == n), np.flatnonzero(length == 2 * n)
-        here = np.stack([sketches[i] for i in same])
-        there = np.concatenate([here, *[(sketches[i][:n] ^ sketches[i][n:])[None] for i in twice]])
-        at = np.concatenate([same, twice])
-        odd = np.zeros((len(same), len(at)), np.int64)
-        for word in range(n):
-            odd += np.bitwise_count(here[:, word, None] ^ there[None, :, word])
-        near[np.ix_(same, at)] = odd <= allowed[np.ix_(same, at)]
-    near |= near.T
-    return near & (100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]))
-
-
-def _digest_slot(column: Column | str) -> Column:
-    """The first 20 bits of a digest."""
-    head = F.conv(F.hex(F.substring(column, 1, 3)), 16, 10).cast("int")
-    return F.shiftright(head, 4)
+    length, other_length = (np.array([len(s) for s in x]) for x in (sketches, others))
+
+    def stack(held: list[np.ndarray], at: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([held[i] if len(held[i]) == n else held[i][:n] ^ held[i][n:] for i in at])
+
+    for n in np.unique(np.concatenate([length, other_length])):
+        # Partners' lengths are the same or differ by a doubling; n is the shorter one.
+        for here, there in ((n, n), (n, 2 * n), (2 * n, n)):
+            at, to = np.flatnonzero(length == here), np.flatnonzero(other_length == there)
+            if not len(at) or not len(to):
+                continue
+            a, b = stack(sketches, at, n), stack(others, to, n)
+            odd = np.zeros((len(at), len(to)), np.int64)
+            for word in range(n):
+                odd += np.bitwise_count(a[:, word, None] ^ b[None, :, word])
+            near[np.ix_(at, to)] = odd <= allowed[np.ix_(at, to)]
+    smaller, larger = np.minimum(size[:, None], other_size[None, :]), np.maximum(size[:, None], other_size[None, :])
+    return near & (100 * smaller >= percent * larger)
+
+
+def _filter(members: DataFrame) -> tuple[np.ndarray, int]:
+    """(packed bits, their number as a power of two): the digests that occur, by their first bits."""
+    n = members.count()
+    low, high = FILTER_BITS
+    power = min(high, max(low, (FILTER_SPARE * n).bit_length()))
+    head = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    slot = F.shiftright(head, 32 - power)
+    slots = members.select(F.shiftright(slot, _FILTER_PAGE).alias("page"), (slot % (1 << _FILTER_PAGE)).cast("int").alias("bit"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << _FILTER_PAGE, bool)
+        bits[np.asarray(table["bit"])] = True
+        return pa.table({"page": table["page"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    packed = np.zeros(max(1, (1 << power) >> 3), np.uint8)
+    # One row per 2^20 bits, and 2^30 bits at most.
+    for page, bits in slots.distinct().groupBy("page").applyInArrow(pack, "page long, bits binary").collect():
+        part = np.frombuffer(bits, np.uint8)
+        at = page << (_FILTER_PAGE - 3)
+        packed[at : at + len(part)] = part[: len(packed) - at]
+    return packed, power
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, cells: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links inside the cells, block against block."""
+    """(a, b) links inside the cells that connect all that reach the similarity."""
     members = staged(
-        cells.join(nodes.select("node", "digest", "size"), "node").withColumnRenamed("label", "cell"), "gram-cells"
+        cells.join(nodes.select("node", "digest", "size"), "node").withColumnRenamed("label", "key"), "gram-cells"
     )
-    wanted = np.zeros(SLOTS, bool)
-    slots = members.select(_digest_slot("digest").alias("slot")).distinct().toArrow()  # SLOTS numbers at most
-    wanted[np.asarray(slots["slot"])] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    packed, power = _filter(members)
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
+        bits = shared.value
         for batch in batches:
             for _, sets in _sets(batch.column("text"), words):
                 digests = _digests(sets)
-                use = [i for i, d in enumerate(digests) if sets.size[i] > 1 and wanted[int.from_bytes(d[:3]) >> 4]]
+                slot = np.array([int.from_bytes(d[:4]) >> (32 - power) for d in digests], np.int64)
+                wanted = ((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool) if len(slot) else np.zeros(0, bool)
+                use = np.flatnonzero(wanted & (sets.size > 1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([digests[i] for i in use], pa.binary()), pa.array([sets.of(i).tobytes() for i in use], pa.binary())],
-                    ["digest", "grams"],
+                    ["digest", "body"],
                 )
 
-    grams = docs.select("text").mapInArrow(gather, "digest binary, grams binary").groupBy("digest").agg(F.first("grams").alias("grams"))
-    wide = members.groupBy("cell").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    grams = docs.select("text").mapInArrow(gather, "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body"))
+    held = staged(members.join(grams, "digest").select("key", "node", "size", "body"), "gram-held")
+    wide = held.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks"),
     )
-    units = _units(members.join(wide, "cell")).join(grams, "digest").select("cell", "x", "y", "block", "node", "grams")
+    wide = staged(wide, "gram-wide")
+
+    def judge(left: _Side, right: _Side) -> np.ndarray:
+        a, b = ([np.frombuffer(g.as_buffer(), np.uint64) for g in side.bodies] for side in (left, right))
+        return _linked(a, b, percent)
 
     def link(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in table["grams"]]
-        return _forest(np.array(table["node"], np.int64), np.array(table["block"], np.int64), _linked(sets, percent))
+        all_of_it = _Side.of(table)
+        return _forest(all_of_it.node, all_of_it.node, judge(all_of_it, all_of_it))
 
-    return units.groupBy("cell", "x", "y").applyInArrow(link, "a long, b long")
+    small = held.join(wide.filter("blocks = 1").select("key"), "key", "left_semi").groupBy("key").applyInArrow(link, "a long, b long")
+    large = held.join(wide.filter("blocks > 1").select("key"), "key", "left_semi")
+    return small.unionByName(_group_links(large, wide, judge))
 
 
-def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which pairs of sets reach the similarity, exactly."""
-    size = np.array([len(s) for s in sets], np.int64)
-    _, inverse, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def _linked(sets: list[np.ndarray], others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of a set and another reach the similarity, exactly."""
+    size, other_size = (np.array([len(s) for s in x], np.int64) for x in (sets, others))
+    both, n = [*sets, *others], len(sets)
+    _, inverse, met = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
     number = np.cumsum(met > 1) - 1  # n-grams of a single set are in no intersection
     use = met[inverse] > 1
-    owner, gram = np.repeat(np.arange(len(sets)), size)[use], number[inverse[use]]
-    shared = np.zeros((len(sets), len(sets)), np.float32)
-    n = int((met > 1).sum())
+    owner, gram = np.repeat(np.arange(len(both)), np.concatenate([size, other_size]))[use], number[inverse[use]]
+    shared = np.zeros((n, len(others)), np.float32)
+    total = int((met > 1).sum())
     order = np.argsort(gram, kind="stable")
     owner, gram = owner[order], gram[order]
-    for low in range(0, n, 4096):
+    for low in range(0, total, 4096):
         a, b = np.searchsorted(gram, [low, low + 4096])
-        held = np.zeros((len(sets), min(4096, n - low)), np.float32)
+        held = np.zeros((len(both), min(4096, total - low)), np.float32)
         held[owner[a:b], gram[a:b] - low] = 1
-        shared += held @ held.T
+        shared += held[:n] @ held[n:].T
     shared = shared.astype(np.int64)  # whole numbers below 2 ** 24: exact
-    return 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+    return 100 * shared >= percent * (size[:, None] + other_size[None, :] - shared)
 
 
-def _forest(node: np.ndarray, block: np.ndarray, linked: np.ndarray) -> pa.Table:
-    """(a, b): a spanning forest of the linked pairs of one block, or of pairs across two blocks."""
-    if block.min() != block.max():
-        linked = linked & (block[:, None] != block[None, :])
-    root = list(range(len(node)))
+def _forest(node: np.ndarray, others: np.ndarray, linked: np.ndarray) -> pa.Table:
+    """(a, b): a spanning forest of the linked pairs of a node and another."""
+    root: dict[int, int] = {}
 
     def top(i: int) -> int:
-        while root[i] != i:
+        while root.setdefault(i, i) != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
     kept = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        x, y = top(int(i)), top(int(j))
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = int(node[i]), int(others[j])
+        x, y = top(a), top(b)
         if x != y:
             root[y] = x
-            kept.append((int(node[i]), int(node[j])))
+            kept.append((a, b))
     return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
 
 
