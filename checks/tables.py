@@ -45,6 +45,7 @@ from patternflow.sources import contacts as C
 from patternflow.sources.csv_layout import inspect_csv
 from patternflow.sources.readers import EmptyTableError
 from patternflow.sources.writers import TooLargeForExcel, check_fits_excel
+from patternflow.streaming.filedrop import dropped_results, run_rule_drops
 
 # ---- CSV and Parquet round trips -------------------------------------------
 
@@ -390,6 +391,25 @@ def stream_drain(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(dest)
 
 
+@checked(
+    f"""SELECT c.*, 3 AS batches, 5 AS files, t AS total_rows, m AS matched_rows
+    FROM ({rule_sql(_stream_rule, ["c_custkey", "c_name"], "(SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer)")}) c,
+    (SELECT CAST(count(*) AS BIGINT) AS t, CAST(count(*) FILTER (WHERE {sql_hit('c_name', pattern_of('number'))}) AS BIGINT) AS m FROM customer)"""
+)
+def stream_run_records(spark: SparkSession, d: str) -> DataFrame:
+    """Files dropped in, worked off two at a time, next to what the records of these batches add up to."""
+    drop, dest, check, runs = (scratch_path(spark, x) for x in ("drop", "result", "checkpoint", "runs"))
+    export_csv(table(spark, d, "customer").select("c_custkey", "c_name").repartition(5), drop)
+    stream = run_rule_drops(spark, drop, ["c_custkey", "c_name"], _stream_rule, dest, check, runs, stream_id="drops", files_per_batch=2)
+    stream.awaitTermination()
+    files = F.split("request", " ")[0].cast("int")
+    totals = spark.read.parquet(runs).agg(
+        F.count(F.lit(1)).cast("int").alias("batches"), F.sum(files).cast("int").alias("files"),
+        F.sum("total_rows").alias("total_rows"), F.sum("matched_rows").alias("matched_rows"),
+    )
+    return dropped_results(spark, dest).select("c_custkey", "c_name", "__matched__").join(F.broadcast(totals))
+
+
 def _draw_sql(salt: int, bound: int) -> str:
     return (
         f"((((c_custkey % 1000003) * {7919 + 2 * salt} + 42 * 31 + {salt * 104729}) % 1000003)"

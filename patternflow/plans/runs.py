@@ -117,8 +117,8 @@ def run_rule(
     started, clock = datetime.now(timezone.utc), time.monotonic()
 
     def record(stats: RunStats | None, error: str | None) -> None:
-        row = _run_row(run_id, dataset, request, rule, stats, error, started, time.monotonic() - clock)
-        _record(spark, runs_path, [row])
+        row = run_row(run_id, dataset, request, rule, stats, error, started, time.monotonic() - clock)
+        record_runs(spark, runs_path, [row])
 
     try:
         check_rule(rule)
@@ -130,7 +130,7 @@ def run_rule(
             if index_path:
                 write_page_index(spark, dest, index_path)
         total, matched = (int(counts.get.get(k) or 0) for k in ("total_rows", "matched_rows"))
-        stats = _stats(run_id, rule, total, matched, df, dest)
+        stats = stats_of(run_id, rule, total, matched, df, dest)
     except Exception as exc:
         record(None, _first_line(exc))
         raise
@@ -138,7 +138,7 @@ def run_rule(
     return stats
 
 
-def _stats(run_id: str, rule: Rule, total: int, matched: int, df: DataFrame, dest: str) -> RunStats:
+def stats_of(run_id: str, rule: Rule, total: int, matched: int, df: DataFrame, dest: str) -> RunStats:
     left = {"keep": matched, "drop": total - matched}.get(rule.action, total)
     return RunStats(run_id, total, matched, left, [c for c in df.columns if c != PLACE], dest)
 
@@ -147,7 +147,7 @@ def _first_line(exc: Exception) -> str:
     return str(exc).splitlines()[0] if str(exc) else type(exc).__name__
 
 
-def _run_row(
+def run_row(
     run_id: str, dataset: str, request: str, rule: Rule, stats: RunStats | None, error: str | None, started: datetime, seconds: float
 ) -> tuple:
     return (
@@ -158,7 +158,16 @@ def _run_row(
     )
 
 
-def _record(spark: SparkSession, runs_path: str | None, rows: list[tuple]) -> None:
+def is_recorded(spark: SparkSession, runs_path: str, run_id: str) -> bool:
+    """Whether ``runs_path`` has a record of the run."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(runs_path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return False
+    found = spark.read.schema(RUNS_SCHEMA).parquet(runs_path).filter(F.col("run_id") == run_id)
+    return bool(found.select("run_id").take(1))
+
+
+def record_runs(spark: SparkSession, runs_path: str | None, rows: list[tuple]) -> None:
     if runs_path and rows:
         spark.createDataFrame(rows, RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(runs_path)
 
@@ -249,12 +258,12 @@ def run_rules(
                 stats.update(_run_batch(spark, df, batch, dest, run_id))
     except Exception as exc:
         seconds = time.monotonic() - clock
-        rows = [_run_row(f"{run_id}/{n}", dataset, request, r, None, _first_line(exc), started, seconds) for n, r in failed.items()]
-        done = [_run_row(s.run_id, dataset, request, rules[n], s, None, started, seconds) for n, s in stats.items()]
-        _record(spark, runs_path, done + rows)
+        rows = [run_row(f"{run_id}/{n}", dataset, request, r, None, _first_line(exc), started, seconds) for n, r in failed.items()]
+        done = [run_row(s.run_id, dataset, request, rules[n], s, None, started, seconds) for n, s in stats.items()]
+        record_runs(spark, runs_path, done + rows)
         raise
     seconds = time.monotonic() - clock
-    _record(spark, runs_path, [_run_row(s.run_id, dataset, request, rules[n], s, None, started, seconds) for n, s in stats.items()])
+    record_runs(spark, runs_path, [run_row(s.run_id, dataset, request, rules[n], s, None, started, seconds) for n, s in stats.items()])
     return {name: stats[name] for name in rules}
 
 
@@ -294,7 +303,7 @@ def _run_batch(spark: SparkSession, df: DataFrame, rules: dict[str, Rule], dest:
         finish_version(spark, path)
     seen = counts.get
     return {
-        name: _stats(f"{run_id}/{name}", rule, int(seen.get("total_rows") or 0), int(seen.get(f"matched_{i}") or 0), df, paths[name])
+        name: stats_of(f"{run_id}/{name}", rule, int(seen.get("total_rows") or 0), int(seen.get(f"matched_{i}") or 0), df, paths[name])
         for i, (name, rule) in enumerate(rules.items())
     }
 

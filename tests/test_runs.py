@@ -304,3 +304,66 @@ def test_compaction_keeps_the_newest_live_entries(spark, tmp_path):
         left = spark.read.schema(STORE_SCHEMA).parquet(store).select("key", "explanation").collect()
         assert sorted(map(tuple, left)) == [("aa1", "new"), ("bb3", "kept")]
     assert len(list((tmp_path / "new").glob("bucket=*/*.parquet"))) == 2
+
+
+@pytest.fixture
+def drops(spark, tmp_path):
+    """Files of which one has cells that span lines."""
+    folder = tmp_path / "drop"
+    folder.mkdir()
+    for i in range(5):
+        body = "".join(f"{i}{k},n{k}\n" for k in range(20))
+        (folder / f"{i}.csv").write_text("id,note\n" + (body if i != 3 else '3,"n1\nn2"\n'))
+    return folder
+
+
+def run_drops(spark, tmp_path, drops, **options):
+    from patternflow.streaming.filedrop import run_rule_drops
+
+    rule = Rule.on("note", "n1", "replace", "#")
+    places = (str(tmp_path / x) for x in ("out", "check", "runs"))
+    return run_rule_drops(spark, str(drops), ["id", "note"], rule, *places, stream_id="s", files_per_batch=2, **options)
+
+
+def test_a_record_for_each_batch_of_files(spark, tmp_path, drops):
+    from patternflow.streaming.filedrop import BATCH, dropped_results
+
+    run_drops(spark, tmp_path, drops).awaitTermination()
+    record = spark.read.parquet(str(tmp_path / "runs")).orderBy("run_id").collect()
+    assert [(r["run_id"], r["request"], r["status"]) for r in record] == [(f"s/{i}", f"{n} files", "SUCCESS") for i, n in enumerate((2, 2, 1))]
+    assert sum(r["total_rows"] for r in record) == 81 and sum(r["matched_rows"] for r in record) == 4 * 11 + 1
+    got = dropped_results(spark, str(tmp_path / "out"))
+    assert got.count() == 81 and got.select(BATCH).distinct().count() == 3
+    assert got.filter("id = '3'").first()["note"] == "#\nn2"
+    # What arrives later is a batch of its own.
+    (drops / "9.csv").write_text("id,note\nx,y\n")
+    run_drops(spark, tmp_path, drops).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 4
+
+
+@pytest.mark.parametrize("when", ["before the record", "after the record"])
+def test_a_batch_cut_short_leaves_one_record(spark, tmp_path, drops, monkeypatch, when):
+    from patternflow.plans import runs
+    from patternflow.streaming.filedrop import dropped_results
+
+    real = runs.record_runs
+
+    def cut_short(*args):
+        if when == "after the record":
+            real(*args)
+        raise RuntimeError("cut short")
+
+    with monkeypatch.context() as m:
+        m.setattr(runs, "record_runs", cut_short)
+        with pytest.raises(Exception, match="cut short"):
+            run_drops(spark, tmp_path, drops).awaitTermination()
+    run_drops(spark, tmp_path, drops).awaitTermination()
+    record = spark.read.parquet(str(tmp_path / "runs"))
+    assert sorted(r["run_id"] for r in record.collect()) == ["s/0", "s/1", "s/2"]
+    assert dropped_results(spark, str(tmp_path / "out")).count() == 81
+
+
+def test_a_batch_with_another_header_stops(spark, tmp_path, drops):
+    (drops / "a.csv").write_text("note,id\nx,y\n")
+    with pytest.raises(Exception):
+        run_drops(spark, tmp_path, drops).awaitTermination()
