@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patternflow.functions.columns import as_text, null_as_empty, ref
-from patternflow.functions.entities import BY_NAME, CATALOGUE, Entity
+from patternflow.functions.entities import BY_NAME, CATALOGUE, Entity, has_digit
 from patternflow.functions.matching import text_matches
 from patternflow.model import Predicate, Rule
 
@@ -27,19 +27,22 @@ def entity_scan(
     chosen = [BY_NAME[e] for e in entities] if entities is not None else list(CATALOGUE)
     Rule(tuple(Predicate(c, "") for c in columns)).check_columns(df.columns)
     # Cells on end: the plan has one set of counters, however many columns there are.
-    cells = df.select(F.posexplode(F.array(*(null_as_empty(as_text(c)) for c in columns))).alias("place", "cell"))
+    if len(columns) == 1:
+        cells = df.select(F.lit(0).alias("place"), null_as_empty(as_text(columns[0])).alias("cell"))
+    else:
+        cells = df.select(F.posexplode(F.array(*(null_as_empty(as_text(c)) for c in columns))).alias("place", "cell"))
     # Tests that others build on run once per cell: most entities need a digit, and
     # some match just when one of two or three simpler ones does.
-    shared = {n for e in chosen for n in (e.either or (("number",) if e.digits else ()))}
-    cells = cells.select("*", *(text_matches(F.col("cell"), BY_NAME[n].pattern).alias(n) for n in sorted(shared)))
+    cells = cells.select("*", has_digit(F.col("cell")).alias("digit"))
+    shared = {n for e in chosen for n in e.either}
+    cells = cells.select("*", *(text_matches(F.col("cell"), BY_NAME[n].pattern, F.col("digit")).alias(n) for n in sorted(shared)))
 
     def test(e: Entity) -> Column:
         if e.name in shared:
             return F.col(e.name)
         if e.either:
             return reduce(or_, (F.col(n) for n in e.either))
-        found = text_matches(F.col("cell"), e.pattern)
-        return F.col("number") & found if e.digits else found
+        return text_matches(F.col("cell"), e.pattern, F.col("digit"))
 
     counters = [F.count(F.when(test(e), 1)).alias(f"n{j}") for j, e in enumerate(chosen)]
     counted = cells.groupBy("place").agg(F.count(F.lit(1)).alias("total"), *counters)

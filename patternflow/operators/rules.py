@@ -7,6 +7,7 @@ rewriting touches flagged cells only. Row order is the scan's.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import replace
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patternflow.functions.columns import as_text, null_as_empty, ref
+from patternflow.functions.entities import BY_PATTERN, has_digit
 from patternflow.functions.matching import (
     combine,
     first_match,
@@ -194,11 +196,28 @@ def rule_counts(df: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     for rule in rules.values():
         rule.check_columns(df.columns)
     used = list(dict.fromkeys(p.column for r in rules.values() for p in r.predicates))
-    source = df.select(*(ref(c) for c in used))
-    aggs = [F.count(F.lit(1)).alias("total")] + [
-        F.count(F.when(match_condition(r.predicates, r.combinator), 1)).alias(f"m{i}")
-        for i, r in enumerate(rules.values())
-    ]
+    # Each column once as text; whether it holds a digit too, where several patterns start from that.
+    names = {c: f"c{i}" for i, c in enumerate(used)}
+    source = df.select(*(null_as_empty(as_text(c)).alias(n) for c, n in names.items()))
+    tests = {(p.column, p.pattern): None for r in rules.values() for p in r.predicates}
+    asked = Counter(column for column, pattern in tests if pattern in BY_PATTERN and BY_PATTERN[pattern].digits)
+    digits = [n for c, n in names.items() if asked[c] > 1]
+    source = source.select("*", *(has_digit(F.col(n)).alias(f"{n}_digit") for n in digits))
+    # A pattern runs once on a column, however many rules ask for it.
+    repeated = Counter((p.column, p.pattern) for r in rules.values() for p in set(r.predicates))
+    shared = {test: f"t{i}" for i, (test, n) in enumerate(repeated.items()) if n > 1}
+
+    def found(column: str, pattern: str) -> Column:
+        n = names[column]
+        return text_matches(F.col(n), pattern, F.col(f"{n}_digit") if n in digits else None)
+
+    source = source.select("*", *(found(*test).alias(name) for test, name in shared.items()))
+
+    def condition(rule: Rule) -> Column:
+        hits = ((p.column, p.pattern) for p in rule.predicates)
+        return combine([F.col(shared[t]) if t in shared else found(*t) for t in hits], rule.combinator)
+
+    aggs = [F.count(F.lit(1)).alias("total")] + [F.count(F.when(condition(r), 1)).alias(f"m{i}") for i, r in enumerate(rules.values())]
     return source.agg(*aggs).select(
         F.inline(
             F.array(
