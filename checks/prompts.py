@@ -115,10 +115,10 @@ def _explanation_sql(prompt: str) -> str:
     low = f"lower({prompt})"
     return f"""coalesce({_entities_sql(SPECIFIC, 'explanation', low)},
       CASE WHEN regexp_matches({prompt}, {_QUOTED}) THEN
-        CASE WHEN regexp_matches({low}, {lit(R.EXACT_CUE)}) THEN 'Matches values equal to the quoted text.'
-             WHEN regexp_matches({low}, {lit(R.START_CUE)}) THEN 'Matches values starting with the quoted text.'
-             WHEN regexp_matches({low}, {lit(R.END_CUE)}) THEN 'Matches values ending with the quoted text.'
-             ELSE 'Matches the quoted text.' END END,
+        CASE WHEN regexp_matches({low}, {lit(R.EXACT_CUE)}) THEN 'The whole cell is the quoted text.'
+             WHEN regexp_matches({low}, {lit(R.START_CUE)}) THEN 'The cell opens with the quoted text.'
+             WHEN regexp_matches({low}, {lit(R.END_CUE)}) THEN 'The quoted text closes the cell.'
+             ELSE 'The quoted text stands somewhere in the cell.' END END,
       {_entities_sql(GENERIC, 'explanation', low)})"""
 
 
