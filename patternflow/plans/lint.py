@@ -1,88 +1,51 @@
 """Checking patterns before they meet the data.
 
 Spark runs patterns on Java's backtracking engine and has no guard of its own.
-Everything that decides whether a pattern is valid is a column expression; the compile check
-asks the very engine that will run it. A timed trial on short texts, in Python and on
-the pattern column alone, may then find a valid pattern slow.
+Every check is a column expression; the compile check
+asks the very engine that will run it. Whether a pattern may be slow is read from its form, so the verdict is the
+same on any machine, however busy.
 """
 
 from __future__ import annotations
 
 import re
-import signal
-import threading
-import warnings
-from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
+from operator import or_
 
-import pandas as pd
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from patternflow.functions.columns import is_blank, ref
 from patternflow.model import COMBINATORS
-from patternflow.session import ensure_on_executors
 
 MAX_LENGTH = 2000
-TRIAL_SECONDS = 1.0
-
-# The nested-quantifier shape and the trial texts.
+# Fixed value: the nested-quantifier shape.
 NESTED_QUANTIFIER = r"\([^()]*[*+][^()]*\)[*+]|\([^()]*[*+][^()]*\)\{"
-TRIAL_TEXTS = ("a" * 40 + "!", "ab" * 25 + "!", "0" * 40 + "X", " " * 40 + "x")
+
+_OPEN, _CLOSE = r"(?<!\\)\((?:\?:)?", r"(?<!\\)\)(?:[*+]|\{\d+,)"
+_BEFORE, _AFTER = r"(?:[^()|]*\|)*", r"(?:\|[^()|]*)*"
+_ATOM = r"(?:\\[A-Za-z]|\[[^\]\[]+\]|[^\\\[\](){}*+?|^$])"
+#: Repeated groups that can read one text in many ways, and repeats that can share one text among them.
+AMBIGUOUS = (
+    # An alternative that is another one over again, in either order: (a|aa)+, (ab|ab)*
+    _OPEN + _BEFORE + r"([^()|]+)\|" + _BEFORE + r"\1+" + _AFTER + _CLOSE,
+    _OPEN + _BEFORE + r"([^()|]+)\1*\|" + _BEFORE + r"\1" + _AFTER + _CLOSE,
+    # An alternative of one character that another one of one character is a case of: (\w|\d)+, (.|a)*
+    _OPEN + _BEFORE + r"(?:\.|\\S)\|" + _BEFORE + r"(?:\\[dwSD]|[^()|\\\s])" + _AFTER + _CLOSE,
+    _OPEN + _BEFORE + r"(?:\\[dwSD]|[^()|\\\s])\|" + _BEFORE + r"(?:\.|\\S)" + _AFTER + _CLOSE,
+    _OPEN + _BEFORE + r"\\w\|" + _BEFORE + r"(?:\\d|[A-Za-z0-9_])" + _AFTER + _CLOSE,
+    _OPEN + _BEFORE + r"(?:\\d|[A-Za-z0-9_])\|" + _BEFORE + r"\\w" + _AFTER + _CLOSE,
+    # The same character repeated without bound four times on end: a*a*a*a*
+    "(" + _ATOM + r")[*+]\??(?:\1[*+]\??){3}",
+)
 
 EMPTY = "Empty pattern."
 TOO_LONG = f"Pattern is longer than {MAX_LENGTH} characters."
 INVALID = "Invalid regex."
 NESTED = "Nested unbounded quantifiers risk catastrophic backtracking."
-SLOW = "Too slow on short texts; catastrophic backtracking is likely."
-
-
-def _for_trial(pattern: str) -> re.Pattern | None:
-    """The pattern for Python's engine, or None if only Java's knows its syntax."""
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            return re.compile(pattern)
-        except (re.error, OverflowError, RecursionError):
-            return None
-
-
-def _finishes(compiled: re.Pattern, seconds: float) -> bool:
-    """Whether the trial texts are searched within the time limit."""
-
-    def search():
-        for text in TRIAL_TEXTS:
-            compiled.search(text)
-
-    if threading.current_thread() is not threading.main_thread():
-        trial = threading.Thread(target=search, daemon=True)
-        trial.start()
-        trial.join(seconds)
-        return not trial.is_alive()
-
-    # The engine polls for signals, so an alarm really stops a runaway search.
-    def stop(*_):
-        raise TimeoutError
-
-    before = signal.signal(signal.SIGALRM, stop)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
-    try:
-        search()
-        return True
-    except TimeoutError:
-        return False
-    finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
-
-
-@lru_cache(maxsize=10_000)
-def _is_slow(pattern: str) -> bool:
-    compiled = _for_trial(pattern)
-    return compiled is not None and not _finishes(compiled, TRIAL_SECONDS)
+SLOW = "Ambiguous repeats; catastrophic backtracking is likely."
 
 
 def check_pattern(pattern: str | None) -> str | None:
@@ -98,13 +61,7 @@ def check_pattern(pattern: str | None) -> str | None:
         return INVALID
     if re.search(NESTED_QUANTIFIER, pattern):
         return NESTED
-    return SLOW if _is_slow(pattern) else None
-
-
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _slow_ones(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for patterns in batches:
-        yield patterns.map(lambda ps: None if ps is None else [p is not None and _is_slow(p) for p in ps])
+    return SLOW if any(re.search(shape, pattern) for shape in AMBIGUOUS) else None
 
 
 def compiles(pattern: Column) -> Column:
@@ -112,19 +69,27 @@ def compiles(pattern: Column) -> Column:
     return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
 
 
-def native_reason(pattern: Column) -> Column:
-    """The static checks and the compile check; null when they pass."""
+def ambiguous(pattern: Column) -> Column:
+    """Whether the pattern has a repeat that is likely to backtrack without end."""
+    repeats = pattern.rlike(r"[*+{]")
+    shapes = reduce(or_, (pattern.rlike(shape) for shape in AMBIGUOUS))
+    return repeats & shapes
+
+
+def full_reason(pattern: Column) -> Column:
+    """The static checks, the compile check and the check for ambiguity; null when they pass."""
     static = static_reason(pattern)
-    return F.when(static.isNotNull() & (static != NESTED), static).when(~compiles(pattern), INVALID).otherwise(static)
+    return (
+        F.when(static.isNotNull() & (static != NESTED), static)
+        .when(~compiles(pattern), INVALID)
+        .when(static.isNotNull(), static)
+        .when(ambiguous(pattern), SLOW)
+    )
 
 
 def _reasons(patterns: Column, trial: bool) -> Column:
-    """The reason of each of an array of patterns. Only those that pass so far are tried."""
-    if not trial:
-        return F.transform(patterns, static_reason)
-    native = F.transform(patterns, native_reason)
-    slow = _slow_ones(F.transform(patterns, lambda p: F.when(native_reason(p).isNull(), p)))
-    return F.zip_with(native, slow, lambda why, late: F.coalesce(why, F.when(late, SLOW)))
+    """The reason of each of an array of patterns."""
+    return F.transform(patterns, full_reason if trial else static_reason)
 
 
 def static_reason(pattern: Column) -> Column:
@@ -139,11 +104,10 @@ def static_reason(pattern: Column) -> Column:
 def lint_rules(rules: DataFrame, pattern: str = "pattern", *, trial: bool = True) -> DataFrame:
     """Add ``ok`` and ``reason`` to a table of patterns.
 
-    ``trial=False`` keeps to the static checks: neither compiled nor tried.
+    ``trial=False`` keeps to the static checks: neither compiled nor looked at for ambiguity.
     """
     p = ref(pattern)
-    ensure_on_executors(rules.sparkSession)
-    reason = _reasons(F.array(p), True)[0] if trial else static_reason(p)
+    reason = full_reason(p) if trial else static_reason(p)
     return rules.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 
 
@@ -161,7 +125,6 @@ def validate_rules(
     and every pattern has to pass the checks; the first fault in list order counts.
     """
     preds = ref(predicates)
-    ensure_on_executors(rules.sparkSession)
     patterns = F.transform(preds, lambda p: p["pattern"])
     reasons = _reasons(patterns, trial)
     faults = F.zip_with(

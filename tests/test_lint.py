@@ -64,23 +64,26 @@ def test_rules_table(spark, trial):
     }
 
 
-def test_off_the_main_thread():
-    import threading
-
-    seen = []
-    L._is_slow.cache_clear()
-    t = threading.Thread(target=lambda: seen.append(check_pattern(r"(b|bb)+$")))
-    t.start()
-    t.join(10)
-    assert seen == [None]
-
-
-def test_only_patterns_go_to_python(spark):
+SLOW = [
+    r"(b|bb)+$", r"^(?:x|ab|abab)*$", r"(aa|a){2,}$", r"(ab|ab)*c", r"(\w|\d)+$", r"(.|a)*b", r"(\d|\w)+-", r"(?:\S|x)+$",
+    r"a*a*a*a*b", r"\d+\d+\d+\d+x", r"[a-z]*[a-z]*[a-z]*[a-z]*!",
+]
+FINE = [
+    r"(cat|car)+", r"(a|ab)+", r"(jan|jun|jul)+", r"(a|aa)", r"\(a|aa\)+", r"(?:\d[ -]?){13,16}", r"\d{4}-\d{2}", r"(\w|-)+", r"(?:\s|x)*",
+    r"a+b+a+b+", r"[a|aa]+", r"(foo|bar)?", r".*x.*y.*", r"(\d|[A-F])+",
+]
+
+
+def test_ambiguity_is_read_from_the_form(spark):
+    """The verdict of both entry points, with no Python worker and no clock."""
     from tests.conftest import plan
 
-    df = spark.range(10).select(F.col("id"), F.lit("a+").alias("pattern"), F.lit("big").alias("other"))
-    text = plan(lint_rules(df))
-    assert "ArrowEvalPython" in text and "Exchange" not in text
+    assert [p for p in SLOW if check_pattern(p) != L.SLOW] == []
+    assert [p for p in FINE if check_pattern(p) is not None] == []
+    linted = lint_rules(spark.createDataFrame([(p,) for p in SLOW + FINE], "pattern string"))
+    assert {r["pattern"]: r["reason"] for r in linted.collect()} == {**dict.fromkeys(SLOW, L.SLOW), **dict.fromkeys(FINE)}
+    text = plan(linted)
+    assert "Python" not in text and "Exchange" not in text
 
 
 JAVA_ONLY = [r"\Qa.b\E", r"\pL+", r"a\z", r"\x{41}", r"(?U)\w+", r"(?<=a{1,3})b", r"\G\d"]
