@@ -48,19 +48,30 @@ def _classes() -> np.ndarray:
     return _CLASSES
 
 
-def _pieces(text: str, limit: int) -> Iterator[str]:
-    """``text`` cut at white space into pieces of about ``limit`` characters."""
-    at = 0
+def _pieces(text: str, limit: int) -> Iterator[tuple[str, str]]:
+    """``text`` cut at white space into pieces of about ``limit`` characters, each behind the token that comes before it."""
+    at, last = 0, ""
     while len(text) - at > limit:
         gap = _GAP.search(text, at + limit)
         end = gap.start() if gap else len(text)
-        yield text[at:end]
+        yield last, text[at:end]
+        last = _last_token(text, at, end) or last
         at = end
-    yield text[at:]
+    yield last, text[at:]
+
+
+def _last_token(text: str, at: int, end: int) -> str:
+    """The last token of ``text[at:end]``, empty where there is none."""
+    while end > at and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start > at and not text[start - 1].isspace() and text[start - 1].isalnum() == text[end - 1].isalnum():
+        start -= 1
+    return text[start:end]
 
 
 def _features(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text) of every unigram and bigram, in chunks that never share a piece.
+    """(bucket, text) of every unigram and bigram, in chunks that never share a piece; ``limit`` changes nothing.
 
     Tokens are runs of letters and digits or runs of other visible characters. A word all
     in capitals is one token whatever it says, and so is a bigram that repeats its
@@ -68,20 +79,23 @@ def _features(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[np.
     """
     parts: list[str] = []
     numbers: list[int] = []
+    leads: list[int] = []
     held = 0
     for number, text in enumerate(texts):
-        for piece in _pieces(text or "", limit):
-            parts.append(piece)
+        for lead, piece in _pieces(text or "", limit):
+            parts.append(lead + piece)
             numbers.append(number)
-            held += len(piece) + 1
+            leads.append(len(lead))
+            held += len(lead) + len(piece) + 1
             if held >= limit:
-                yield _hashed(parts, numbers)
-                parts, numbers, held = [], [], 0
+                yield _hashed(parts, numbers, leads)
+                parts, numbers, leads, held = [], [], [], 0
     if parts:
-        yield _hashed(parts, numbers)
+        yield _hashed(parts, numbers, leads)
 
 
-def _hashed(parts: list[str], numbers: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(parts: list[str], numbers: list[int], leads: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``parts``, whose first ``leads`` characters were counted before and only pair with what follows."""
     codes = np.frombuffer((" ".join(parts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = _classes()[codes]
     run = np.where(kind == 2, 1, kind)
@@ -105,9 +119,10 @@ def _hashed(parts: list[str], numbers: list[int]) -> tuple[np.ndarray, np.ndarra
     owner = np.array(numbers, np.int64)[piece] if len(parts) else np.zeros(0, np.int64)
     follows = piece[1:] == piece[:-1]
     pair = np.where(token[1:] == token[:-1], _AGAIN, token[:-1] * np.uint64(0xD6E8FEB86659FD93) + token[1:])[follows]
-    hashes = np.concatenate([token, pair])
+    own = start - (np.cumsum(lengths) - lengths)[piece] >= np.array(leads, np.int64)[piece]
+    hashes = np.concatenate([token[own], pair])
     hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.concatenate([owner, owner[1:][follows]])
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.concatenate([owner[own], owner[1:][follows]])
 
 
 @dataclass(frozen=True)
@@ -228,7 +243,10 @@ def score_of(df: DataFrame, model: QualityModel, text_col: str = "text") -> Colu
 
 
 def score(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: identifier, score, predicted (1 from one half up)."""
+    """One row per input row: identifier, score, predicted (1 from one half up).
+
+    Very long texts are read whole, in pieces; where they are cut changes no score.
+    """
     scored = df.select(ref(id_col).alias(id_col), score_of(df, model, text_col).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
