@@ -1,19 +1,20 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed n-grams per language inside the tasks that read the texts;
-only non-zero counts leave them, summed again by Spark. The log-probability matrix has
-``BUCKETS`` x languages entries, which bounds the broadcast. Scoring gathers the matrix rows
-of each text's n-grams and sums them per text in numpy.
+only non-zero counts leave them, summed again by Spark. The log-probability matrix is
+broadcast in blocks of at most ``BLOCK`` languages, which bounds each broadcast. Scoring gathers the matrix rows
+of each text's n-grams and sums them per text in numpy, block by block, keeping the best language and the sum so far.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,10 @@ from patternflow.llm.common import ensure_on_executors, ref
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
-#: The matrix has a row for each bucket and a column for each language: 64 MB at this bound.
-MOST_LANGUAGES = 256
+#: Languages in a block of the matrix, which has a row for each bucket and a column for each language: 64 MB at most.
+BLOCK = 256
+#: Languages whose counts a task holds before it passes them on.
+HELD = 64
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 #: Characters handled at once; longer texts go through in overlapping pieces.
@@ -107,51 +110,64 @@ def _hashed(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``languages`` in code point order, ``weights`` (BUCKETS x languages) and ``priors`` as logarithms."""
+    """``languages`` in code point order, ``blocks`` of weights (BUCKETS x at most BLOCK languages) and ``priors`` as logarithms."""
 
     languages: tuple[str, ...]
-    weights: np.ndarray
+    blocks: tuple[np.ndarray, ...]
     priors: np.ndarray
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model of all rows that have a text and a language.
+    """A model of all rows that have a text and a language, of which there may be any number.
 
-    More than ``MOST_LANGUAGES`` languages are an error. Without a row the model is empty.
+    A language takes 256 kB of the model. Without a row the model is empty.
     """
     ensure_on_executors(df.sparkSession)
     rows = df.select(ref(text_col).cast("string").alias("text"), ref(lang_col).cast("string").alias("lang")).dropna()
-    per_language = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(per_language) > MOST_LANGUAGES:
-        raise ValueError(f"More than {MOST_LANGUAGES} languages")
-    counts = {r["lang"]: r["count"] for r in per_language}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     languages = tuple(sorted(counts))
     if not languages:
-        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+        return LanguageModel((), (), np.zeros(0))
     place = {name: i for i, name in enumerate(languages)}
 
+    def passed_on(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, table in held.items():
+            bucket = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(bucket), lang, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(table[bucket])],
+                ["lang", "bucket", "n"],
+            )
+        held.clear()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(place), BUCKETS), np.int64)
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
             langs = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
             for chunk in _chunks(batch.column("text").to_pylist()):
                 bucket, owner, _ = _hashed(chunk)
-                table += np.bincount(langs[owner] * BUCKETS + bucket, minlength=table.size).reshape(table.shape)
-        lang, bucket = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(table[lang, bucket])],
-            ["lang", "bucket", "n"],
-        )
+                met, index = np.unique(langs[owner], return_inverse=True)
+                # Rows of one language at a time; a chunk has a few languages or few n-grams of each.
+                order = np.argsort(index, kind="stable")
+                for lang, part in zip(met.tolist(), np.split(bucket[order], np.flatnonzero(np.diff(index[order])) + 1), strict=False):
+                    if lang not in held:
+                        if len(held) == HELD:
+                            yield from passed_on(held)
+                        held[lang] = np.zeros(BUCKETS, np.int64)
+                    held[lang] += np.bincount(part, minlength=BUCKETS)
+        yield from passed_on(held)
 
     summed = rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     packed = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
-    table = np.full((BUCKETS, len(languages)), SMOOTHING)
+    blocks = [np.zeros((BUCKETS, min(BLOCK, len(languages) - a)), np.float32) for a in range(0, len(languages), BLOCK)]
+    for block in blocks:
+        block -= np.float32(np.log(BUCKETS))  # a language without any n-gram
     for row in packed.toLocalIterator():  # a row for each language, of BUCKETS counts at most
         bucket, n = np.array(row["counts"], np.int64).T
-        table[bucket, row["lang"]] += n
-    weights = (np.log(table) - np.log(table.sum(axis=0))).astype(np.float32)
+        column = np.full(BUCKETS, SMOOTHING)
+        column[bucket] += n
+        blocks[row["lang"] // BLOCK][:, row["lang"] % BLOCK] = np.log(column) - np.log(column.sum())
     seen = np.array([counts[x] for x in languages], float)
-    return LanguageModel(languages, weights, np.log(seen / seen.sum()))
+    return LanguageModel(languages, tuple(blocks), np.log(seen / seen.sum()))
 
 
 def has_letter(text: Column) -> Column:
@@ -166,37 +182,49 @@ def has_letter(text: Column) -> Column:
 
 
 def language_of(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Column:
-    """A struct of lang and score for ``df``'s text column.
+    """A struct of lang and score, with the logarithms best and total behind it, for ``df``'s text column.
 
     ``score`` is the posterior probability of the language; of equally likely ones the first in
     code point order is taken. A text that is null or has no letter, or any text under an
     empty model, is ``und`` with score 0.
     """
     ensure_on_executors(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
-        names = pa.array([UNDETERMINED, *model.languages])
-        for texts in batches:
-            total = np.tile(model.priors, (len(texts), 1))
+    text = ref(text_col).cast("string")
+    found = F.struct(
+        F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("score"), F.lit(float("-inf")).alias("best"), F.lit(float("-inf")).alias("total")
+    )
+    for number, weights in enumerate(model.blocks):
+        part = slice(number * BLOCK, number * BLOCK + weights.shape[1])
+        found = _better(df, (model.languages[part], weights, model.priors[part]))(text, found)
+    return found
+
+
+def _better(df: DataFrame, block: tuple[tuple[str, ...], np.ndarray, np.ndarray]) -> Callable[[Column, Column], Column]:
+    """A function of a text and the best language so far, which takes in the languages of ``block``."""
+    shared = df.sparkSession.sparkContext.broadcast(block)
+
+    def predict(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        languages, weights, priors = shared.value
+        for texts, so_far in batches:
+            sums = np.tile(priors, (len(texts), 1))
             known = np.zeros(len(texts), bool)
             for chunk in _chunks(texts.to_pylist()):
                 bucket, owner, lettered = _hashed(chunk)
                 known[lettered] = True
-                for k, column in enumerate(model.weights.T):
-                    total[:, k] += np.bincount(owner, weights=column[bucket], minlength=len(texts))
-            lang = np.zeros(len(texts), np.int64)
-            score = np.zeros(len(texts))
-            if model.languages:
-                odds = np.exp(total - total.max(axis=1, keepdims=True))
-                best = odds.argmax(axis=1)
-                lang = np.where(known, best + 1, 0)
-                score = np.where(known, odds.max(axis=1) / odds.sum(axis=1), 0.0)
-            yield pa.StructArray.from_arrays([names.take(pa.array(lang)), pa.array(score)], ["lang", "score"])
-
-    predict.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(predict, "lang string, score double")(ref(text_col).cast("string"))
+                for k, column in enumerate(weights.T):
+                    sums[:, k] += np.bincount(owner, weights=column[bucket], minlength=len(texts))
+            lang, _, best, total = (so_far.field(i) for i in range(4))
+            best = best.to_numpy(zero_copy_only=False)
+            top = sums.max(axis=1)
+            ahead = known & (top > best)
+            total = np.logaddexp(total.to_numpy(zero_copy_only=False), top + np.log(np.exp(sums - top[:, None]).sum(axis=1)))
+            best = np.where(ahead, top, best)
+            lang = pc.if_else(pa.array(ahead), pa.array(languages).take(pa.array(sums.argmax(axis=1))), lang)
+            score = np.where(known, np.minimum(1.0, np.exp(best - total)), 0.0)
+            yield pa.StructArray.from_arrays([lang, pa.array(score), pa.array(best), pa.array(total)], ["lang", "score", "best", "total"])
+
+    predict.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(predict, "lang string, score double, best double, total double")
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -239,3 +239,92 @@ def test_quality_trains_on_one_row_of_an_identifier(spark):
     often = quality_classifier.train(frame(spark, rows + [(3, "good words here 3 again", None, None)] * 50), labels)
     assert often.bias == once.bias
     assert (often.weights == once.weights).all()
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """Languages in blocks of three, two held at once in training, score as all in one block."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 20 + "the end", f"l{i:03}", None) for i in range(300)]
+    one = language_id.train(frame(spark, rows).repartition(2))
+    assert len(one.languages) == 300 and [b.shape[1] for b in one.blocks] == [256, 44]
+    asked = frame(spark, rows[::30] + [(900, "123", None, None), (901, None, None, None), (902, "zz the end", None, None)])
+    want = language_id.identify(asked, one).collect()
+    assert [r["lang_pred"] for r in want[:10]] == [r[2] for r in rows[::30]]
+    few = [r for r in rows if r[0] < 8]
+    whole = language_id.identify(asked, language_id.train(frame(spark, few))).collect()
+    monkeypatch.setattr(language_id, "BLOCK", 3)
+    monkeypatch.setattr(language_id, "HELD", 2)
+    cut = language_id.train(frame(spark, few))
+    assert [b.shape[1] for b in cut.blocks] == [3, 3, 2]
+    for a, b in zip(whole, language_id.identify(asked, cut).collect(), strict=True):
+        assert (a["lang_pred"], a["score"]) == (b["lang_pred"], pytest.approx(b["score"]))
+
+
+def test_equally_likely_languages(spark, monkeypatch):
+    """The first in code point order, in one block or in two."""
+    model = language_id.train(frame(spark, [(1, "abc", "y", None), (2, "abc", "x", None), (3, "abc", "z", None)]))
+    got = language_id.identify(frame(spark, [(7, "abc", None, None)]), model).first()
+    assert (got["lang_pred"], got["score"]) == ("x", pytest.approx(1 / 3))
+    monkeypatch.setattr(language_id, "BLOCK", 1)
+    parts = language_id.LanguageModel(model.languages, tuple(model.blocks[0][:, k : k + 1] for k in range(3)), model.priors)
+    again = language_id.identify(frame(spark, [(7, "abc", None, None)]), parts).first()
+    assert (again["lang_pred"], again["score"]) == ("x", pytest.approx(1 / 3))
+
+
+def quality_features(text):
+    """Tokens and pairs by plain Python, before hashing."""
+    kind = lambda ch: 0 if ch.isspace() else 1 if ch.isalnum() else 2
+    tokens, last = [], 0
+    for ch in text:
+        if kind(ch) and kind(ch) == last:
+            tokens[-1] += ch
+        elif kind(ch):
+            tokens.append(ch)
+        last = kind(ch)
+    named = ["<SHOUT>" if len(t) > 1 and t.isalpha() and t.isupper() else t for t in tokens]
+    return Counter(named) + Counter("<AGAIN>" if a == b else (a, b) for a, b in zip(named, named[1:], strict=False))
+
+
+def test_where_a_text_is_cut_changes_no_feature():
+    texts = ["Some words, and MORE words!! " * 60, "", None, "  ", "x" * 300 + " y  \n\n z", "a " * 90 + " " * 200 + "b", "?!" * 70 + " end"]
+    count = lambda limit: Counter((int(o), int(b)) for bs, os in quality_classifier._features(texts, limit) for b, o in zip(bs, os, strict=True))
+    whole = count(1 << 19)
+    for limit in (1, 7, 40, 333):
+        assert count(limit) == whole
+    for number, text in enumerate(texts):
+        want = quality_features(text or "")
+        assert sum(want.values()) == sum(n for (o, _), n in whole.items() if o == number)
+        assert sorted(want.values()) == sorted(n for (o, _), n in whole.items() if o == number)
+
+
+def test_training_matches_the_rule_by_hand(spark, monkeypatch):
+    """FTRL-proximal one coordinate at a time, over the same rows in the same order."""
+    rows = [(i, f"good words here {i % 3}" if i % 2 else f"BAD junk, there {i % 5}", None, None) for i in range(24)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, quality int")
+    monkeypatch.setattr(quality_classifier, "SHARDS", 1)
+    model = quality_classifier.train(frame(spark, rows), labels)
+    turns = {r["id"]: r["turn"] for r in spark.range(24).select("id", F.xxhash64("id").alias("turn")).collect()}
+    z, n, c = Counter(), Counter(), quality_classifier
+
+    def weight(k):
+        if abs(z[k]) <= c.L1:
+            return 0.0
+        return (math.copysign(c.L1, z[k]) - z[k]) / ((c.BETA + math.sqrt(n[k])) / c.ALPHA + c.L2)
+
+    for _ in range(c.EPOCHS):
+        for i in sorted(range(24), key=turns.get):
+            counts = quality_features(rows[i][1])
+            x = {k: v * c.SCALE / sum(counts.values()) for k, v in counts.items()} | {"bias": 1.0}
+            w = {k: weight(k) for k in x}
+            wrong = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items()))) - i % 2
+            for k, v in x.items():
+                g = wrong * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / c.ALPHA * w[k]
+                n[k] += g * g
+    assert model.bias == pytest.approx(weight("bias"), rel=1e-4)
+    got = sorted(float(w) for w in model.weights if w)
+    assert got == pytest.approx(sorted(weight(k) for k in z if k != "bias" and weight(k)), rel=1e-4)
+    asked = "good junk words"
+    counts = quality_features(asked)
+    margin = weight("bias") + c.SCALE * sum(weight(k) * v for k, v in counts.items()) / sum(counts.values())
+    score = quality_classifier.score(frame(spark, [(1, asked, None, None)]), model).first()["score"]
+    assert score == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-4)
