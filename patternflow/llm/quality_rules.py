@@ -2,10 +2,12 @@
 
 Base rules are fixed. The method adds rules on text statistics, each with a
 fixed grid of cutoffs. In every stratum (language by default) labelled good
-documents are the holdout: rejecting more than ``alpha`` of good documents by a
-rule is ruled out at level ``delta`` over all tests together. A cutoff passes when
-the exact binomial probability of seeing as few false rejections as were seen,
-were their true rate ``alpha``, is at most ``delta / tests`` (Bonferroni). That is
+documents are the holdout, one row for each identifier: that the rules of a stratum together reject more than ``alpha`` of its good
+documents is ruled out at level ``delta`` over all strata together. Rules are added in
+their order. A rule's cutoff is tested on the union, the good documents rejected by it or by a rule chosen before; it
+passes when the exact binomial probability of seeing as few false rejections as were seen,
+were their true rate ``alpha``, is at most ``delta / tests`` (Bonferroni), where the
+tests are all unions that any outcome could lead to, in all strata. That is
 the same as a Clopper-Pearson upper bound of at most ``alpha``. Each rule takes the
 tightest cutoff that passes together with all looser ones; a rule none of whose
 cutoffs pass stays off in that stratum.
@@ -23,7 +25,7 @@ from patternflow.llm.common import SPACES, count_words, narrowed, ref, staged, w
 MIN_WORDS = 10
 WINDOW = 5
 REPEAT_PERCENT = 20
-#: Largest share of good documents that one rule may reject, and the chance of any cutoff breaking that.
+#: Largest share of a stratum's good documents that all rules together may reject, and the chance of any stratum breaking that.
 ALPHA = 0.01
 DELTA = 0.05
 #: The rules, as per mille of a document's own total: rejected at or above the cutoff, loosest first.
@@ -124,18 +126,44 @@ def _measures() -> dict[str, Column]:
     }
 
 
-def _binomial_at_most(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), its terms summed one by one from their logarithms."""
-    none_hit = n * F.lit(math.log1p(-p))
-    odds = F.lit(math.log(p / (1 - p)))
-    start = F.struct(none_hit.alias("log_term"), F.exp(none_hit).alias("total"))
+def _log_factorial(n: Column) -> Column:
+    """ln n!, by Stirling's series ten places further on."""
+    x = n.cast("double") + 11
+    steps = F.lit(0.0)
+    for i in range(1, 11):
+        steps = steps + F.log(n + i)
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+def _binomial_below(k: Column, n: Column, p: float) -> Column:
+    """P(X <= k) for X ~ Binomial(n, p) where k < n * p; at least one half elsewhere, given as 1.
+
+    Terms are summed from k down. The j-th is at most exp(-j * j / (2 * n * p)) of the first, so
+    9 * sqrt(n * p) of them, and a few more for small numbers, leave out nothing that a double holds.
+    """
+    n_p = n * F.lit(p)
+    first = F.exp(
+        _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.lit(math.log(p)) + (n - k) * F.lit(math.log1p(-p))
+    )
+    last = F.greatest(F.lit(1), k - F.ceil(9 * F.sqrt(n_p)).cast("long") - 60).cast("long")
+    start = F.struct(first.alias("term"), first.alias("total"))
 
     def add(s: Column, i: Column) -> Column:
-        log_term = s["log_term"] + F.log((n - i + 1) / i) + odds
-        return F.struct(log_term.alias("log_term"), (s["total"] + F.exp(log_term)).alias("total"))
+        term = s["term"] * i / (n - i + 1) * F.lit((1 - p) / p)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
 
-    terms = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(terms, start, add, lambda s: s["total"])
+    downwards = F.when(k >= 1, F.sequence(k, last, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(k >= n_p, F.lit(1.0)).otherwise(F.aggregate(downwards, start, add, lambda s: s["total"]))
+
+
+def possible_unions(cutoffs: dict[str, tuple[int, ...]]) -> int:
+    """How many unions of a stratum could come to a test, whatever the outcomes before."""
+    total, before = 0, 1
+    for grid in cutoffs.values():
+        total += before * len(grid)
+        before *= len(grid) + 1
+    return total
 
 
 def select_cutoffs(
@@ -146,50 +174,40 @@ def select_cutoffs(
     alpha: float = ALPHA,
     delta: float = DELTA,
 ) -> DataFrame:
-    """(stratum, rule, cutoff): the tightest cutoff each rule may use in each stratum.
+    """One row per stratum: stratum, and for each rule ``cut_<rule>``, the tightest cutoff it may use there, null for none.
 
-    ``holdout`` holds good documents with one column per rule. They are counted per
-    stratum, rule and number of cutoffs that reject them before anything moves, so the
-    tables after that have strata x rules x cutoffs rows whatever the input's size.
+    ``holdout`` holds good documents with one column per rule. They are counted by
+    stratum and the number of each rule's cutoffs that reject them before anything moves, which
+    makes at most the product of (cutoffs + 1) rows a stratum whatever the input's size.
     """
-    rejecting = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(rule).alias("rule"),
-                    F.array(*map(F.lit, grid)).alias("grid"),
-                    sum((ref(rule) >= c).cast("int") for c in grid).alias("hits"),
-                )
-                for rule, grid in cutoffs.items()
-            ]
-        )
-    )
-    counted = (
-        holdout.select(ref(stratum).alias("stratum"), rejecting.alias("r"))
-        .groupBy("stratum", "r.rule", "r.grid", "r.hits")
-        .agg(F.count(F.lit(1)).alias("n"))
+    hits = [sum((ref(rule) >= c).cast("int") for c in grid).alias(f"hits_{rule}") for rule, grid in cutoffs.items()]
+    cells = staged(
+        holdout.select(ref(stratum).alias("stratum"), *hits)
+        .groupBy("stratum", *[f"hits_{rule}" for rule in cutoffs])
+        .agg(F.count(F.lit(1)).alias("n")),
+        "quality-cells",
     )
-    steps = (
-        counted.groupBy("stratum", "rule", "grid")
-        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("hits", "n")).alias("bins"))
-        .select("stratum", "rule", "n", "bins", F.size("grid").alias("steps"), F.posexplode("grid").alias("step", "cutoff"))
-    )
-    # Cutoffs run from loose to tight: a document that h of them reject is rejected by the last h.
-    rejected = F.aggregate(
-        F.filter("bins", lambda b: b["hits"] + F.col("step") >= F.col("steps")),
-        F.lit(0).cast("long"),
-        lambda total, b: total + b["n"],
-    )
-    tests = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    tested = steps.withColumns({"rejected": rejected, "tests": tests}).withColumn(
-        "passes", _binomial_at_most(F.col("rejected"), F.col("n"), alpha) <= F.lit(delta) / F.col("tests")
-    )
-    so_far = Window.partitionBy("stratum", "rule").orderBy("step")
-    return (
-        tested.withColumn("all_pass", F.min(F.col("passes").cast("int")).over(so_far))
-        .filter("all_pass = 1")
-        .groupBy("stratum", "rule")
-        .agg(F.min("cutoff").alias("cutoff"))
+    level = delta / max(1, cells.select("stratum").distinct().count() * possible_unions(cutoffs))
+    whole = Window.partitionBy("stratum")
+    cells = cells.withColumns({"good": F.sum("n").over(whole), "hit": F.lit(False)})
+    for rule, grid in cutoffs.items():
+        # Cutoffs run from loose to tight: a document that h of them reject is rejected by the last h.
+        tests = [
+            F.sum(F.when(F.col("hit") | (F.col(f"hits_{rule}") + step >= len(grid)), F.col("n")).otherwise(0)).over(whole)
+            for step in range(len(grid))
+        ]
+        cells = cells.withColumn("rejected", F.array(*tests))
+        passes = F.transform("rejected", lambda k: _binomial_below(k, F.col("good"), alpha) <= F.lit(level))
+        # The number of cutoffs before the first that fails.
+        passed = F.array_position(F.concat(passes, F.array(F.lit(False))), False).cast("int") - 1
+        cells = cells.withColumn(f"passed_{rule}", passed).withColumn(
+            "hit", F.col("hit") | (F.col(f"hits_{rule}") + F.col(f"passed_{rule}") > len(grid))
+        )
+    return cells.groupBy("stratum").agg(
+        *[
+            F.get(F.array(*map(F.lit, grid)), F.max(f"passed_{rule}") - 1).alias(f"cut_{rule}")
+            for rule, grid in cutoffs.items()
+        ]
     )
 
 
@@ -208,7 +226,8 @@ def judge(
     """One row per input row: identifier, ``STATISTICS``, base_failed, kept, failed_rules.
 
     ``labelled`` has the identifier and ``label_col`` (1 for good; where labels of one
-    identifier differ the lowest holds). A null stratum is a stratum of its own. Null and
+    identifier differ the lowest holds; of rows that share an identifier the one with the least stratum
+    and statistics is in the holdout). A null stratum is a stratum of its own. Null and
     empty texts fail the base. Without labels, or in a stratum with too few, the method
     rejects nothing. ``failed_rules`` names the rules that reject, in order, joined by
     commas. Other columns of the input are ignored.
@@ -224,16 +243,11 @@ def judge(
         .agg(F.min(ref(label_col)).alias("label"))
         .filter("label = 1")
     )
-    chosen = select_cutoffs(
-        measured.join(good, "id", "left_semi"), "stratum", cutoffs=cutoffs, alpha=alpha, delta=delta
-    )
+    # One row of an identifier: rows that repeat it are no independent trials.
+    labelled_rows = measured.join(good, "id", "left_semi").groupBy("id").agg(F.min(F.struct("stratum", *cutoffs)).alias("row"))
+    chosen = select_cutoffs(labelled_rows.select("row.*"), "stratum", cutoffs=cutoffs, alpha=alpha, delta=delta)
     # Written, so that its true size decides whether the join below broadcasts it.
-    table = staged(
-        chosen.groupBy("stratum").agg(
-            *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in cutoffs]
-        ),
-        "quality-cutoffs",
-    )
+    table = staged(chosen, "quality-cutoffs")
     fails = F.array_compact(
         F.array(*[F.when(ref(r) >= ref(f"cut_{r}"), F.lit(r)) for r in cutoffs])
     )

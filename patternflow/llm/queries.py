@@ -47,12 +47,25 @@ def query(oracle: str | None = None):
 
 def _quality_sql() -> str:
     rules, alpha, delta = quality_rules.CUTOFFS, quality_rules.ALPHA, quality_rules.DELTA
-    grid = ", ".join(f"('{r}', {len(g)}, {i}, {c})" for r, g in rules.items() for i, c in enumerate(g))
-    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in rules) + " END"
-    failed = "list_filter([" + ", ".join(
-        f"CASE WHEN {r} >= (SELECT min(cutoff) FROM chosen c WHERE c.stratum = measured.stratum AND c.rule = '{r}') THEN '{r}' END"
-        for r in rules
-    ) + "], lambda f: f IS NOT NULL)"
+    hits = ", ".join("(" + " + ".join(f"({r} >= {c})::INT" for c in g) + f") AS hits_{r}" for r, g in rules.items())
+    steps, before = "", "cells"
+    for r, g in rules.items():
+        steps += f"""
+tested_{r} AS (
+  SELECT stratum, step, CAST(sum(n) AS BIGINT) AS good, CAST(coalesce(sum(n) FILTER (WHERE hit OR hits_{r} + step >= {len(g)}), 0) AS BIGINT) AS rejected
+  FROM {before}, (SELECT unnest(range(0, {len(g)})) AS step) GROUP BY ALL),
+passed_{r} AS (
+  SELECT stratum, coalesce(min(step) FILTER (WHERE NOT passes), {len(g)}) AS passed FROM (
+    SELECT stratum, step, list_sum(list_transform(range(0, rejected + 1), lambda k: exp(
+      lgamma(good + 1) - lgamma(k + 1) - lgamma(good - k + 1) + k * ln({alpha}) + (good - k) * ln(1 - {alpha})
+    ))) <= {delta} / ({quality_rules.possible_unions(rules)} * (SELECT count(DISTINCT stratum) FROM cells)) AS passes FROM tested_{r})
+  GROUP BY stratum),
+union_{r} AS MATERIALIZED (SELECT c.* REPLACE (hit OR hits_{r} + passed > {len(g)} AS hit) FROM {before} c JOIN passed_{r} USING (stratum)),"""
+        before = f"union_{r}"
+    cuts = ", ".join(
+        f"(SELECT [{', '.join(map(str, g))}][passed] FROM passed_{r} p WHERE p.stratum = s.stratum AND passed > 0) AS cut_{r}" for r, g in rules.items()
+    )
+    failed = "list_filter([" + ", ".join(f"CASE WHEN {r} >= cut_{r} THEN '{r}' END" for r in rules) + "], lambda f: f IS NOT NULL)"
     return rf"""
 WITH split AS (
   SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS body, {_WORDS} AS w,
@@ -80,19 +93,12 @@ measured AS MATERIALIZED (
          CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_permille,
          CASE WHEN word_chars > 0 THEN 2000 * n_shout // word_chars ELSE 0 END AS shout_permille
   FROM counted),
-grid(rule, steps, step, cutoff) AS (VALUES {grid}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-steps AS (
-  SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (WHERE ({value}) >= cutoff) AS rejected
-  FROM measured JOIN good USING (doc_id), grid GROUP BY ALL),
-tested AS (
-  SELECT *, list_sum(list_transform(range(0, rejected + 1), lambda k: exp(
-      lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({alpha}) + (n - k) * ln(1 - {alpha})
-    ))) <= {delta} / count(*) OVER () AS passes FROM steps),
-chosen AS MATERIALIZED (
-  SELECT stratum, rule, cutoff FROM (
-    SELECT *, bool_and(passes) OVER (PARTITION BY stratum, rule ORDER BY step) AS all_pass FROM tested) WHERE all_pass),
-judged AS (SELECT *, {failed} AS fails FROM measured)
+cells AS MATERIALIZED (
+  SELECT stratum, {hits}, false AS hit, count(*) AS n FROM (
+    SELECT DISTINCT ON (doc_id) * FROM measured JOIN good USING (doc_id) ORDER BY doc_id, stratum, {', '.join(rules)}) GROUP BY ALL),{steps}
+chosen AS MATERIALIZED (SELECT stratum, {cuts} FROM (SELECT DISTINCT stratum FROM cells) s),
+judged AS (SELECT measured.*, {failed} AS fails FROM measured LEFT JOIN chosen USING (stratum))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND len(fails) = 0 AS kept, coalesce(list_aggregate(fails, 'string_agg', ','), '') AS failed_rules
 FROM judged"""

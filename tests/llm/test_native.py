@@ -66,13 +66,39 @@ def test_statistics_match_plain_python(spark, messy):
     assert [tuple(r[c] for c in quality_rules.STATISTICS) for r in got] == [python_statistics(t) for t in texts]
 
 
-@pytest.mark.parametrize("k,n,p", [(0, 1, 0.01), (3, 500, 0.02), (0, 900, 0.01), (40, 5000, 0.01)])
+@pytest.mark.parametrize("k,n,p", [(0, 101, 0.01), (3, 500, 0.02), (0, 900, 0.01), (40, 5000, 0.01), (190, 20_000, 0.01)])
 def test_binomial_sum_is_exact(spark, k, n, p):
-    want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-    tail = quality_rules._binomial_at_most(F.lit(k).cast("long"), F.lit(n).cast("long"), p)
+    want = math.fsum(math.exp(math.log(math.comb(n, i)) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+    tail = quality_rules._binomial_below(F.lit(k).cast("long"), F.lit(n).cast("long"), p)
     assert spark.range(1).select(tail).first()[0] == pytest.approx(want, rel=1e-9)
 
 
+def test_binomial_sum_of_very_many(spark):
+    """Terms are summed near k only; from the mean on nothing is summed."""
+    numbers = spark.createDataFrame([(1_990_000, 200_000_000), (20_000_000, 200_000_000), (2, 200)], "k long, n long")
+    near, far, mean = (r[0] for r in numbers.select(quality_rules._binomial_below(F.col("k"), F.col("n"), 0.01)).collect())
+    z = (1_990_000.5 - 2e6) / math.sqrt(2e6 * 0.99)
+    assert near == pytest.approx(math.erfc(-z / math.sqrt(2)) / 2, rel=0.05)
+    assert far == mean == 1
+
+
+def test_rules_of_a_stratum_share_one_bound(spark):
+    """Either rule alone rejects half a per cent of good documents, both together one."""
+    rows = [("x", int(i < 100), int(100 <= i < 200)) for i in range(20_000)] + [("y", int(i < 100), int(i < 100)) for i in range(20_000)]
+    holdout = spark.createDataFrame(rows, "lang string, a int, b int")
+    chosen = quality_rules.select_cutoffs(holdout, "lang", cutoffs={"a": (1,), "b": (1,)}).collect()
+    assert {r["stratum"]: (r["cut_a"], r["cut_b"]) for r in chosen} == {"x": (1, None), "y": (1, 1)}
+    assert quality_rules.possible_unions({"a": (1,), "b": (1,)}) == 3
+
+
+def test_repeated_identifiers_are_one_trial(spark):
+    """Three hundred good documents, each ten times over, are too few for a rule."""
+    text = "this is a quiet text of some eleven words and more here"
+    rows = [(i % 300, f"{text} {i % 300}", "en", "s") for i in range(3000)] + [(999, "### $$$ %%% &&& *** ||| <<< >>> ### $$$ %%% words", "en", "s")]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    assert quality_rules.judge(frame(spark, rows), labels).filter("doc_id = 999").first()["kept"]
+
+
 def test_cutoffs_hold_back_where_good_documents_would_go(spark):
     plain = "this is a quiet text of some eleven words and more here"
     loud = "### $$$ %%% &&& *** ||| <<< >>> ### $$$ %%% words"
