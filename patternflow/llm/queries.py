@@ -125,11 +125,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mix_sql() -> str:
     w, share, most = source_mix.WEIGHTS, source_mix.SHARE, source_mix.MOST
     seed, digits = source_mix.SEED, source_mix.BLOCK_DIGITS
+    fewest, shard_words = source_mix.FEWEST_LEVELS, source_mix.SHARD_WORDS
     weight = f"CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(w)} " + " ".join(
         f"WHEN {i} THEN {x}" for i, x in enumerate(w)
     ) + " END"
     return rf"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS skey,
          md5('{seed}|row|' || doc_id) AS key, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
 sources AS (SELECT skey, source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY ALL),
@@ -150,20 +151,40 @@ ordered AS (
          coalesce(sum(words) OVER (PARTITION BY skey ORDER BY md5('{seed}|block|' || skey || '|' || block), block
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM blocks JOIN targets USING (skey)),
+draws AS (
+  SELECT skey, block, pass, row_number() OVER (ORDER BY md5('{seed}|split|' || skey || '|' || block || '|' || pass), skey, block, pass) - 1 AS rank,
+         count(*) OVER () AS n
+  FROM (
+    SELECT skey, block, unnest(range(0, CAST(passes AS BIGINT) + CASE WHEN target - passes * source_size - before > 0 THEN 1 ELSE 0 END)) AS pass
+    FROM ordered)),
+levels AS (SELECT greatest({fewest}, CAST(ceil(log2(greatest(1, sum(target) / {shard_words}))) AS BIGINT)) AS levels FROM targets),
+walk AS (
+  SELECT skey, block, pass, 0 AS level, CAST(0 AS BIGINT) AS shard, CAST(rank AS BIGINT) AS rank, CAST(n AS BIGINT) AS n FROM draws
+  UNION ALL
+  SELECT skey, block, pass, level + 1, 2 * shard + CASE WHEN rank < n // 2 THEN 0 ELSE 1 END,
+         CASE WHEN rank < n // 2 THEN rank ELSE rank - n // 2 END, CASE WHEN rank < n // 2 THEN n // 2 ELSE n - n // 2 END
+  FROM walk, levels WHERE level < levels),
+dealt AS (
+  SELECT skey, block, list(shard ORDER BY pass) AS shards FROM walk, levels WHERE level = levels GROUP BY ALL),
 placed AS (
-  SELECT s.doc_id, s.size, o.source_size, o.target, o.passes, o.target - o.passes * o.source_size - o.before AS room,
+  SELECT s.doc_id, s.skey, o.block, s.size, o.source_size, o.target, o.passes, o.target - o.passes * o.source_size - o.before AS room,
          coalesce(sum(s.size) OVER (PARTITION BY s.skey, o.block ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside,
          sum(s.size) OVER (PARTITION BY s.skey, o.block) AS words
   FROM sized s JOIN ordered o ON s.skey = o.skey AND s.key[1:{digits}] = o.block)
-SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN room > 0 AND (words <= room OR 2 * inside + size <= 2 * room) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM placed"""
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+       coalesce(list_aggregate(list_sort(shards[1:copies]), 'string_agg', ','), '') AS shards
+FROM (
+  SELECT *, CAST(passes + CASE WHEN room > 0 AND (words <= room OR 2 * inside + size <= 2 * room) THEN 1 ELSE 0 END AS BIGINT) AS copies
+  FROM placed) LEFT JOIN dealt USING (skey, block)
+"""
 
 
 @query(_mix_sql())
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, against its source's target."""
+    """How many words of each document the mix takes, against its source's target, and the shards that its copies go to."""
     mixed = source_mix.mix_sources(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.array_join(F.array_sort("copies.shard"), ",").alias("shards")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", shards)
 
 
 def _secret_sql() -> str:

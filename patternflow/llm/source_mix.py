@@ -3,9 +3,9 @@
 Every source gets a target in words. Its documents fall into hashed blocks, and
 its quota of block draws is exact: whole passes over all blocks, then blocks in a
 permuted order up to what remains; in the block where that ends, documents in
-permuted order. A splitting tree deals the draws to output shards: at each node
-a fresh permutation sends half of the draws to either child. A draw without
-replacement is what makes the children's source counts multivariate hypergeometric,
+permuted order. A splitting tree deals the draws to output shards: all draws are put in one
+random order, each node has a run of it, and half of the run goes to either child. Half of a random order is a draw
+without replacement, which makes the children's source counts multivariate hypergeometric given their parent's,
 so every shard has the mix of the whole. Blocks are disjoint, and each shard is
 put in random order by itself.
 """
@@ -29,6 +29,8 @@ BLOCK_DIGITS = 3
 #: Words that a shard holds on average, at most.
 SHARD_WORDS = 1 << 24
 FEWEST_LEVELS = 3
+#: Hexadecimal digits of a draw's random key by which draws are ranked in parts: 4096 of them.
+RANK_DIGITS = 3
 SEED = "mix"
 
 
@@ -95,16 +97,39 @@ def _draws(blocks: DataFrame, targets: DataFrame) -> DataFrame:
     return quota.withColumn("d", F.explode(F.concat(whole, last))).select("skey", "block", "d.pass", "d.room")
 
 
+def _ranked(draws: DataFrame) -> DataFrame:
+    """The draws with their rank in one random order and their number, ``draws_before`` and ``n_draws``.
+
+    Ranks are counted inside parts of the key, and parts from a table of one row for each of them, so no task ever sees all draws.
+    """
+    key = _order_key("split", F.col("skey"), F.col("block"), F.col("pass"))
+    keyed = draws.withColumn("key", key).withColumn("part", F.substring("key", 1, RANK_DIGITS))
+    everything = Window.partitionBy(F.lit(0))
+    before = F.sum("n").over(everything.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = keyed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(everything).alias("n_draws"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("key", "skey", "block", "pass")) - 1
+    ranked = keyed.join(F.broadcast(parts), "part")  # at most 16 ** RANK_DIGITS rows
+    return ranked.withColumn("draws_before", inside + F.col("before")).drop("key", "part", "before")
+
+
 def _split(draws: DataFrame, levels: int) -> DataFrame:
-    """The draws with their shard: at every node a random half of them goes left."""
-    node = draws.withColumn("shard", F.lit(0))
-    for level in range(levels):
-        here = Window.partitionBy("shard")
-        key = _order_key(f"split{level}", F.col("skey"), F.col("block"), F.col("pass"))
-        rank = F.row_number().over(here.orderBy(key, "skey", "block", "pass"))
-        left = 2 * rank <= F.count(F.lit(1)).over(here)
-        node = node.withColumn("right", (~left).cast("int")).withColumn("shard", 2 * F.col("shard") + F.col("right"))
-    return node.drop("right")
+    """The draws with their shard: at every node the first half of its run goes left."""
+
+    def down(node: Column, _: Column) -> Column:
+        half = F.floor(node["n"] / 2)
+        left = node["rank"] < half
+        return F.struct(
+            (2 * node["shard"] + F.when(left, 0).otherwise(1)).alias("shard"),
+            F.when(left, node["rank"]).otherwise(node["rank"] - half).alias("rank"),
+            F.when(left, half).otherwise(node["n"] - half).alias("n"),
+        )
+
+    top = F.struct(
+        F.lit(0).cast("long").alias("shard"), F.col("draws_before").cast("long").alias("rank"), F.col("n_draws").cast("long").alias("n")
+    )
+    shard = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), top, down, lambda node: node["shard"].cast("int"))
+    return _ranked(draws).withColumn("shard", shard).drop("draws_before", "n_draws")
 
 
 def mix_sources(
@@ -143,7 +168,8 @@ def mix_sources(
     targets = staged(source_targets(sizes, weights=weights, share=share), "mix-targets")
     total = targets.agg(F.sum("target")).first()[0] or 0
     levels = max(FEWEST_LEVELS, math.ceil(math.log2(max(1, total / shard_words))))
-    draws = _split(_draws(blocks.select("skey", "block", "words"), targets), levels)
+    # Written, as the ranks need it twice.
+    draws = _split(staged(_draws(blocks.select("skey", "block", "words"), targets), "mix-draws"), levels)
     drawn = draws.groupBy("skey", "block").agg(
         F.array_sort(F.collect_list(F.struct("pass", "shard", "room"))).alias("draws")
     )

@@ -205,6 +205,25 @@ def test_every_copy_lies_in_one_shard_and_shards_are_mixed(spark):
             assert (r[f"s{k}"] or 0) / n == pytest.approx(totals[k] / sum(totals), abs=0.08)
 
 
+def test_draws_are_halved_at_every_node(spark):
+    """Shards as by plain Python: one order by hash, cut in halves again and again."""
+    draws = [(s, b, p) for s in ("", "=a", "=b") for b in ("000", "0a1", "fff") for p in range(3)] + [("=c", "123", 0)]
+    df = spark.createDataFrame(draws, "skey string, block string, pass int")
+    order = sorted(draws, key=lambda d: hashlib.md5("|".join([source_mix.SEED, "split", d[0], d[1], str(d[2])]).encode()).hexdigest())
+    want = {}
+
+    def deal(run, shard, levels):
+        if levels:
+            deal(run[: len(run) // 2], 2 * shard, levels - 1)
+            deal(run[len(run) // 2 :], 2 * shard + 1, levels - 1)
+        else:
+            want.update({d: shard for d in run})
+
+    deal(order, 0, 3)
+    got = {(r["skey"], r["block"], r["pass"]): r["shard"] for r in source_mix._split(df, 3).collect()}
+    assert got == want
+
+
 def test_mix_and_scan_of_messy_and_empty_tables(messy, nothing):
     assert source_mix.mix_sources(messy).count() == len(ROWS)
     assert source_mix.mix_sources(nothing).count() == 0
