@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -48,7 +48,8 @@ STEP, LIMIT = 1024.0, 7.9
 FIRST_WEIGHT = 0.35
 RATE, DAMPING = 2.5, 60.0
 FIRST_BLOCK, LAST_BLOCK = 32, 1024
-#: Bytes read side by side; a longer text is read in stretches, each of which starts without context.
+_DOUBLINGS = (LAST_BLOCK // FIRST_BLOCK).bit_length() - 1
+#: Bytes read side by side. A longer text is read in stretches that end where blocks do and carry their context on, so this changes no score.
 STRETCH = 1 << 17
 
 _LOWER = np.arange(257, dtype=np.int32)
@@ -90,13 +91,38 @@ def huffman(weights: np.ndarray) -> Code:
     return Code(np.cumsum(length) - length, length, steps[:, 0].astype(np.uint32), steps[:, 1].astype(np.int8))
 
 
+@dataclass(frozen=True)
+class Carried:
+    """What the bytes before a stretch leave to it: their number, the last six, and the word so far with the power its hash has come to."""
+
+    read: int = 0
+    last: tuple[int, ...] = ()
+    word: np.uint64 = np.uint64(0)
+    power: np.uint64 = np.uint64(1)
+
+
 @dataclass(frozen=True)
 class Stretch:
-    """Bytes of several texts behind one another; ``start`` and ``length`` by text, ends included."""
+    """Bytes of several texts behind one another; ``start`` and ``length`` by text, ends included.
+
+    A stretch that goes on with a text holds that one alone.
+    """
 
     symbols: np.ndarray
     start: np.ndarray
     length: np.ndarray
+    carried: Carried = Carried()
+
+    def passes_on(self) -> Carried:
+        """What the stretch, of one text, leaves to the next."""
+        n = len(self.symbols)
+        spaces = np.flatnonzero(_SPACE[self.symbols])
+        code = self.symbols[spaces[-1] + 1 if len(spaces) else 0 :].astype(np.uint64) + np.uint64(1)
+        power = np.concatenate([np.ones(1, np.uint64), _powers(1 << len(code).bit_length())[0][: len(code)]])
+        word, scale = (np.uint64(0), np.uint64(1)) if len(spaces) else (self.carried.word, self.carried.power)
+        word = (np.array([word]) + np.array([scale]) * (code * power[:-1]).sum(dtype=np.uint64))[0]
+        last = (*self.carried.last, *self.symbols[-6:].tolist())[-6:]
+        return Carried(self.carried.read + n, last, word, (np.array([scale]) * power[-1])[0])
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[Stretch]]]:
@@ -125,10 +151,13 @@ def _groups(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[Stretch]]]:
         if end > at + 1:
             yield np.arange(at, end), [stretch(at, end, 0, 0, True)]
         else:
-            cuts = list(range(0, int(sizes[at]), STRETCH)) or [0]
-            yield np.array([at]), [
-                stretch(at, end, a, min(a + STRETCH, int(sizes[at])), a == cuts[-1]) for a in cuts
-            ]
+            size, step = int(sizes[at]), max(1, STRETCH // LAST_BLOCK) * LAST_BLOCK
+            cuts = [0, *range(FIRST_BLOCK * (2**_DOUBLINGS - 1) + step, size, step), size]
+            parts, carried = [], Carried()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                parts.append(replace(stretch(at, end, a, b, b == size), carried=carried))
+                carried = parts[-1].passes_on()
+            yield np.array([at]), parts
         at = end
 
 
@@ -151,6 +180,8 @@ def _contexts(s: Stretch) -> list[np.ndarray]:
         before[k][k + 1 :] = code[: max(0, n - k - 1)]
         for j in range(k + 1):  # what lies before a text is not its own
             before[k][s.start[s.length > j] + j] = 0
+            if j < n and k - j < len(s.carried.last):  # but what lies before a stretch that goes on is
+                before[k][j] = s.carried.last[j - k - 1] + 1
     pair = before[0] | (before[1] << np.uint64(9))
     four = pair | (before[2] << np.uint64(18)) | (before[3] << np.uint64(27))
     # The word so far: running sums of code * base^place since the last white space, shifted back.
@@ -161,6 +192,9 @@ def _contexts(s: Stretch) -> list[np.ndarray]:
     opens[1:] |= _SPACE[s.symbols[:-1]]
     word_start = np.maximum.accumulate(np.where(opens, np.arange(n), 0)) if n else np.zeros(0, np.int64)
     word = (sums[:-1] - sums[word_start]) * back[word_start] if n else np.zeros(0, np.uint64)
+    if s.carried.read:
+        going_on = word_start == 0
+        word[going_on] = s.carried.word + s.carried.power * word[going_on]
     six = four | (before[4] << np.uint64(36)) | (before[5] << np.uint64(45))
     return [pair, word, four, six]
 
@@ -489,7 +523,8 @@ class Mixer:
         Logits stay in steps here, and weights in their inverse.
         """
         text = np.repeat(np.arange(len(s.start)), s.length)
-        block = _block_of(np.arange(len(text)) - s.start[text])
+        block = _block_of(np.arange(len(text)) - s.start[text] + s.carried.read)
+        block -= block.min(initial=int(block[0]) if len(block) else 0)
         # Sixteen bits, where they suffice, are sorted by counting.
         order = np.argsort(block.astype(np.int16) if block.max(initial=0) < 1 << 15 else block, kind="stable")
         length, at = _decisions(self.code, s.symbols[order])
@@ -566,7 +601,7 @@ class ChunkMixer(Mixer):
 
 def _block_of(inside: np.ndarray) -> np.ndarray:
     """The number of a byte's block: blocks double from ``FIRST_BLOCK`` up to ``LAST_BLOCK`` bytes."""
-    doubling = int(np.log2(LAST_BLOCK // FIRST_BLOCK))
+    doubling = _DOUBLINGS
     early = np.floor(np.log2(inside / FIRST_BLOCK + 1)).astype(np.int64)
     grown = FIRST_BLOCK * ((1 << doubling) - 1)
     return np.where(inside < grown, early, doubling + (inside - grown) // LAST_BLOCK)

@@ -1,6 +1,7 @@
 """Language ID, quality classifier and language model: held-out accuracy, brute force, odd rows."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -172,7 +173,9 @@ def test_scores_of_an_empty_table(spark, nothing):
 def test_counts_of_chunks_and_parts_are_exact(spark, messy, monkeypatch):
     """Scores are those of counts in a dictionary, by whole context and node, wherever chunks are cut."""
     trained = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
-    want = scores_by_dictionary([t for _, t, *_ in ROWS], [i is not None and i % 2 == 0 for i, *_ in ROWS])
+    with monkeypatch.context() as whole:  # texts in one stretch each, the longest of which the operator reads in two
+        whole.setattr(context_mixing, "STRETCH", 1 << 30)
+        want = scores_by_dictionary([t for _, t, *_ in ROWS], [i is not None and i % 2 == 0 for i, *_ in ROWS])
     for chunk, part in ((1 << 22, 1 << 24), (100, 1 << 12)):
         monkeypatch.setattr(context_mixing, "CHUNK", chunk)
         monkeypatch.setattr(context_mixing, "PART", part)
@@ -328,3 +331,28 @@ def test_training_matches_the_rule_by_hand(spark, monkeypatch):
     margin = weight("bias") + c.SCALE * sum(weight(k) * v for k, v in counts.items()) / sum(counts.values())
     score = quality_classifier.score(frame(spark, [(1, asked, None, None)]), model).first()["score"]
     assert score == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-4)
+
+
+def contexts_by_hand(text):
+    """The six bytes before every byte and the end, and the word so far, as plain bytes."""
+    raw = text.encode().lower()
+    return [(raw[max(0, i - 6) : i], re.split(rb"[\x20\x09-\x0d]", raw[:i])[-1]) for i in range(len(raw) + 1)]
+
+
+@pytest.mark.parametrize("text", ["The cat sat. " * 700, "longword" * 900 + " end", " \n" * 3000, "a", ""])
+def test_stretches_carry_their_context(monkeypatch, text):
+    """Contexts are equal exactly where they are by hand, and scores the same, wherever a text is cut."""
+    model = taught(["the cat sat on the mat. the cat"] * 20)
+    scores, seen = [], []
+    for stretch in (1 << 17, 1024, 3000):
+        monkeypatch.setattr(context_mixing, "STRETCH", stretch)
+        (_, parts), = context_mixing._groups(pa.array([text]))
+        found = [np.concatenate(k) for k in zip(*map(context_mixing._contexts, parts), strict=True)]
+        seen.append(found)
+        scores.append(context_mixing.Mixer(model).score(pa.array([text]))[0])
+    for found in seen[1:]:
+        assert all((a == b).all() for a, b in zip(seen[0], found, strict=True))
+    assert scores == pytest.approx([scores[0]] * 3, rel=1e-6)
+    by_hand = contexts_by_hand(text)
+    for key, hand in ((seen[1][3], [six for six, _ in by_hand]), (seen[1][1], [word for _, word in by_hand])):
+        assert len(set(key.tolist())) == len(set(hand)) == len(set(zip(key.tolist(), hand, strict=True)))
