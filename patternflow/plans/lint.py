@@ -2,8 +2,8 @@
 
 Spark runs patterns on Java's backtracking engine and has no guard of its own.
 Every check is a column expression; the compile check
-asks the very engine that will run it. Whether a pattern may be slow is read from its form, so the verdict is the
-same on any machine, however busy.
+asks the very engine that will run it. Whether a pattern may be slow is read from its form and from a trial of its repeated groups
+on short texts, by that engine. The trial counts readings and not seconds, so the verdict is the same on any machine, however busy.
 """
 
 from __future__ import annotations
@@ -41,6 +41,13 @@ AMBIGUOUS = (
     "(" + _ATOM + r")[*+]\??(?:\1[*+]\??){3}",
 )
 
+#: The body of a repeated group without groups in it, if the pattern goes on behind it and so may fail there.
+_REPEATED = r"(?s)(?<!\\)\((?:\?:|\?<[A-Za-z]\w*>)?((?!\?)[^()]*)(?<!\\)\)(?:[*+]|\{\d+,\d*\})\??(?!\+)(?=.)"
+#: Texts that groups are tried on, besides their own alternatives of up to so many characters.
+_TRIAL_CHARACTERS = [*"abcdefghijklmnopqrstuvwxyzABCXYZ0123456789 \t\n.,;:_-/@#+"]
+_TRIAL_TEXTS = ["aa", "ab", "ba", "aba", "aA", "a0", "0a", "00", "0a0", "a a", "  ", " a", "a ", "a-", "-a", "a.", "0.", "0 0", "0-0", "--", "a,a", "a_a"]
+_LONGEST_TRIAL = 12
+
 EMPTY = "Empty pattern."
 TOO_LONG = f"Pattern is longer than {MAX_LENGTH} characters."
 INVALID = "Invalid regex."
@@ -61,7 +68,7 @@ def check_pattern(pattern: str | None) -> str | None:
         return INVALID
     if re.search(NESTED_QUANTIFIER, pattern):
         return NESTED
-    return SLOW if any(re.search(shape, pattern) for shape in AMBIGUOUS) else None
+    return SLOW if spark.sql("SELECT 1").select(ambiguous(F.lit(pattern))).first()[0] else None
 
 
 def compiles(pattern: Column) -> Column:
@@ -73,11 +80,46 @@ def ambiguous(pattern: Column) -> Column:
     """Whether the pattern has a repeat that is likely to backtrack without end."""
     repeats = pattern.rlike(r"[*+{]")
     shapes = reduce(or_, (pattern.rlike(shape) for shape in AMBIGUOUS))
-    return repeats & shapes
+    return repeats & (shapes | (pattern.contains(")") & read_in_two_ways(pattern)))
+
+
+def read_in_two_ways(pattern: Column) -> Column:
+    """Whether a repeated group reads one of the trial texts in more than one way.
+
+    Either two of its alternatives read the text, or rounds of the group do after a first round of either of two lengths. Then a run of such
+    texts can be read in a number of ways that doubles with each, all of which are gone through if what follows fails.
+    """
+
+    def reads(regex: Column, text: Column) -> Column:
+        return F.regexp_like(text, F.concat(F.lit(r"\A(?:"), regex, F.lit(r")\z")))
+
+    def two_alternatives(alternatives: Column, texts: Column) -> Column:
+        apart = (F.size(alternatives) > 1) & F.forall(alternatives, lambda a: compiles(F.concat(F.lit("(?:"), a, F.lit(")"))))
+        return apart & F.exists(texts, lambda text: F.size(F.filter(alternatives, lambda a: reads(a, text))) > 1)
+
+    def two_lengths(body: Column, texts: Column) -> Column:
+        rounds = F.concat(F.lit("(?:"), body, F.lit(")*"))
+
+        def firsts(text: Column) -> Column:
+            return F.filter(
+                F.sequence(F.lit(1), F.length(text)),
+                lambda n: reads(body, F.substring(text, F.lit(1), n)) & reads(rounds, F.substring(text, n + 1, F.length(text))),
+            )
+
+        return F.exists(texts, lambda text: F.size(firsts(text)) > 1)
+
+    def tried(body: Column) -> Column:
+        alternatives = F.split(body, r"\|", -1)
+        own = F.filter(alternatives, lambda a: F.length(a).between(1, _LONGEST_TRIAL))
+        longer, texts = F.concat(F.array(*map(F.lit, _TRIAL_TEXTS)), own), F.array(*map(F.lit, _TRIAL_CHARACTERS))
+        sound = compiles(F.concat(F.lit("(?:"), body, F.lit(")*")))
+        return F.when(sound, two_alternatives(alternatives, F.concat(texts, longer)) | two_lengths(body, longer)).otherwise(False)
+
+    return F.exists(F.regexp_extract_all(pattern, F.lit(_REPEATED), 1), tried)
 
 
 def full_reason(pattern: Column) -> Column:
-    """The static checks, the compile check and the check for ambiguity; null when they pass."""
+    """The static checks, the compile check, the check for ambiguity and the trial; null when they pass."""
     static = static_reason(pattern)
     return (
         F.when(static.isNotNull() & (static != NESTED), static)
@@ -104,7 +146,7 @@ def static_reason(pattern: Column) -> Column:
 def lint_rules(rules: DataFrame, pattern: str = "pattern", *, trial: bool = True) -> DataFrame:
     """Add ``ok`` and ``reason`` to a table of patterns.
 
-    ``trial=False`` keeps to the static checks: neither compiled nor looked at for ambiguity.
+    ``trial=False`` keeps to the static checks: neither compiled nor looked at for ambiguity, nor tried.
     """
     p = ref(pattern)
     reason = full_reason(p) if trial else static_reason(p)

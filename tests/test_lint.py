@@ -86,6 +86,27 @@ def test_ambiguity_is_read_from_the_form(spark):
     assert "Python" not in text and "Exchange" not in text
 
 
+#: Patterns whose form tells nothing, but which read some short text in two ways.
+TRIED_SLOW = [
+    r"(a|b|ab)+$", r"(a|a?)+$", r"([a-z]|[a-c])*!", r"(\d|[0-9])+x", r"(a{1,3})+$", r"(?:a?b?)+c", r"(foo|bar|foobar)*$", r"(.|\s)*!",
+    r"(?<w>a|b|ba)+$", r"(a|b|ab){2,}c",
+]
+TRIED_FINE = [
+    r"(a{1,3})+", r"(a|b|ab)++c", r"(\d{1,3},)*\d{1,3}$", r"(a|b|c)+$", r"([a|b]c)+d", r"(a\)|b)+c", r"((?:ab|cd)x)+y", r"(foo|bar)*$",
+    r"(?:\d[ -]?){13,16}x",
+]
+
+
+def test_repeated_groups_are_tried_on_short_texts(spark):
+    """Both entry points, with no Python worker and no clock."""
+    from tests.conftest import plan
+
+    linted = lint_rules(spark.createDataFrame([(p,) for p in TRIED_SLOW + TRIED_FINE], "pattern string"))
+    assert {r["pattern"]: r["reason"] for r in linted.collect()} == {**dict.fromkeys(TRIED_SLOW, L.SLOW), **dict.fromkeys(TRIED_FINE)}
+    assert [check_pattern(p) for p in (TRIED_SLOW[0], TRIED_FINE[1])] == [L.SLOW, None]
+    assert "Python" not in plan(linted) and "Exchange" not in plan(linted)
+
+
 JAVA_ONLY = [r"\Qa.b\E", r"\pL+", r"a\z", r"\x{41}", r"(?U)\w+", r"(?<=a{1,3})b", r"\G\d"]
 PYTHON_ONLY = [r"(?P<n>a)", r"a{,3}", r"(?a)x"]
 
