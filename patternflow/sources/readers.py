@@ -126,11 +126,19 @@ def has_multi_line_cells(spark: SparkSession, path: str) -> bool:
     return bool(odd.select(F.lit(1)).take(1))
 
 
-def _require_one_header(spark: SparkSession, path: str) -> None:
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The first line of each file.
+
+    Numbers alone are aggregated: to aggregate texts, a task would sort all lines of its files.
+    """
     lines = spark.read.text(path).filter("_metadata.file_block_start = 0")
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"))
-    firsts = lines.groupBy("file").agg(F.min_by("value", "id").alias("head"))
-    heads = firsts.select(F.regexp_replace("head", "^\ufeff", "").alias("head")).distinct().take(2)
+    ids = lines.groupBy("file").agg(F.min("id").alias("id")).select("id")
+    return lines.join(F.broadcast(ids), "id").select(F.regexp_replace("value", "^\ufeff", "").alias("head"))
+
+
+def _require_one_header(spark: SparkSession, path: str) -> None:
+    heads = first_lines(spark, path).distinct().take(2)
     if len(heads) > 1:
         raise DifferentHeadersError(f"Files of {path} have different headers: {heads[0]['head']!r} and {heads[1]['head']!r}")
 

@@ -7,7 +7,7 @@ import pytest
 from patternflow import Rule, preview, read_csv, run_rule, run_rules, scratch_path, stage_table, with_row_numbers
 from patternflow.model import PLACE
 from patternflow.sources.csv_layout import inspect_csv, read_spanning
-from patternflow.sources.readers import DifferentHeadersError
+from patternflow.sources.readers import DifferentHeadersError, first_lines
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
 
@@ -125,6 +125,17 @@ def test_names_that_occur_twice_in_every_file(spark, tmp_path):
         read_csv(spark, str(tmp_path))
 
 
+def test_first_lines_are_found_without_sorting_the_others(spark, tmp_path, tiny_splits):
+    from tests.conftest import plan
+
+    put(tmp_path, "1.csv", "\ufeffa,A,b\n" + "1,2,3\n" * 2000)
+    put(tmp_path, "2.csv", "a,A,b\n" + "0,0,0\n" * 2000)
+    put(tmp_path, "3.csv", "")
+    firsts = first_lines(spark, str(tmp_path))
+    assert [r["head"] for r in firsts.collect()] == ["a,A,b"] * 2
+    assert "Sort" not in plan(firsts)
+
+
 def test_places_of_spanning_rows(spark, tmp_path, tiny_splits):
     path = put(tmp_path, "t.csv", 'a,b\n' + '"x\ny",1\n' * 30)
     layout = inspect_csv(spark, path, cut_above=0)
