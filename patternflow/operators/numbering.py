@@ -11,9 +11,11 @@ the rows of one stretch of a source one after the other, so there the totals are
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patternflow.functions.columns import ref
 from patternflow.model import FLAG, PLACE, ROW_NUMBER
@@ -30,6 +32,9 @@ FILES_PER_BROADCAST = 200_000
 # Offsets of this many files (about 2 MB) are simply fetched, to be worked out once.
 FILES_FETCHED = 10_000
 
+# A range of ``write_ordered`` holds about this many bytes of cells.
+RANGE_BYTES = 1 << 26
+
 _TASK_DIGITS = 18
 _PIECE_DIGITS = 9
 # Leading digits of the task number shared by the files one task sums up:
@@ -187,14 +192,31 @@ def with_row_numbers(
     return reduce(DataFrame.unionByName, branches)
 
 
+def _bytes_held(df: DataFrame) -> int:
+    """About how many bytes the cells of ``df`` have; file sizes don't tell, as repeats hardly count there."""
+
+    def size(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(ref(field.name))
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(ref(field.name).cast("string"))
+        return F.lit(8)
+
+    row = reduce(add, (F.coalesce(size(f), F.lit(0)).cast("long") for f in df.schema.fields), F.lit(0).cast("long"))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
 def write_ordered(
     df: DataFrame, order_by: list[str], path: str, partitions: int | None = None
 ) -> str:
     """Write ``df`` so that file order is ``order_by`` order, ready for numbering.
 
     Rows are range-partitioned on the keys AND their place in the input, so a
-    run of equal keys, however long, is cut across tasks and keeps its order.
+    run of equal keys, however long, is cut across tasks and keeps its order. ``partitions`` says into how many
+    ranges at least: a large input gets more, so that no task's share grows with it.
     """
+    if partitions:
+        partitions = max(partitions, -(-_bytes_held(df) // RANGE_BYTES))
     keys = [ref(c) for c in order_by] + [F.col("__place")]
     placed = df.withColumn("__place", F.monotonically_increasing_id())
     ranged = (

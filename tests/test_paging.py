@@ -149,3 +149,17 @@ def test_arithmetic():
     assert jump_target(137, 1000) == (137, 2, 36)
     assert jump_target(5000, 250) == (250, 3, 49)
     assert jump_target(-3, 250) == (1, 1, 0)
+
+
+def test_a_large_input_is_written_in_more_ranges(spark, monkeypatch):
+    """So that no task's share grows with the input; a small one gets as many as were asked for."""
+    from patternflow.operators import numbering
+
+    source = scratch_path(spark, "source")
+    spark.range(3000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).repartition(3).write.parquet(source)
+    for most, files in ((1 << 26, 2), (1 << 13, 24)):
+        monkeypatch.setattr(numbering, "RANGE_BYTES", most)
+        path = write_ordered(spark.read.parquet(source), ["id"], scratch_path(spark, "ranges"), 2)
+        written = len(spark.read.parquet(path).inputFiles())
+        assert written == files if files == 2 else written >= files
+        assert [r["id"] for r in read_window(spark, path, 1500, 3).rows.collect()] == ["1500", "1501", "1502"]
