@@ -8,7 +8,7 @@ start equal in every text and are refined while it is read: a block of bytes is
 predicted with the weights so far, then they take a gradient step. A text's score is the
 log10 probability of its bytes, A-Z lower-cased, and of its end.
 
-The counts are exact at any size of input. Texts lie in chunks, and a chunk names its distinct pairs of a
+The counts are exact at any size of input. Texts are dealt to chunks, once, and a chunk names its distinct pairs of a
 context and the byte that follows. The pairs of all chunks meet in parts dealt by context, where they
 are summed; back goes what each chunk asked for. Parts and chunks are of bounded size, their
 numbers grow with the input, and nothing is gathered on the driver. Texts of a chunk are
@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from patternflow.llm.common import ensure_on_executors, ref, staged
@@ -289,10 +289,13 @@ def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, part[order]
 
 
+_ZSTD = pa.Codec("zstd", compression_level=6)
+
+
 def _squeezed(data: np.ndarray) -> bytes:
     """The bytes, compressed, behind their number."""
     raw = np.ascontiguousarray(data).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def _unsqueezed(data: pa.Scalar) -> bytes:
@@ -373,58 +376,63 @@ def _stretched(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) + np.repeat(first - np.cumsum(length) + length, length)
 
 
-def cut_texts(docs: DataFrame, code: Code) -> DataFrame:
-    """``docs`` (id, text, trained) as one written table of two kinds of rows.
-
-    Texts have row, chunk, id and text; pairs have chunk, parts of a context, part, keys and counts.
-    """
-    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(FEWEST_PARTS, -(-held // PART))
-    places = _ranges(code)[1]
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, text, trained) as one written table, with row and chunk."""
     kind = docs.schema["id"].dataType.simpleString()
-    names = ["row", "chunk", "id", "text", "parts", "part", "keys", "counts"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = chunk = TaskContext.get().partitionId() << 33
-        pairs, held, empty = _Pairs(), 0, None
+        held = 0
         for batch in batches:
-            empty = batch.schema.field("id").type
             sizes = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < len(batch):
                 done = int(sizes[at - 1]) if at else 0
                 end = max(at + 1, int(np.searchsorted(sizes, done + CHUNK - held, side="right")))
                 part = batch.slice(at, end - at)
-                n, text = len(part), part.column("text")
+                n = len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), pa.array(np.full(n, chunk)), part.column("id"), text,
-                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
-                trained = part.column("trained").fill_null(False)
-                pairs.add(text.filter(trained), True, places)
-                pairs.add(text.filter(pc.invert(trained)), False, places)
+                    [pa.array(np.arange(row, row + n)), pa.array(np.full(n, chunk)), *(part.column(c) for c in ("id", "text", "trained"))],
+                    ["row", "chunk", "id", "text", "trained"])
                 held, row, at = held + int(sizes[end - 1]) - done, row + n, end
                 if held >= CHUNK or end < len(batch):
-                    yield from sent(pairs, chunk, empty)
-                    pairs, held, chunk = _Pairs(), 0, chunk + 1
-        if empty is not None:
-            yield from sent(pairs, chunk, empty)
+                    held, chunk = 0, chunk + 1
+
+    schema = f"row long, chunk long, id {kind}, text string, trained boolean"
+    rows = docs.select("id", ref("text").cast("string").alias("text"), ref("trained").cast("boolean").alias("trained"))
+    return staged(rows.mapInArrow(cut, schema), "chunks", compression="zstd")
+
+
+def _by_chunk(chunks: DataFrame) -> GroupedData:
+    """Texts dealt by chunk: in one form, so that the two steps that need them share a shuffle."""
+    return chunks.select("chunk", "row", "text", "trained").groupBy("chunk")
+
+
+def named_pairs(chunks: DataFrame, code: Code, parts: int) -> DataFrame:
+    """chunk, parts of a context, part, keys and counts: the distinct pairs of every chunk."""
+    places = _ranges(code)[1]
 
-    def sent(pairs: _Pairs, chunk: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    def name(rows: pa.Table) -> pa.Table:
+        pairs, text, trained = _Pairs(), rows["text"].combine_chunks(), rows["trained"].combine_chunks().fill_null(False)
+        pairs.add(text.filter(trained), True, places)
+        pairs.add(text.filter(pc.invert(trained)), False, places)
+        out = {"part": [], "keys": [], "counts": []}
         for k, (keys, n) in enumerate(pairs.merged()):
             order, part = _dealt(keys, parts)
             cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else np.zeros(1, np.int64)
-            rows = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
             keys, n = keys[order], n[order]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(rows), pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.nulls(len(rows), kind),
-                 pa.nulls(len(rows), pa.string()), pa.array([parts] * len(rows), pa.int32()), pa.array([k * parts + int(part[a]) for a, _ in rows], pa.int32()),
-                 pa.array([_packed_keys(keys[a:b]) for a, b in rows], pa.binary()),
-                 pa.array([_squeezed(_narrowest(n[a:b])) for a, b in rows], pa.binary())], names)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                out["part"].append(k * parts + int(part[a]))
+                out["keys"].append(_packed_keys(keys[a:b]))
+                out["counts"].append(_squeezed(_narrowest(n[a:b])))
+        made, chunk = len(out["part"]), rows["chunk"][0].as_py()
+        return pa.table(
+            {"chunk": pa.array([chunk] * made, pa.int64()), "parts": pa.array([parts] * made, pa.int32()), "part": pa.array(out["part"], pa.int32()),
+             "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
-    schema = f"row long, chunk long, id {kind}, text string, parts int, part int, keys binary, counts binary"
-    return staged(docs.select("id", ref("text").cast("string").alias("text"), "trained").mapInArrow(cut, schema), "chunks")
+    return _by_chunk(chunks).applyInArrow(name, "chunk long, parts int, part int, keys binary, counts binary")
 
 
 def answered(pairs: DataFrame, code: Code) -> DataFrame:
@@ -457,7 +465,7 @@ class PairModel:
     answers: DataFrame
 
     def scores(self, texts: DataFrame) -> DataFrame:
-        """row and score of ``texts`` (row, chunk, text)."""
+        """row and score of ``texts`` (row, chunk, text, trained)."""
         code = self.code
 
         def score(own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -465,8 +473,7 @@ class PairModel:
             mixer = ChunkMixer(code, answers["parts"][0].as_py(), text, zip(answers["part"].to_pylist(), answers["logits"], strict=True))
             return pa.table({"row": own["row"], "score": pa.array(mixer.score(text), pa.float64())})
 
-        ours = texts.select("chunk", "row", "text").groupBy("chunk")
-        return ours.cogroup(self.answers.groupBy("chunk")).applyInArrow(score, "row long, score double")
+        return _by_chunk(texts).cogroup(self.answers.groupBy("chunk")).applyInArrow(score, "row long, score double")
 
 
 @dataclass(frozen=True)
@@ -490,9 +497,10 @@ class MixingModel:
 
 
 def train(chunks: DataFrame, byte_weights: np.ndarray) -> PairModel:
-    """The model of the training texts in ``chunks``, cut with the code of ``byte_weights``. No row, no knowledge."""
+    """The model of the training texts in ``chunks``. No row, no knowledge."""
     code = huffman(byte_weights)
-    return PairModel(code, answered(chunks.filter(F.col("part").isNotNull()), code))
+    held = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return PairModel(code, answered(named_pairs(chunks, code, max(FEWEST_PARTS, -(-held // PART))), code))
 
 
 class Mixer:
@@ -621,9 +629,8 @@ def score_documents(
     ensure_on_executors(docs.sparkSession)
     counts = count_words(rows, "text", "trained")
     weights = counts.byte_weights()
-    chunks = cut_texts(rows, huffman(weights))
-    texts = chunks.filter(F.col("part").isNull())
-    scored = score_texts(texts, counts).join(train(chunks, weights).scores(texts), "row")
+    chunks = cut_texts(rows)
+    scored = score_texts(chunks, counts).join(train(chunks, weights).scores(chunks), "row")
     return scored.select(
         F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

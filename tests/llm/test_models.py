@@ -356,3 +356,16 @@ def test_stretches_carry_their_context(monkeypatch, text):
     by_hand = contexts_by_hand(text)
     for key, hand in ((seen[1][3], [six for six, _ in by_hand]), (seen[1][1], [word for _, word in by_hand])):
         assert len(set(key.tolist())) == len(set(hand)) == len(set(zip(key.tolist(), hand, strict=True)))
+
+
+def test_pairs_are_not_kept_and_texts_are_dealt_to_chunks_once(spark):
+    """The table of chunks holds texts alone; naming pairs and scoring share one shuffle of them."""
+    from tests.conftest import plan
+
+    rows = [(i, f"some words of text {i % 7} and {i}") for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("trained", F.col("id") % 5 != 1)
+    chunks = context_mixing.cut_texts(docs)
+    assert chunks.columns == ["row", "chunk", "id", "text", "trained"] and chunks.count() == len(rows)
+    scores = context_mixing.train(chunks, np.ones(257)).scores(chunks)
+    assert len({r["row"] for r in scores.collect() if r["score"] < 0}) == len(rows)
+    assert "ReusedExchange" in plan(scores)
