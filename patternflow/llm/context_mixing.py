@@ -37,7 +37,7 @@ CONTEXTS = 4
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 #: Bytes of text in a chunk, and those whose pairs of one context a part holds on average; the fewest parts of a context.
-CHUNK = 1 << 24
+CHUNK = 28 << 20
 PART = 1 << 24
 FEWEST_PARTS = 64
 END = 256
@@ -51,6 +51,8 @@ FIRST_BLOCK, LAST_BLOCK = 32, 1024
 _DOUBLINGS = (LAST_BLOCK // FIRST_BLOCK).bit_length() - 1
 #: Bytes read side by side. A longer text is read in stretches that end where blocks do and carry their context on, so this changes no score.
 STRETCH = 1 << 17
+#: Bytes of a chunk whose pairs are told apart at once.
+SEGMENT = 1 << 20
 
 _LOWER = np.arange(257, dtype=np.int32)
 _LOWER[65:91] += 32
@@ -171,31 +173,34 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _contexts(s: Stretch) -> list[np.ndarray]:
     """Each context at every byte, in 54 bits but for the word, a hash of 64."""
-    n = len(s.symbols)
-    text = np.repeat(np.arange(len(s.start)), s.length)
-    inside = np.arange(n) - s.start[text]
-    code = s.symbols.astype(np.uint64) + np.uint64(1)
-    before = [np.zeros(n, np.uint64) for _ in range(6)]
-    for k in range(6):
-        before[k][k + 1 :] = code[: max(0, n - k - 1)]
-        for j in range(k + 1):  # what lies before a text is not its own
-            before[k][s.start[s.length > j] + j] = 0
-            if j < n and k - j < len(s.carried.last):  # but what lies before a stretch that goes on is
-                before[k][j] = s.carried.last[j - k - 1] + 1
-    pair = before[0] | (before[1] << np.uint64(9))
-    four = pair | (before[2] << np.uint64(18)) | (before[3] << np.uint64(27))
+    n, last = len(s.symbols), s.carried.last
+    # Six places lie ahead of the stretch: what it goes on from, or nothing.
+    code = np.zeros(n + 6, np.uint64)
+    code[6 - len(last) : 6] = np.array(last, np.uint64) + np.uint64(1)
+    code[6:] = s.symbols
+    code[6:] += np.uint64(1)
+    twos = code[1:] | (code[:-1] << np.uint64(9))
+    pair = twos[4 : 4 + n]
+    four = pair | (twos[2 : 2 + n] << np.uint64(18))
+    six = four | (twos[:n] << np.uint64(36))
+    if not s.carried.read:
+        for j in range(6):  # what lies before a text is not its own
+            at = s.start[s.length > j] + j
+            for key in (pair, four, six):
+                key[at] &= np.uint64((1 << 9 * j) - 1)
+    code = code[6:]
     # The word so far: running sums of code * base^place since the last white space, shifted back.
     power, back = _powers(1 << max(0, n - 1).bit_length())
-    power, back = power[:n], back[:n]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power)])
-    opens = inside == 0
-    opens[1:] |= _SPACE[s.symbols[:-1]]
-    word_start = np.maximum.accumulate(np.where(opens, np.arange(n), 0)) if n else np.zeros(0, np.int64)
-    word = (sums[:-1] - sums[word_start]) * back[word_start] if n else np.zeros(0, np.uint64)
-    if s.carried.read:
-        going_on = word_start == 0
-        word[going_on] = s.carried.word + s.carried.power * word[going_on]
-    six = four | (before[4] << np.uint64(36)) | (before[5] << np.uint64(45))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power[:n])])
+    opens = np.zeros(n, bool)
+    opens[1:] = _SPACE.take(s.symbols[:-1])
+    opens[s.start[s.length > 0]] = True
+    opens = np.flatnonzero(opens)
+    each = np.diff(opens, append=n)
+    word = sums[:-1] - np.repeat(sums[opens], each)
+    word *= np.repeat(back[opens], each)
+    if s.carried.read and n:
+        word[: each[0]] = s.carried.word + s.carried.power * word[: each[0]]
     return [pair, word, four, six]
 
 
@@ -275,21 +280,53 @@ def _pair_keys(s: Stretch, places: np.ndarray) -> list[np.ndarray]:
     return [(key << np.uint64(9)) | place for key in keys]
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, index among them of every key), by hashing."""
-    found = pa.array(keys).dictionary_encode()
-    return found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy(zero_copy_only=False)
+def _counted_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, how often each stands there)."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys))
 
 
-def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _index_in(asked: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The index of every one that is asked for among distinct keys."""
+    return pc.index_in(pa.array(asked), value_set=pa.array(keys)).to_numpy(zero_copy_only=False)
+
+
+def _numbered(keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sorted distinct keys, index among them of every key, array by array); ``keys`` is emptied, for it may be long."""
+    found = np.concatenate([np.zeros(0, np.uint64), *keys])
+    found.sort()
+    found = found[np.concatenate([np.ones(min(1, len(found)), bool), found[1:] != found[:-1]])]
+    numbers = []
+    while keys:
+        own = keys.pop(0)
+        order = np.argsort(own)  # those looked for lie side by side then
+        numbers.append(np.empty(len(own), np.int32))
+        numbers[-1][order] = np.searchsorted(found, own[order])
+    return found, numbers
+
+
+def _shortened(keys: np.ndarray, bytes_kept: int) -> np.ndarray:
+    """Keys of the longest context as those of a shorter one, the last ``bytes_kept`` bytes."""
+    context = (keys >> np.uint64(9)) & np.uint64((1 << 9 * bytes_kept) - 1)
+    return (context << np.uint64(9)) | (keys & np.uint64(511))
+
+
+def _dealt(keys: np.ndarray, parts: int, hashed: bool) -> tuple[np.ndarray, np.ndarray]:
     """(order of the sorted keys by part, part of each then): all symbols of a context have one part."""
-    mixed = (keys >> np.uint64(9)) * np.uint64(0xD6E8FEB86659FD93)
-    part = (((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(parts)
+    part = keys >> np.uint64(9)
+    if not hashed:
+        part *= np.uint64(0xD6E8FEB86659FD93)
+        part = ((part ^ (part >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
+    part %= np.uint64(parts)
     order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint64), kind="stable")
     return order, part[order]
 
 
 _ZSTD = pa.Codec("zstd", compression_level=6)
+#: Of tables of texts: what is compressed at once, and how hard.
+_LARGE_PAGES = {"parquet.page.size": 8 << 20, "parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": 9}
+_ZSTD_OF_TEXTS = pa.Codec("zstd", compression_level=9)
 
 
 def _squeezed(data: np.ndarray) -> bytes:
@@ -298,60 +335,133 @@ def _squeezed(data: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
-def _unsqueezed(data: pa.Scalar) -> bytes:
-    raw = data.as_buffer()
+def _unsqueezed(raw: pa.Buffer) -> bytes:
     return pa.decompress(raw[8:], int.from_bytes(raw[:8].to_pybytes(), "little"), "zstd", asbytes=True)
 
 
-def _packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys in few bytes: distinct contexts as first bytes of all, then second ones and so on; symbols' places; each context's symbols."""
-    context, n = np.unique(keys >> np.uint64(9), return_counts=True)
+def _planes(data: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones and so on."""
+    return np.ascontiguousarray(data).view(np.uint8).reshape(-1, data.itemsize).T.ravel()
+
+
+def _from_planes(raw: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed_keys(keys: np.ndarray, step: int = 0) -> bytes:
+    """Sorted keys in few bytes: distinct contexts, or how many times ``step`` they lie apart, symbols' places, each context's symbols."""
+    context, n = _counted_runs(keys >> np.uint64(9))
     inner = (keys & np.uint64(511)).astype("<u2")
-    head = np.array([len(context), len(keys)], "<u8").view(np.uint8)
-    columns = context.astype(">u8").view(np.uint8).reshape(-1, 8).T.ravel()
-    return _squeezed(np.concatenate([head, columns, inner.view(np.uint8).reshape(-1, 2).T.ravel(), n.astype("<u2").view(np.uint8)]))
+    head = np.array([len(context), len(keys), step, context[0] % np.uint64(step) if step else 0], "<u8").view(np.uint8)
+    columns = np.diff(context // np.uint64(step), prepend=np.uint64(0)) if step else context
+    return _squeezed(np.concatenate([head, _planes(columns.astype(">u8")), _planes(inner), n.astype("<u2").view(np.uint8)]))
 
 
 def _unpacked_keys(data: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer(_unsqueezed(data), np.uint8)
-    contexts, n = raw[:16].view("<u8").tolist()
-    columns, inner, each = np.split(raw[16:], [8 * contexts, 8 * contexts + 2 * n])
-    context = np.ascontiguousarray(columns.reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
-    place = np.ascontiguousarray(inner.reshape(2, -1).T).view("<u2").ravel().astype(np.uint64)
+    raw = np.frombuffer(_unsqueezed(data.as_buffer()), np.uint8)
+    contexts, n, step, rest = raw[:32].view("<u8").tolist()
+    columns, inner, each = np.split(raw[32:], [8 * contexts, 8 * contexts + 2 * n])
+    context = _from_planes(columns, ">u8").astype(np.uint64)
+    context = np.cumsum(context, dtype=np.uint64) * np.uint64(step) + np.uint64(rest) if step else context
+    place = _from_planes(inner, "<u2").astype(np.uint64)
     return (np.repeat(context, np.frombuffer(each.tobytes(), "<u2")) << np.uint64(9)) | place
 
 
+def _turned(packed: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Packed logits, those to ``turn`` of the other way."""
+    return np.where(turn, (-(packed >> np.int16(2)) << np.int16(2)) | (packed & np.int16(3)), packed)
+
+
+def _meeting(code: Code) -> np.ndarray:
+    """How many nodes the paths of two symbols share, by their places."""
+    symbols, _, _ = _ranges(code)
+    paths = np.full((257, int(code.length.max())), -1)
+    for row, s in zip(paths, symbols.tolist(), strict=True):
+        row[: code.length[s]] = code.bit[code.start[s] : code.start[s] + code.length[s]]
+    return (paths[:, None] != paths[None]).argmax(axis=2) + 1
+
+
+def _shared_steps(meeting: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How many first nodes of each pair's path are those of the pair before it; ``keys`` are sorted within contexts."""
+    place = (keys & np.uint64(511)).astype(np.int64)
+    shared = np.zeros(len(keys), np.int64)
+    context = keys >> np.uint64(9)
+    shared[1:] = np.where(context[1:] == context[:-1], meeting[place[:-1], place[1:]], 0)
+    return shared
+
+
+def _packed_logits(logits: np.ndarray) -> bytes:
+    """Logits in few bytes: which differ from the one before, and those."""
+    new = np.concatenate([np.ones(min(1, len(logits)), bool), logits[1:] != logits[:-1]])
+    flags = _squeezed(np.packbits(new))
+    return len(logits).to_bytes(8, "little") + len(flags).to_bytes(8, "little") + flags + _squeezed(logits[new].astype("<i2"))
+
+
+def _unpacked_logits(data: pa.Scalar) -> np.ndarray:
+    raw = data.as_buffer()
+    n, size = np.frombuffer(raw[:16], "<u8").tolist()
+    new = np.unpackbits(np.frombuffer(_unsqueezed(raw[16 : 16 + size]), np.uint8), count=n)
+    return np.frombuffer(_unsqueezed(raw[16 + size :]), "<i2")[np.cumsum(new, dtype=np.int64) - 1]
+
+
+def _whole_paths(code: Code, symbols: np.ndarray, meeting: np.ndarray, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The packed logits on every pair's path, of the way taken, from those that the pair before does not share."""
+    length, at = _decisions(code, symbols[(keys & np.uint64(511)).astype(np.int64)])
+    first, shared = np.cumsum(length) - length, _shared_steps(meeting, keys)
+    turn = code.bit.take(at) == 0
+    places = _stretched(first + shared, length - shared)
+    out = np.empty(len(at), np.int16)
+    out[places] = _turned(own, turn[places])
+    for step in range(int(shared.max(initial=0))):
+        pairs = np.flatnonzero(length > step)
+        source = np.maximum.accumulate(np.where(shared[pairs] <= step, np.arange(len(pairs)), 0))
+        place = first[pairs] + step
+        out[place] = out[place[source]]
+    return _turned(out, turn)
+
+
 class _Pairs:
-    """The distinct pairs of a chunk in each context, with how often training texts hold them."""
+    """The distinct pairs of a chunk in each context, with how often training texts hold them.
+
+    Those of two and four bytes follow from those of six.
+    """
 
     def __init__(self) -> None:
-        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
-        self.waiting = 0
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 3: []}
 
     def add(self, texts: pa.Array, trained: bool, places: np.ndarray) -> None:
+        waiting: dict[int, list[np.ndarray]] = {1: [], 3: []}
+        size = 0
         for _, stretches in _groups(texts):
             for s in stretches:
-                for k, keys in enumerate(_pair_keys(s, places)):
-                    found, index = _distinct(keys)
-                    n = np.bincount(index, minlength=len(found)) if trained else np.zeros(len(found), np.int64)
-                    self.held[k].append((found, n))
-                    self.waiting += len(found)
-                if self.waiting > 1 << 21:
-                    self.merged()
+                keys = _pair_keys(s, places)
+                size += len(s.symbols)
+                for k in waiting:
+                    waiting[k].append(keys[k])
+                if size > 2 * SEGMENT:
+                    self._counted(waiting, trained)
+                    size = 0
+        if size:
+            self._counted(waiting, trained)
+
+    def _counted(self, waiting: dict[int, list[np.ndarray]], trained: bool) -> None:
+        for k, keys in waiting.items():
+            found, n = _counted_runs(np.concatenate(keys))
+            self.held[k].append((found, n if trained else np.zeros(len(found), np.int64)))
+            keys.clear()
 
     def merged(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(sorted distinct keys, counts) by context."""
-        for k, held in enumerate(self.held):
-            if held:
-                self.held[k] = [_summed(np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held]))]
-        self.waiting = 0
-        return [held[0] if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for held in self.held]
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        word, six = (_summed(*map(np.concatenate, zip(none, *self.held[k], strict=True))) for k in (1, 3))
+        four = _summed(_shortened(six[0], 4), six[1])
+        return [_summed(_shortened(four[0], 2), four[1]), word, four, six]
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # quick where sorted runs stand behind one another
     keys = keys[order]
-    first = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]])
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
 
@@ -362,13 +472,25 @@ def _narrowest(n: np.ndarray) -> np.ndarray:
 
 
 def _flat_logits(code: Code, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place, number, and all of them) of the packed logits on every pair's path; ``keys`` are all of their contexts."""
+    """(first place, number, and all of them) of the packed logits on every pair's path; ``keys`` are all of their contexts.
+
+    A logit is that of the way which the pair's symbol takes.
+    """
     symbols, _, bounds = _ranges(code)
     length, at = _decisions(code, symbols[(keys & np.uint64(511)).astype(np.int64)])
-    context = np.repeat(keys & ~np.uint64(511), length)
     total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-    low, middle, high = (total[np.searchsorted(keys, context | b[at])] for b in bounds)
-    return np.cumsum(length) - length, length, _packed(np.stack([middle - low, high - middle], axis=1))
+    counts = np.zeros((len(at), 2), np.int64)
+    bit = code.bit.take(at).astype(np.int64)
+    # The one pair of a context takes every way on its path as often as it stands there.
+    context = keys >> np.uint64(9)
+    opens = np.concatenate([np.ones(min(1, len(keys)), bool), context[1:] != context[:-1]])
+    alone = np.repeat(opens & np.concatenate([opens[1:], np.ones(min(1, len(keys)), bool)]), length)
+    single, rest = np.flatnonzero(alone), np.flatnonzero(~alone)
+    counts[single, bit[single]] = np.repeat(n, length)[single]
+    below, at = np.repeat(context << np.uint64(9), length)[rest], at[rest]
+    low, middle, high = (total[np.searchsorted(keys, below | b[at])] for b in bounds)
+    counts[rest, 0], counts[rest, 1] = middle - low, high - middle
+    return np.cumsum(length) - length, length, _turned(_packed(counts), bit == 0)
 
 
 def _stretched(first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -402,12 +524,30 @@ def cut_texts(docs: DataFrame) -> DataFrame:
 
     schema = f"row long, chunk long, id {kind}, text string, trained boolean"
     rows = docs.select("id", ref("text").cast("string").alias("text"), ref("trained").cast("boolean").alias("trained"))
-    return staged(rows.mapInArrow(cut, schema), "chunks", compression="zstd")
+    return staged(rows.mapInArrow(cut, schema), "chunks", compression="zstd", **_LARGE_PAGES)
+
+
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        chunk = batch.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(a, b - a).select(["row", "text", "trained"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=_ZSTD_OF_TEXTS)) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[a : a + 1]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "texts"])
+
+
+def _opened(rows: pa.Table) -> pa.Table:
+    """row, text and trained of a chunk."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows["texts"]]).combine_chunks()
 
 
 def _by_chunk(chunks: DataFrame) -> GroupedData:
-    """Texts dealt by chunk: in one form, so that the two steps that need them share a shuffle."""
-    return chunks.select("chunk", "row", "text", "trained").groupBy("chunk")
+    """Texts dealt by chunk, many in one compressed row: in one form, so that the two steps that need them share a shuffle."""
+    rows = chunks.select("chunk", "row", "text", "trained")
+    return rows.mapInArrow(_packed_texts, "chunk long, texts binary").groupBy("chunk")
 
 
 def named_pairs(chunks: DataFrame, code: Code, parts: int) -> DataFrame:
@@ -415,17 +555,18 @@ def named_pairs(chunks: DataFrame, code: Code, parts: int) -> DataFrame:
     places = _ranges(code)[1]
 
     def name(rows: pa.Table) -> pa.Table:
-        pairs, text, trained = _Pairs(), rows["text"].combine_chunks(), rows["trained"].combine_chunks().fill_null(False)
+        own = _opened(rows)
+        pairs, text, trained = _Pairs(), own["text"].combine_chunks(), own["trained"].combine_chunks().fill_null(False)
         pairs.add(text.filter(trained), True, places)
         pairs.add(text.filter(pc.invert(trained)), False, places)
         out = {"part": [], "keys": [], "counts": []}
         for k, (keys, n) in enumerate(pairs.merged()):
-            order, part = _dealt(keys, parts)
+            order, part = _dealt(keys, parts, hashed=k == 1)
             cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else np.zeros(1, np.int64)
             keys, n = keys[order], n[order]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 out["part"].append(k * parts + int(part[a]))
-                out["keys"].append(_packed_keys(keys[a:b]))
+                out["keys"].append(_packed_keys(keys[a:b], parts if k == 1 else 0))
                 out["counts"].append(_squeezed(_narrowest(n[a:b])))
         made, chunk = len(out["part"]), rows["chunk"][0].as_py()
         return pa.table(
@@ -437,12 +578,13 @@ def named_pairs(chunks: DataFrame, code: Code, parts: int) -> DataFrame:
 
 def answered(pairs: DataFrame, code: Code) -> DataFrame:
     """chunk, parts, part and the packed logits of every pair that the chunk named there, of all chunks' counts."""
+    meeting = _meeting(code)
 
     def answer(rows: pa.Table) -> pa.Table:
         keys = [_unpacked_keys(x) for x in rows["keys"]]
         counts = []
         for x, k in zip(rows["counts"], keys, strict=True):
-            raw = _unsqueezed(x)
+            raw = _unsqueezed(x.as_buffer())
             kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // len(k)]
             counts.append(np.frombuffer(raw, kind).astype(np.int64))
         every, n = _summed(np.concatenate(keys), np.concatenate(counts))
@@ -450,7 +592,8 @@ def answered(pairs: DataFrame, code: Code) -> DataFrame:
         out = []
         for k in keys:
             at = np.searchsorted(every, k)
-            out.append(_squeezed(logits[_stretched(first[at], length[at])]))
+            shared = _shared_steps(meeting, k)
+            out.append(_packed_logits(logits[_stretched(first[at] + shared, length[at] - shared)]))
         return pa.table({"chunk": rows["chunk"], "parts": rows["parts"], "part": rows["part"], "logits": pa.array(out, pa.binary())})
 
     asked = pairs.select("chunk", "parts", "part", "keys", "counts")
@@ -469,6 +612,7 @@ class PairModel:
         code = self.code
 
         def score(own: pa.Table, answers: pa.Table) -> pa.Table:
+            own = _opened(own)
             text = own["text"].combine_chunks()
             mixer = ChunkMixer(code, answers["parts"][0].as_py(), text, zip(answers["part"].to_pylist(), answers["logits"], strict=True))
             return pa.table({"row": own["row"], "score": pa.array(mixer.score(text), pa.float64())})
@@ -536,7 +680,7 @@ class Mixer:
         # Sixteen bits, where they suffice, are sorted by counting.
         order = np.argsort(block.astype(np.int16) if block.max(initial=0) < 1 << 15 else block, kind="stable")
         length, at = _decisions(self.code, s.symbols[order])
-        sign = self.sign.take(at)
+        sign = None if self.sign is None else self.sign.take(at)
         inputs = np.empty((CONTEXTS, len(at)), np.float32)
         known = np.zeros(len(at), np.int16)
         for k, slot in enumerate(self._inputs(s, order, length, at)):
@@ -552,25 +696,25 @@ class Mixer:
         last = np.flatnonzero(np.diff(block[order], append=-1))
         low = 0
         for high in ends[last].tolist():
-            self._block(inputs[:, low:high], gate[low:high], sign[low:high], weights, cost[low:high])
+            self._block(inputs[:, low:high], gate[low:high], None if sign is None else sign[low:high], weights, cost[low:high])
             low = high
         return np.bincount(np.repeat(text[order], length), weights=cost, minlength=len(s.start))
 
     @staticmethod
-    def _block(x: np.ndarray, gate: np.ndarray, sign: np.ndarray, weights: np.ndarray, cost: np.ndarray) -> None:
-        """Predict one block's decisions with the weights so far, then refine these."""
+    def _block(x: np.ndarray, gate: np.ndarray, sign: np.ndarray | None, weights: np.ndarray, cost: np.ndarray) -> None:
+        """Predict one block's decisions with the weights so far, then refine these. Without ``sign``, logits are those of the way taken."""
         logit = weights[0].take(gate)
         logit *= x[0]
         for k in range(1, CONTEXTS):
             part = weights[k].take(gate)
             part *= x[k]
             logit += part
-        logit *= sign
+        np.negative(logit, out=logit) if sign is None else np.multiply(logit, sign, out=logit)
         odds = np.exp(np.minimum(logit, np.float32(20), out=logit), out=logit)
         total = odds + np.float32(1)
         np.log(total, out=cost)
         error = np.divide(odds, total, out=odds)
-        error *= sign
+        np.negative(error, out=error) if sign is None else np.multiply(error, sign, out=error)
         first = int(gate.min())
         gate = gate - first
         n = np.bincount(gate)
@@ -580,31 +724,82 @@ class Mixer:
 
 
 class ChunkMixer(Mixer):
-    """Scores the texts of one chunk with the (part, packed logits) that answer its pairs."""
+    """Scores the texts of one chunk, once, with the (part, packed logits) that answer its pairs."""
 
     def __init__(self, code: Code, parts: int, texts: pa.Array, answers: Iterator[tuple[int, pa.Scalar]]) -> None:
-        self.code = code
-        self.sign = 1 - 2 * code.bit.astype(np.float32)
-        symbols, self.places, _ = _ranges(code)
-        pairs = _Pairs()
-        pairs.add(texts, False, self.places)
-        self.keys, self.first, self.logits = [], [], []
+        self.code, self.sign = code, None
+        self.symbols, self.places, _ = _ranges(code)
+        meeting = _meeting(code)
+        segments = list(self._segments(texts))
+        keys, stretches = [[s[k] for s in segments] for k in (0, 1)], [s[2] for s in segments]
+        del segments
+        (six, sixes), (word, words) = map(_numbered, keys)
+        four = np.unique(_shortened(six, 4))
+        pair = np.unique(_shortened(four, 2))
         by_part = dict(answers)
-        for k, (keys, _) in enumerate(pairs.merged()):
-            order, part = _dealt(keys, parts)
-            held = [_unsqueezed(by_part[k * parts + p]) for p in np.unique(part).tolist()]
-            length = code.length[symbols[(keys[order] & np.uint64(511)).astype(np.int64)]]
-            first = np.empty(len(keys), np.int64)
-            first[order] = np.cumsum(length) - length
-            self.keys.append(keys)
-            self.first.append(first)
-            self.logits.append(np.frombuffer(b"".join(held), np.int16))
+        first, self.logits = [], []
+        for k, keys in enumerate((pair, word, four, six)):
+            order, part = _dealt(keys, parts, hashed=k == 1)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+            held = [np.zeros(0, np.int16)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = _unpacked_logits(by_part.pop(k * parts + int(part[a])))
+                held.append(_whole_paths(code, self.symbols, meeting, keys[order[a:b]], own))
+            length = code.length[self.symbols[(keys[order] & np.uint64(511)).astype(np.int64)]]
+            place = np.empty(len(keys), np.int64)
+            place[order] = np.cumsum(length) - length
+            first.append(place)
+            self.logits.append(np.concatenate(held))
+        # Where a pair of the longest context has its logits in the two that follow from it.
+        first[0] = first[0][_index_in(_shortened(six, 2), pair)]
+        first[2] = first[2][_index_in(_shortened(six, 4), four)]
+        length = code.length[self.symbols[(six & np.uint64(511)).astype(np.int64)]]
+        self.stretches = self._located(zip(sixes, words, stretches, strict=True), length, first)
+
+    def _segments(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Of many stretches, keys of the longest context and of the word in distinct pairs of both, and each stretch's pairs as numbers."""
+        waiting: list[list[np.ndarray]] = []
+        for _, stretches in _groups(texts):
+            for s in stretches:
+                waiting.append(_pair_keys(s, self.places)[3:0:-2])
+                if sum(len(w[0]) for w in waiting) > SEGMENT:
+                    yield self._told_apart(waiting)
+        if waiting:
+            yield self._told_apart(waiting)
+
+    @staticmethod
+    def _told_apart(waiting: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        ends = np.cumsum([len(w[0]) for w in waiting])[:-1]
+        six, word = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        salt = np.uint64(0xD6E8FEB86659FD93)
+        while True:
+            both = (word >> np.uint64(9)) * salt + six
+            both *= np.uint64(0x94D049BB133111EB)
+            both ^= both >> np.uint64(29)
+            index = pa.array(both).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            last = np.empty(int(index.max(initial=-1)) + 1, np.int64)
+            last[index] = np.arange(len(index))
+            pa.default_memory_pool().release_unused()
+            if (six[last][index] == six).all() and (word[last][index] == word).all():
+                return six[last], word[last], np.split(index, ends)
+            salt += np.uint64(2)  # two pairs shared a number
+
+    def _located(self, segments: Iterator[tuple], lengths: np.ndarray, first: list[np.ndarray]) -> Iterator[tuple]:
+        """By stretch: where the logits of its segment's pairs begin, these logits by context side by side, its pairs as numbers."""
+        for by_six, by_word, stretches in segments:
+            length = lengths[by_six]
+            table = np.empty((int(length.sum()), CONTEXTS), np.int16)
+            for k, logits in enumerate(self.logits):
+                table[:, k] = logits.take(_stretched(first[k][by_word if k == 1 else by_six], length))
+            start, table = np.cumsum(length) - length, table.view(np.uint64).ravel()
+            for index in stretches:
+                yield start, table, index
 
     def _inputs(self, s: Stretch, order: np.ndarray, length: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-        for k, keys in enumerate(_pair_keys(s, self.places)):
-            found, index = _distinct(keys)
-            first = self.first[k][np.searchsorted(self.keys[k], found)]
-            yield self.logits[k].take(_stretched(first[index[order]], length))
+        first, table, index = next(self.stretches)
+        rows = table.take(_stretched(first[index[order]], length)).view(np.int16).reshape(-1, CONTEXTS)
+        yield from rows.T
 
 
 def _block_of(inside: np.ndarray) -> np.ndarray:

@@ -75,7 +75,7 @@ def count_words(docs: DataFrame, text_col: str, trained_col: str) -> WordCounts:
         yield from _passed_on(held)
 
     parts = rows.mapInArrow(count, "word binary, total long, trained long")
-    table = staged(parts.groupBy("word").agg(F.sum("total").alias("total"), F.sum("trained").alias("trained")), "words")
+    table = staged(parts.groupBy("word").agg(F.sum("total").alias("total"), F.sum("trained").alias("trained")), "words", compression="zstd")
     ends = rows.filter("trained").count()
     words = table.agg(F.sum("trained"), F.count(F.when(F.col("trained") > 0, 1))).first()
     # At most COMMON rows of bounded length; the rest never leaves the executors.
@@ -93,11 +93,11 @@ def count_words(docs: DataFrame, text_col: str, trained_col: str) -> WordCounts:
 def _passed_on(held: dict[bool, Counter]) -> Iterator[pa.RecordBatch]:
     for trained, counter in held.items():
         if counter:
-            n = pa.array(counter.values(), pa.int64())
-            zero = pa.array(np.zeros(len(counter), np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(counter.keys(), pa.binary()), n, n if trained else zero], ["word", "total", "trained"]
-            )
+            # Words alike at their start lie side by side, so that their shuffle is compressed better.
+            words = sorted(counter)
+            n = pa.array([counter[w] for w in words], pa.int64())
+            zero = pa.array(np.zeros(len(words), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), n, n if trained else zero], ["word", "total", "trained"])
             counter.clear()
 
 
@@ -148,12 +148,12 @@ def score_texts(texts: DataFrame, counts: WordCounts) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"row long, id {kind}, n_tokens long, n_known long, base double, rare array<binary>, rare_n array<long>"
     # Written once, as it is used twice below.
-    scored = staged(rows.mapInArrow(run, schema), "scored-texts")
+    scored = staged(rows.mapInArrow(run, schema), "scored-texts", compression="zstd")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w"))
     c = F.coalesce("trained", F.lit(0))
     looked_up = (
         rare.select("row", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("n"))
-        .join(counts.table.select("word", "trained"), "word", "left")
+        .join(counts.table.filter("trained > 0").select("word", "trained"), "word", "left")
         .groupBy("row")
         .agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare_base"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     )

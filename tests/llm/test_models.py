@@ -369,3 +369,46 @@ def test_pairs_are_not_kept_and_texts_are_dealt_to_chunks_once(spark):
     scores = context_mixing.train(chunks, np.ones(257)).scores(chunks)
     assert len({r["row"] for r in scores.collect() if r["score"] < 0}) == len(rows)
     assert "ReusedExchange" in plan(scores)
+
+
+def test_answers_hold_each_node_of_a_context_once():
+    """Logits come back whole from what is sent, which is fewer than the steps of all paths; chunks' texts are shuffled compressed."""
+    rng = np.random.default_rng(7)
+    code = context_mixing.huffman(rng.integers(1, 1000, 257))
+    symbols, _, _ = context_mixing._ranges(code)
+    meeting = context_mixing._meeting(code)
+    keys = np.unique((rng.integers(0, 50, 2000).astype(np.uint64) << np.uint64(9)) | rng.integers(0, 257, 2000).astype(np.uint64))
+    n = rng.integers(0, 90, len(keys))
+    first, length, logits = context_mixing._flat_logits(code, keys, n)
+    for asked in (keys, keys[::3], keys[:1], keys[:0]):
+        at = np.searchsorted(keys, asked)
+        shared = context_mixing._shared_steps(meeting, asked)
+        sent = context_mixing._packed_logits(logits[context_mixing._stretched(first[at] + shared, length[at] - shared)])
+        own = context_mixing._unpacked_logits(pa.scalar(sent, pa.binary()))
+        assert len(asked) < 2 or len(own) < 0.8 * length[at].sum()
+        got = context_mixing._whole_paths(code, symbols, meeting, asked, own)
+        assert (got == logits[context_mixing._stretched(first[at], length[at])]).all()
+    # By hand: a decision's logit is that of the counts of all symbols of the context beyond either way.
+    paths = [code.bit[a : a + k].tolist() for a, k in zip(code.start, code.length, strict=True)]
+    counts = {}
+    for key, c in zip(keys.tolist(), n.tolist(), strict=True):
+        path = tuple(paths[symbols[key & 511]])
+        for d in range(1, len(path) + 1):
+            counts[key >> 9, path[:d]] = counts.get((key >> 9, path[:d]), 0) + c
+    for i in range(0, len(keys), 7):
+        path = tuple(paths[symbols[int(keys[i]) & 511]])
+        for d in range(len(path)):
+            taken, other = (counts.get((int(keys[i]) >> 9, (*path[:d], w)), 0) for w in (path[d], 1 - path[d]))
+            assert logits[first[i] + d] >> 2 == pytest.approx(1024 * np.clip(math.log((taken + 0.3) / (other + 0.3)), -7.9, 7.9), abs=0.51)
+    for step in (0, 64):
+        sorted_keys = keys[keys >> np.uint64(9) == 3] if not step else np.unique(((keys >> np.uint64(9)) * np.uint64(64) + np.uint64(5)) << np.uint64(9) | (keys & np.uint64(511)))
+        assert (context_mixing._unpacked_keys(pa.scalar(context_mixing._packed_keys(sorted_keys, step), pa.binary())) == sorted_keys).all()
+
+
+def test_texts_are_shuffled_compressed(spark):
+    """Texts of a chunk go to the shuffle as one compressed row per batch."""
+    docs = spark.createDataFrame([(i, "the same words again " * 200) for i in range(40)], "id long, text string").withColumn("trained", F.lit(True))
+    chunks = context_mixing.cut_texts(docs.coalesce(1))
+    (held,) = context_mixing._packed_texts(iter(chunks.select("chunk", "row", "text", "trained").toArrow().combine_chunks().to_batches()))
+    assert held.num_rows == 1 and len(held["texts"][0].as_py()) < 40 * 4200 / 10
+    assert context_mixing._opened(pa.Table.from_batches([held]))["row"].to_pylist() == list(range(40))
