@@ -277,7 +277,7 @@ def lint_static_documents(spark: SparkSession, d: str) -> DataFrame:
     WHEN 6 THEN {lit(L.SLOW)} WHEN 7 THEN {lit(L.EMPTY)} END AS reason FROM {_PATTERNS})"""
 )
 def lint_trial(spark: SparkSession, d: str) -> DataFrame:
-    """With the compile check, the check for ambiguity and the trial on short texts; the kinds are bad by construction."""
+    """With the compile check, the check for ambiguity and the trial on the four texts; the kinds are bad by construction."""
     return lint_rules(_patterns(spark, d)).select("id", "ok", "reason")
 
 

@@ -2,8 +2,9 @@
 
 Spark runs patterns on Java's backtracking engine and has no guard of its own.
 Every check is a column expression; the compile check
-asks the very engine that will run it. Whether a pattern may be slow is read from its form and from a trial of its repeated groups
-on short texts, by that engine. The trial counts readings and not seconds, so the verdict is the same on any machine, however busy.
+asks the very engine that will run it. Whether a pattern may be slow is read from its form, from its repeated groups, which that engine
+tries on short texts, and from a trial of the whole pattern on four texts. Trials count readings and steps and not seconds, so the verdict
+is the same on any machine, however busy.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from patternflow.functions.columns import is_blank, ref
 from patternflow.model import COMBINATORS
+from patternflow.plans.trial import too_slow
 
 MAX_LENGTH = 2000
 # Fixed value: the nested-quantifier shape.
@@ -52,7 +54,7 @@ EMPTY = "Empty pattern."
 TOO_LONG = f"Pattern is longer than {MAX_LENGTH} characters."
 INVALID = "Invalid regex."
 NESTED = "Nested unbounded quantifiers risk catastrophic backtracking."
-SLOW = "Ambiguous repeats; catastrophic backtracking is likely."
+SLOW = "Too slow on short texts; catastrophic backtracking is likely."
 
 
 def check_pattern(pattern: str | None) -> str | None:
@@ -68,7 +70,10 @@ def check_pattern(pattern: str | None) -> str | None:
         return INVALID
     if re.search(NESTED_QUANTIFIER, pattern):
         return NESTED
-    return SLOW if spark.sql("SELECT 1").select(ambiguous(F.lit(pattern))).first()[0] else None
+    one = spark.sql("SELECT 1").select(F.array(F.lit(pattern)).alias("patterns"))
+    if one.select(ambiguous(F.get("patterns", F.lit(0)))).first()[0]:
+        return SLOW
+    return SLOW if re.search(r"[*+?{|]", pattern) and one.select(too_slow("patterns")).first()[0][0] else None
 
 
 def compiles(pattern: Column) -> Column:
@@ -119,7 +124,7 @@ def read_in_two_ways(pattern: Column) -> Column:
 
 
 def full_reason(pattern: Column) -> Column:
-    """The static checks, the compile check, the check for ambiguity and the trial; null when they pass."""
+    """The static checks, the compile check and the check for ambiguity; null when they pass."""
     static = static_reason(pattern)
     return (
         F.when(static.isNotNull() & (static != NESTED), static)
@@ -129,9 +134,14 @@ def full_reason(pattern: Column) -> Column:
     )
 
 
-def _reasons(patterns: Column, trial: bool) -> Column:
-    """The reason of each of an array of patterns."""
-    return F.transform(patterns, full_reason if trial else static_reason)
+def _with_reasons(rules: DataFrame, patterns: Column, trial: bool) -> DataFrame:
+    """Add ``__reasons``, the reason of each of an array of patterns. Only those that pass so far are tried."""
+    if not trial:
+        return rules.withColumn("__reasons", F.transform(patterns, static_reason))
+    rules = rules.withColumn("__formal", F.transform(patterns, full_reason))
+    rules = rules.withColumn("__tried", F.zip_with(patterns, "__formal", lambda p, why: F.when(why.isNull(), p)))
+    reasons = F.zip_with("__formal", too_slow("__tried"), lambda why, slow: F.coalesce(why, F.when(slow, SLOW)))
+    return rules.withColumn("__reasons", reasons).drop("__formal", "__tried")
 
 
 def static_reason(pattern: Column) -> Column:
@@ -149,8 +159,12 @@ def lint_rules(rules: DataFrame, pattern: str = "pattern", *, trial: bool = True
     ``trial=False`` keeps to the static checks: neither compiled nor looked at for ambiguity, nor tried.
     """
     p = ref(pattern)
-    reason = full_reason(p) if trial else static_reason(p)
-    return rules.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
+    if trial:
+        rules = _with_reasons(rules, F.array(p), trial)
+        rules = rules.withColumn("reason", F.get("__reasons", F.lit(0))).drop("__reasons")
+    else:
+        rules = rules.withColumn("reason", static_reason(p))
+    return rules.withColumn("ok", F.col("reason").isNull())
 
 
 def validate_rules(
@@ -168,7 +182,6 @@ def validate_rules(
     """
     preds = ref(predicates)
     patterns = F.transform(preds, lambda p: p["pattern"])
-    reasons = _reasons(patterns, trial)
     faults = F.zip_with(
         preds,
         F.col("__reasons"),
@@ -180,7 +193,7 @@ def validate_rules(
     first = F.get(F.filter(faults, lambda f: f.isNotNull()), F.lit(0))
     empty = F.coalesce(F.size(preds), F.lit(0)) <= 0
     return (
-        rules.withColumn("__reasons", reasons)
+        _with_reasons(rules, patterns, trial)
         .withColumn("error", F.when(empty, "No match condition.").otherwise(first))
         .withColumn(
             combinator, F.when(ref(combinator).isin(*COMBINATORS), ref(combinator)).otherwise("all")

@@ -107,6 +107,41 @@ def test_repeated_groups_are_tried_on_short_texts(spark):
     assert "Python" not in plan(linted) and "Exchange" not in plan(linted)
 
 
+#: Patterns that a search of one of the four trial texts does not come to an end with in good time, though no group alone reads in two ways.
+TRIAL_SLOW = [
+    r"((a+)b?)+$", r"((a|b)|ab)+$", r"(x?(a|a))+$", r"([ab]?a?b)+x", r"(a?){30}$", "a?" * 25 + "$", "(a|a)" * 25 + "$", r"(?:(?:\w\w?)\d*)+-",
+    r"((\d|x)+,?)+$", r"a*[a-b]*\w*.*\S*[^!]*[a-z]*X", r"(?=((a)|b|ab)+x)a", r"(?:((a|b)|ab)+#|\w)+", r"(?i)((A|B)|AB)+#", r"(\s{2,}|\t)*0",
+]
+TRIAL_FINE = [
+    r"((a+)b?)+", r"((a|b)|c)+$", r"(x?(a|b))+$", r"((a|b)|ab)++c", r"(a?){4}$", r"\((a|b)\)+c", r"((?:ab|cd)+x)+y", r"(?>(a|b)|ab)x", r"\w+\d?\w+x?\w+#",
+    r"^(?=.*\d)(?=.*[a-z])(?=.*[A-Z]).{8,}$", r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)", r"[|?*]+\Q(a|b\E$",
+]
+
+
+def test_patterns_are_tried_on_the_trial_texts(spark):
+    """Whole patterns, with groups in groups, counted repeats and repeats that share a text; a search that finds something ends there."""
+    from tests.conftest import plan
+
+    patterns = TRIAL_SLOW + TRIAL_FINE
+    want = {**dict.fromkeys(TRIAL_SLOW, L.SLOW), **dict.fromkeys(TRIAL_FINE)}
+    linted = lint_rules(spark.createDataFrame([(p,) for p in patterns], "pattern string"))
+    assert {r["pattern"]: r["reason"] for r in linted.collect()} == want
+    assert linted.columns == ["pattern", "reason", "ok"]
+    assert "Python" not in plan(linted) and "Exchange" not in plan(linted)
+    rules = spark.createDataFrame([([("a", p)], ["a"], "all") for p in patterns], "predicates array<struct<column:string,pattern:string>>, columns array<string>, combinator string")
+    checked = validate_rules(rules)
+    assert {r["predicates"][0]["pattern"]: r["error"] for r in checked.collect()} == want
+    assert checked.columns == ["predicates", "columns", "combinator", "error"]
+    assert [check_pattern(p) for p in (TRIAL_SLOW[0], TRIAL_FINE[0])] == [L.SLOW, None]
+
+
+def test_slow_patterns_are_named_as_in_the_trial():
+    """The reason that the SQL of `lint_trial` has had from the first."""
+    from checks import ORACLES
+
+    assert "Too slow on short texts; catastrophic backtracking is likely." in ORACLES["lint_trial"]
+
+
 JAVA_ONLY = [r"\Qa.b\E", r"\pL+", r"a\z", r"\x{41}", r"(?U)\w+", r"(?<=a{1,3})b", r"\G\d"]
 PYTHON_ONLY = [r"(?P<n>a)", r"a{,3}", r"(?a)x"]
 
